@@ -75,34 +75,42 @@ def arc_of(position: Column, points: list[tuple[int, int]]) -> Column:
     return before % n
 
 
-def shard_rows(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", vnodes: int = VNODES, load: int | None = None) -> DataFrame:
-    """``df`` with ``shard`` and ``slot`` (from 0, gapless in each shard); ``load``: rows a shard may hold, else evenly bounded."""
+def shard_rows(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", crc: Column | None = None, size: Column | None = None, vnodes: int = VNODES, load: int | None = None) -> DataFrame:
+    """``df`` with ``shard`` and ``slot`` (from 0, gapless in each shard); ``load``: rows a shard may hold, else evenly bounded.
+
+    crc and size tell rows of equal keys apart; by default those of ``text``.
+    """
     pos, arc, sub, rank, lo, hi, first, shard, slot = common.unused(df, "_pos", "_arc", "_sub", "_rank", "_lo", "_hi", "_first", "shard", "slot")
     points = ring(shards, vnodes)
-    crc = F.crc32(common.text_or_empty(text))
-    placed = df.withColumn(pos, key_position(F.col(key))).withColumn(arc, arc_of(F.col(pos), points)).withColumn(sub, F.pmod(crc, F.lit(SUBS)).cast("int"))
+    (own_crc, own_size) = common.unused(df, "_crc", "_size")
+    df, columns = df.withColumns({own_crc: F.crc32(common.text_or_empty()) if crc is None else crc, own_size: F.octet_length("text") if size is None else size}), df.columns
+    placed = df.withColumn(pos, key_position(F.col(key))).withColumn(arc, arc_of(F.col(pos), points)).withColumn(sub, F.pmod(F.col(own_crc), F.lit(SUBS)).cast("int"))
     counts = {(r[0], r[1]): r[2] for r in placed.groupBy(arc, sub).count().collect()}  # bounded: len(points) * SUBS
     total = sum(counts.values())
     room = [load] * shards if load else capacities(total, shards)
     if sum(room) < total:
         raise ValueError(f"{shards} shards of {load} rows cannot hold {total} rows")
     segments = df.sparkSession.createDataFrame(sweep(counts, points, room), f"`{arc}` int, `{sub}` int, `{lo}` long, `{hi}` long, `{shard}` int, `{first}` long")
-    order = Window.partitionBy(arc, sub).orderBy(pos, key, crc, F.octet_length(F.col(text)))
+    order = Window.partitionBy(arc, sub).orderBy(pos, key, own_crc, own_size)
     ranked = placed.withColumn(rank, F.row_number().over(order).cast("long") - 1)
     return (
         ranked.join(F.broadcast(segments), [arc, sub])
         .where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
         .withColumn(slot, F.col(first) + F.col(rank) - F.col(lo))
-        .select(*df.columns, shard, slot)
+        .select(*columns, shard, slot)
     )
 
 
 def op1_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard_rows(docs).select(
+    docs = common.table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(common.text_or_empty()).alias("text_crc32"),
+    )
+    return shard_rows(docs, crc=F.col("text_crc32"), size=F.col("size")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
         "slot",
