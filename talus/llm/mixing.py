@@ -70,12 +70,13 @@ def quotas(goals: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, epochs:
 
 def mix(docs: DataFrame, blocks: int = BLOCKS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` with size, source_size, target, passes (whole copies), part (first words taken once more), taken."""
-    size, key, bucket, mark, before = common.unused(docs, "size", "_key", "_bucket", "_mark", "_before")
+    size, key, bucket, mark, tie, before = common.unused(docs, "size", "_key", "_bucket", "_mark", "_tie", "_before")
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = (
         docs.withColumn(size, common.word_count())
         .withColumn(key, F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
         .withColumn(mark, drawn)
+        .withColumn(tie, F.xxhash64("text"))
         .withColumn(bucket, F.substring(mark, 1, 3))
     )
     sums = common.cut(rows.groupBy(key, bucket).agg(F.first("source").alias("source"), F.sum(size).alias("words")))
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, blocks: int = BLOCKS, epochs: int = EPOCHS, seed: int =
     )
     shifted = sums.select(key, bucket, (F.sum("words").over(Window.partitionBy(key).orderBy(bucket)) - F.col("words")).alias(before))
     starts = common.cut(shifted.join(plan, key))
-    within = Window.partitionBy(key, bucket).orderBy(mark, size, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(key, bucket).orderBy(mark, size, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = [c for c in ("source_size", "target", "passes", "part", "taken") if c in docs.columns]
     return (
         rows.drop(*own)
