@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "toxicity", "mixing", "quality", "simhash")
+MODULES = ("sharding", "toxicity", "mixing", "quality", "simhash", "decontamination")
 
 
 def queries() -> dict:
