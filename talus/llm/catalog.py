@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "toxicity", "mixing", "quality", "htmltext", "linededup", "simhash", "secrets", "decontamination")
+MODULES = ("sharding", "toxicity", "mixing", "quality", "htmltext", "linededup", "lm", "simhash", "secrets", "decontamination")
 
 
 def queries() -> dict:
