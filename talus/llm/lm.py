@@ -1,15 +1,15 @@
 """Language-model scoring: a gated recurrent model beside a unigram base.
 
 1. One pass numbers the words of chunks of about ``CHUNK`` tokens and writes, in the shared
-   folder, the chunks' documents as word numbers and their distinct words (64-bit hash, count in
+   folder, the chunks' documents as packed word numbers and their distinct words (64-bit hash, count in
    training texts, tail class). Words never travel as strings.
-2. Counts over all training tokens of the corpus come from an aggregation of the chunks' words; they fix
+2. One shuffle of the chunks' words by hash gives the counts over all training tokens of the corpus, and the
+   chunks that a word of several chunks goes back to; a word of one chunk has its count there. Counts fix
    the head vocabulary, the tail classes' masses, the unigram base and the model's first biases.
-3. ``ROUNDS`` rounds of training: every chunk trains the common weights on ``TRAIN`` of its training
-   tokens by truncated backpropagation, and the weights are averaged by an aggregation. Work and
-   what is gathered grow with the number of chunks; what reaches the driver is one set of weights.
-4. Each chunk's words meet their corpus counts by a join on the hash, and go back to their
-   chunk, whose documents are scored whole, the recurrent state carried from start to end.
+3. ``ROUNDS`` rounds of training: every chunk trains the common weights by truncated backpropagation on one in
+   ``SAMPLE`` of its training documents (by hash), and the weights are averaged by an aggregation. Work and what
+   is gathered grow with the input; what reaches the driver is one set of weights a round.
+4. Counts go back to the chunks, whose documents are scored whole, the recurrent state carried from start to end.
 
 The model's probability of a tail word is that of its class times the share of its count (plus 0.1; all
 unseen words of a class are one word of count 0.1), so that probabilities add up to 1.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from talus.llm import common, gru
 from talus.llm.text import pieces
 
-CHUNK, TRAIN, ROUNDS, SMOOTH = 3_000_000, 150_000, 3, 0.1
+CHUNK, SAMPLE, LEAST, ROUNDS, SMOOTH = 4_000_000, 8, 60_000, 3, 0.1
 END = b""  # no word is empty
 _PUNCTUATION = b".,;:!?\"')]}&$#*%|"
 
@@ -46,81 +47,120 @@ def word_hash(word: bytes) -> int:
 
 def tail_class(word: bytes) -> int:
     """By the last bytes of a word without its punctuation: endings tell languages apart."""
-    return zlib.crc32(word.rstrip(_PUNCTUATION)[-4:]) % gru.TAILS
+    if word and word[-1] < 65:
+        word = word.rstrip(_PUNCTUATION)
+    return zlib.crc32(word[-4:]) % gru.TAILS
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte in planes (small numbers leave empty planes), compressed."""
+    planes = x.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+class _Codes(dict):
+    """Word numbers in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def _numbered(raw: str, key: str):
-    def flush(docs: list, codes: dict[bytes, int], part: int, seq: int) -> Iterator[pa.RecordBatch]:
-        chunk = (part << 24) + seq
-        counts = np.zeros(len(codes), np.int64)
-        for ids, learn in docs:
-            if learn:
-                counts += np.bincount(ids, minlength=len(codes))
-        hashes = np.fromiter(map(word_hash, codes), np.int64, len(codes))
-        tails = np.fromiter(map(tail_class, codes), np.int16, len(codes))
-        step = 1 << 16
-        for i in range(0, len(codes), step):
-            yield chunk, i, hashes[i : i + step], counts[i : i + step].astype(np.int32), tails[i : i + step]
+    names = ["chunk", key, "held_out", "sampled", "tokens", "first", "h", "n", "tail", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, docs, codes, n = TaskContext.get().partitionId(), 0, [], {END: 0}, 0
+        part, seq, codes, n, key_type = TaskContext.get().partitionId(), 0, _Codes({END: 0}), 0, pa.null()
+        counts = np.zeros(1, np.int64)
 
         def words() -> Iterator[pa.RecordBatch]:
-            nothing = lambda k, t: pa.nulls(k, t)
-            for chunk, first, h, c, t in flush(docs, codes, part, seq):
+            have = np.zeros(len(codes), np.int64)
+            have[: len(counts)] = counts[: len(codes)]
+            hashes = np.fromiter(map(word_hash, codes), np.int64, len(codes))
+            tails = np.fromiter(map(tail_class, codes), np.int16, len(codes))
+            for i in range(0, len(codes), 1 << 16):
+                h, c, t = hashes[i : i + (1 << 16)], have[i : i + (1 << 16)], tails[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk]), nothing(1, key_type), nothing(1, pa.bool_()), nothing(1, pa.binary()), pa.array([first]), pa.array([h], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int32())), pa.array([t], pa.list_(pa.int16()))],
+                    [
+                        pa.array([(part << 20) + seq]), pa.nulls(1, key_type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([i]),
+                        pa.array([h], pa.list_(pa.int64())), pa.array([c.astype(np.int32)], pa.list_(pa.int32())), pa.array([t], pa.list_(pa.int16())), pa.array([packed(c)], pa.binary()),
+                    ],
                     names=names,
-                )
+                )
 
-        names, key_type = ["chunk", key, "held_out", "tokens", "first", "h", "n", "tail"], pa.null()
-        for batch in pieces(batches, raw):
-            key_type = batch.column(key).type
-            encoded = []
+        for batch in pieces(batches, raw, 2 << 20):
+            key_type, encoded, sampled = batch.column(key).type, [], []
             for text, held in zip(batch.column(raw).to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                ids = [codes.setdefault(w, len(codes)) for w in text.lower().split()] if text else []
+                ids = list(map(codes.__getitem__, text.lower().split())) if text else []
                 ids.append(0)
-                ids = np.array(ids, np.int32)
-                docs.append((ids, not held))
-                encoded.append(ids.tobytes())
+                ids = np.array(ids, np.int64)
                 n += len(ids)
+                if not held:
+                    if len(counts) < len(codes):
+                        counts = np.concatenate((counts, np.zeros(len(codes), np.int64)))
+                    np.add.at(counts, ids, 1)
+                sampled.append(not held and xxhash.xxh64_intdigest(text or b"") % SAMPLE == 0)
+                encoded.append(packed(ids))
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 24) + seq] * k, pa.int64()), batch.column(key), batch.column("held_out"), pa.array(encoded, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int16()))],
+                [
+                    pa.array([(part << 20) + seq] * k, pa.int64()), batch.column(key), batch.column("held_out"), pa.array(sampled, pa.bool_()), pa.array(encoded, pa.binary()), pa.nulls(k, pa.int64()),
+                    pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int16())), pa.nulls(k, pa.binary()),
+                ],
                 names=names,
-            )
+            )
             if n >= CHUNK:
                 yield from words()
-                docs, codes, n, seq = [], {END: 0}, 0, seq + 1
-        if docs:
+                codes, n, seq, counts = _Codes({END: 0}), 0, seq + 1, np.zeros(1, np.int64)
+        if n:
             yield from words()
 
     return run
 
 
-def _trainer(shape: gru.Shape, flat: np.ndarray, tokens: int, turn: int):
-    like = shape.start()
+def _model_ids(shape: gru.Shape):
+    """Stretches of a chunk's words as model numbers, packed."""
 
-    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        local = _local_ids(shape, right)
-        texts = [np.frombuffer(x, np.int32) for x in left.column("tokens").to_pylist()]
-        if not texts:
-            return pa.table({"weights": pa.array([], pa.list_(pa.float32())), "size": pa.array([], pa.int64())})
-        ends = np.cumsum([len(x) for x in texts])
-        ids = local[np.concatenate(texts)]
-        done = gru.train(shape, gru.unpack(flat, like), ids, ends, tokens, skip=turn * tokens // gru.STREAMS)
-        return pa.table({"weights": pa.array([gru.pack(done)], pa.list_(pa.float32())), "size": pa.array([len(ids)], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [packed(shape.ids(h.values.to_numpy(), t.values.to_numpy().astype(np.int64))) for h, t in zip(b.column("h"), b.column("tail"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("first"), pa.array(made, pa.binary()), b.column("own")], names=["chunk", "first", "ids", "own"])
 
     return run
 
 
-def _local_ids(shape: gru.Shape, words: pa.Table) -> np.ndarray:
-    """Model numbers of a chunk's words, by chunk-local number."""
-    parts = sorted(zip(words.column("first").to_pylist(), words.column("h"), words.column("tail"), strict=True), key=lambda x: x[0])
-    if not parts:
-        return np.zeros(0, np.int64)
-    h, t = (np.concatenate([x[k].values.to_numpy(zero_copy_only=False) for x in parts]) for k in (1, 2))
-    return shape.ids(h, t.astype(np.int64))
+def _joined(words: pa.Table, column: str) -> np.ndarray:
+    """A chunk's packed stretches end to end."""
+    parts = sorted(zip(words.column("first").to_pylist(), words.column(column).to_pylist(), strict=True))
+    return np.concatenate([unpacked(x) for _, x in parts]) if parts else np.zeros(0, np.int64)
+
+
+def _lessons(_, left, right):
+    """A chunk's sampled documents as model numbers."""
+    texts = [unpacked(x) for x in left.column("tokens").to_pylist()]
+    if not texts or not right.num_rows:
+        return pa.table({"ids": pa.array([], pa.binary()), "ends": pa.array([], pa.binary())})
+    ids = _joined(right, "ids")[np.concatenate(texts)]
+    return pa.table({"ids": pa.array([packed(ids)], pa.binary()), "ends": pa.array([packed(np.cumsum([len(x) for x in texts]))], pa.binary())})
+
+
+def _trainer(shape: gru.Shape, flat: np.ndarray, turn: int):
+    like = shape.start()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, e in zip(b.column("ids").to_pylist(), b.column("ends").to_pylist(), strict=True):
+                ids, ends = unpacked(x), unpacked(e)
+                tokens = max(LEAST, len(ids) // ROUNDS)
+                done = gru.train(shape, gru.unpack(flat, like), ids, ends, tokens, skip=turn * tokens // gru.STREAMS)
+                yield pa.RecordBatch.from_arrays([pa.array([gru.pack(done)], pa.list_(pa.float32())), pa.array([len(ids)], pa.int64())], names=["weights", "size"])
+
+    return run
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,36 +168,40 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     (raw,) = common.unused(docs, "_raw")
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"chunk long, `{key}` {kind}, held_out boolean, tokens binary, first long, h array<long>, n array<int>, tail array<short>"
+    schema = f"chunk long, `{key}` {kind}, held_out boolean, sampled boolean, tokens binary, first long, h array<long>, n array<int>, tail array<short>, own binary"
     where = f"{common.shared_dir(spark)}/lm-{uuid.uuid4().hex}"
-    docs.select(key, "held_out", F.col(text).cast("binary").alias(raw)).mapInArrow(_numbered(raw, key), schema).write.option("compression", "zstd").parquet(where)
-    written = spark.read.parquet(where)
-    texts = written.where("tokens is not null").select("chunk", key, "held_out", "tokens")
-    lists = spark.read.parquet(where).where("h is not null").select("chunk", "first", "h", "n", "tail")
-    words = lists.select("chunk", "first", F.posexplode(F.arrays_zip("h", "n", "tail")).alias("at", "x")).select("chunk", (F.col("first") + F.col("at")).cast("int").alias("w"), F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.col("x.tail").alias("tail"))
-    counts = common.cut(words.where("n > 0").groupBy("h").agg(F.sum(F.col("n").cast("long")).alias("c"), F.min("tail").alias("tail")))
-    head = counts.orderBy(F.desc("c"), "h").limit(gru.HEAD).collect()
-    mass = {r.tail: (r.c, r.v) for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
+    docs.select(key, "held_out", F.col(text).cast("binary").alias(raw)).mapInArrow(_numbered(raw, key), schema).write.option("compression", "zstd").parquet(f"{where}/chunks")
+    texts = spark.read.parquet(f"{where}/chunks").where("tokens is not null").select("chunk", key, "held_out", "sampled", "tokens")
+    lists = spark.read.parquet(f"{where}/chunks").where("h is not null").select("chunk", "first", "h", "n", "tail", "own")
+    place = (F.col("chunk") * (1 << 24) + F.col("first") + F.col("at")).alias("place")
+    words = lists.select("chunk", "first", F.posexplode(F.arrays_zip("h", "n", "tail")).alias("at", "x")).select(place, "x.h", "x.n", "x.tail")
+    found = words.repartition("h").groupBy("h").agg(F.sum(F.col("n").cast("long")).alias("c"), F.min("tail").alias("tail"), F.collect_list("place").alias("places"))
+    found.write.option("compression", "zstd").parquet(f"{where}/counts")  # a word's places: one a chunk at most
+    counts = spark.read.parquet(f"{where}/counts")
+    known = counts.where("c > 0")
+    head = known.select("h", "c", "tail").orderBy(F.desc("c"), "h").limit(gru.HEAD).collect()
+    mass = {r.tail: (r.c, r.v) for r in known.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     total, kinds = sum(c for c, _ in mass.values()), sum(v for _, v in mass.values())
     rest, more = np.zeros(gru.TAILS), np.zeros(gru.TAILS)
     for t, (c, v) in mass.items():
         rest[t], more[t] = c - sum(r.c for r in head if r.tail == t), v - sum(1 for r in head if r.tail == t)
     shape = gru.Shape(np.array([r.h for r in head], np.int64), np.array([r.c for r in head], float), rest)
     flat = gru.pack(shape.start())
-    learn = texts.where(~F.col("held_out")).select("chunk", "tokens").groupBy("chunk")
-    listed = lists.select("chunk", "first", "h", "tail").groupBy("chunk")
+    named = common.cut(lists.select("chunk", "first", "h", "tail", "own").mapInArrow(_model_ids(shape), "chunk long, first long, ids binary, own binary"))
+    lessons = common.cut(texts.where("sampled").select("chunk", "tokens").groupBy("chunk").cogroup(named.select("chunk", "first", "ids").groupBy("chunk")).applyInArrow(_lessons, "ids binary, ends binary"))
     for turn in range(ROUNDS if total else 0):
-        got = learn.cogroup(listed).applyInArrow(_trainer(shape, flat, TRAIN, turn), "weights array<float>, size long")
+        got = lessons.mapInArrow(_trainer(shape, flat, turn), "weights array<float>, size long")
         each = got.select("size", F.posexplode("weights").alias("at", "w")).groupBy("at").agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("w"))
         new = {r.at: r.w for r in each.collect()}  # one set of weights
         flat = np.array([new[i] for i in range(len(flat))], np.float32) if new else flat
     tail_log = np.log(rest + SMOOTH * more + SMOOTH)
     base_log = float(np.log10(total + SMOOTH * (kinds + 1)))
-    back = words.join(counts.select("h", "c").hint("shuffle_hash"), "h", "left").where(F.coalesce("c", F.lit(0)) != F.col("n")).select("chunk", "w", F.col("c"))
-    packed = back.groupBy("chunk").agg(F.collect_list(F.struct("w", "c")).alias("found"))
-    meet = lists.join(packed, "chunk", "left").select("chunk", "first", "h", "n", "tail", F.when(F.col("first") == 0, F.col("found")).alias("found"))
+    back = counts.where(F.size("places") > 1).select("c", F.explode("places").alias("place"))
+    back = back.select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("w"), "c")
+    shared = back.repartition("chunk").groupBy("chunk").agg(F.collect_list(F.struct("w", "c")).alias("found"))  # a chunk's own words at most
+    meet = named.join(shared, "chunk", "left").select("chunk", "first", "ids", "own", F.when(F.col("first") == 0, F.col("found")).alias("found"))
     out = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = texts.groupBy("chunk").cogroup(meet.groupBy("chunk")).applyInArrow(_scoring(shape, flat, tail_log, base_log, key), out)
+    scored = texts.drop("sampled").groupBy("chunk").cogroup(meet.groupBy("chunk")).applyInArrow(_scoring(shape, flat, tail_log, base_log, key), out)
     return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 
@@ -165,36 +209,25 @@ def _scoring(shape: gru.Shape, flat: np.ndarray, tail_log: np.ndarray, base_log:
     """tail_log: natural log of each tail class's smoothed mass; base_log: log10 of the base's denominator."""
     like = shape.start()
 
-    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        local = _local_ids(shape, right)
-        parts = sorted(zip(right.column("first").to_pylist(), right.column("n"), strict=True), key=lambda x: x[0])
-        c = np.concatenate([x.values.to_numpy(zero_copy_only=False) for _, x in parts]).astype(np.float64) if parts else np.zeros(0)
+    def run(_, left, right):
+        local, c = _joined(right, "ids"), _joined(right, "own").astype(np.float64)
         for cell in right.column("found"):
             if cell.is_valid:
-                found = cell.values
-                c[found.field("w").to_numpy(zero_copy_only=False)] = found.field("c").to_numpy(zero_copy_only=False)
-        texts = [np.frombuffer(x, np.int32) for x in left.column("tokens").to_pylist()]
-        lengths = np.array([len(x) for x in texts], np.int64)
-        ends = np.cumsum(lengths)
+                c[cell.values.field("w").to_numpy()] = cell.values.field("c").to_numpy()
         base, known, tail = np.log10(c + SMOOTH) - base_log, c > 0, local >= shape.n
         within = np.zeros(len(c))
         within[tail] = np.log(c[tail] + SMOOTH) - tail_log[local[tail] - shape.n]
-        bases, n_known, added = [], [], []
-        for x in texts:
-            bases.append(base[x].sum())
-            n_known.append(int(known[x].sum()))
-            added.append(within[x].sum())
-        model = gru.score(shape, gru.unpack(flat, like), local[np.concatenate(texts)] if texts else local[:0], ends)
+        texts = [unpacked(x) for x in left.column("tokens").to_pylist()]
+        ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
+        bases, n_known, added = ([float(v[x].sum()) for x in texts] for v in (base, known, within))
+        ids = local[np.concatenate(texts)] if texts else local[:0]
+        model = gru.score(shape, gru.unpack(flat, like), ids, ends)
         return pa.table(
             {
-                key: left.column(key),
-                "held_out": left.column("held_out"),
-                "n_tokens": pa.array(lengths),
-                "n_known": pa.array(n_known, pa.int64()),
-                "base_score": pa.array(bases, pa.float64()),
-                "score": pa.array((model + np.array(added)) / np.log(10), pa.float64()),
+                key: left.column(key), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(ends, prepend=0), pa.int64()), "n_known": pa.array([int(x) for x in n_known], pa.int64()),
+                "base_score": pa.array(bases, pa.float64()), "score": pa.array((model + np.array(added)) / np.log(10), pa.float64()),
             }
-        )
+        )
 
     return run
 
