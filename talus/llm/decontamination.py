@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from talus.llm import common
 from talus.llm.fmindex import FMIndex
-from talus.llm.text import PLAIN, pieces, plain_words
+from talus.llm.text import PLAIN, let_go, pieces, plain_words, raw_texts
 
-WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 2_000_000, 8 << 20
+WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 1_000_000, 8 << 20
 SPANS = "_spans array<int>, _items array<string>, _n_words long"
 
 
@@ -126,24 +126,25 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None,
 
 def search(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns ``carry`` of docs with _n_words, _spans (flat: start, end, start, end ... in words) and _items."""
-    (raw,) = common.unused(docs, "_raw")
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
+    own = list(dict.fromkeys([*carry, text]))
+    kept = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema}
     sc = docs.sparkSession.sparkContext
-    out = docs.select(*carry, F.col(text).cast("binary").alias(raw))
+    out = docs.select(*own)
     blocks = _blocks(benchmark, block_bytes)
     block, first = next(blocks), True
     while block is not None:
         later = next(blocks, None)
-        out = out.mapInArrow(_searcher(sc.broadcast(block), carry, raw, first, later is None, window), ", ".join([*kept, *([f"`{raw}` binary"] if later is not None else []), SPANS]))
+        columns = carry if later is None else own
+        out = out.mapInArrow(_searcher(sc.broadcast(block), columns, text, first, window), ", ".join([*(kept[c] for c in columns), SPANS]))
         block, first = later, False
     return out
 
 
-def _searcher(block, carry: list[str], raw: str, first: bool, last: bool, window: int):
+def _searcher(block, columns: list[str], text: str, first: bool, window: int):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, list[list[bytes]]]]]:
         group, n = [], 0
-        for part in pieces(batches, raw, 4 << 20):
-            words = [plain_words(t) for t in part.column(raw).to_pylist()]
+        for part in pieces(batches, text):
+            words = [plain_words(t) for t in raw_texts(part, text)]
             group.append((part, words))
             n += sum(map(len, words))
             if n >= SHARD_WORDS:
@@ -165,11 +166,11 @@ def _searcher(block, carry: list[str], raw: str, first: bool, last: bool, window
                         s, names = merged([*s, *zip(old[::2], old[1::2], strict=True)]), names | set(part.column("_items")[i].as_py())
                     spans.append([x for ab in s for x in ab])
                     items.append(sorted(names))
-                columns = [part.column(c) for c in (carry if last else [*carry, raw])]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array([len(w) for w in words], pa.int64())],
-                    names=[*(carry if last else [*carry, raw]), "_spans", "_items", "_n_words"],
+                    [*(part.column(c) for c in columns), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array([len(w) for w in words], pa.int64())],
+                    names=[*columns, "_spans", "_items", "_n_words"],
                 )
+            let_go()
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from talus.llm import common
 from talus.llm.components import components
-from talus.llm.text import pieces
+from talus.llm.text import let_go, pieces
 
 BITS, TAU, PARTS, CROWD, SEED, SHINGLE = 64, 2, 3, 128, 42, 3
 
@@ -68,9 +68,10 @@ def fingerprinted(df: DataFrame, carry: list[str], text: str = "text", shingle:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema), "fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, raw, 4 << 20):
+        for part in pieces(batches, raw, 1 << 20):
             fp = fingerprints(part.column(raw).to_pylist(), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(fp)], names=[*carry, "fp"])
+            let_go()
 
     return df.select(*carry, F.col(text).cast("binary").alias(raw)).mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ def spaced_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about ``most`` bytes of ``column``, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -34,3 +34,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
                 last += 1
             yield batch.slice(first, last - first)
             first = last
+
+
+def raw_texts(part: pa.RecordBatch, column: str) -> list[bytes | None]:
+    """A column's texts as UTF-8 bytes."""
+    return part.column(column).cast(pa.binary()).to_pylist()
+
+
+def let_go() -> None:
+    """Give memory that Arrow keeps for later back to the system."""
+    pa.default_memory_pool().release_unused()

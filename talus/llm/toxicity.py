@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import common
-from talus.llm.text import pieces, plain_words
+from talus.llm.text import let_go, pieces, plain_words, raw_texts
 
 BOUND, PRIOR, Z, NEUTRAL, REJECT, PREFIXES = 20_000, 0.1, 3.0, 0.25, 0.7, (6, 5, 4)
-CACHE = 300_000
+CACHE = 150_000
 
 
 @dataclass
@@ -195,21 +195,21 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
     """``df`` (or its columns ``carry``) with toxicity (0 to 1) and passages, the significant segments by word places."""
     made = ["toxicity", "passages"]
     own = [c for c in carry or df.columns if c.lower() not in made]
-    (raw,) = common.unused(df, "_raw")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema), "toxicity double, passages array<struct<first:int,last:int,score:double>>"])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model)
-        for part in pieces(batches, raw):
+        for part in pieces(batches, text):
             scores, found = [], []
-            for text in part.column(raw).to_pylist():
-                n, all_found = scanner.scan(text)
+            for x in raw_texts(part, text):
+                n, all_found = scanner.scan(x)
                 scores.append(scanner.score(scanner.evidence(n, all_found)))
                 found.append([{"first": a, "last": b, "score": s} for a, b, s in all_found if scanner.evidence(n, [(a, b, s)]) > 0])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*own, *made])
+            let_go()
 
-    return df.select(*own, F.col(text).cast("binary").alias(raw)).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*own, text])).mapInArrow(run, schema)
 
 
 def _remainder() -> F.Column:
