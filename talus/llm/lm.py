@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import common, gru
-from talus.llm.text import pieces
+from talus.llm.text import let_go, pieces
 
-CHUNK, SAMPLE, LEAST, ROUNDS, SMOOTH = 4_000_000, 8, 60_000, 3, 0.1
+CHUNK, SAMPLE, LEAST, ROUNDS, SMOOTH = 2_000_000, 8, 60_000, 3, 0.1
 END = b""  # no word is empty
 _PUNCTUATION = b".,;:!?\"')]}&$#*%|"
 
@@ -117,8 +117,11 @@ def _numbered(raw: str, key: str):
             if n >= CHUNK:
                 yield from words()
                 codes, n, seq, counts = _Codes({END: 0}), 0, seq + 1, np.zeros(1, np.int64)
+                let_go()
         if n:
             yield from words()
+        codes.clear()
+        let_go()
 
     return run
 
@@ -156,6 +159,7 @@ def _trainer(shape: gru.Shape, flat: np.ndarray, turn: int):
         for b in batches:
             for x, e in zip(b.column("ids").to_pylist(), b.column("ends").to_pylist(), strict=True):
                 ids, ends = unpacked(x), unpacked(e)
+                let_go()
                 tokens = max(LEAST, len(ids) // ROUNDS)
                 done = gru.train(shape, gru.unpack(flat, like), ids, ends, tokens, skip=turn * tokens // gru.STREAMS)
                 yield pa.RecordBatch.from_arrays([pa.array([gru.pack(done)], pa.list_(pa.float32())), pa.array([len(ids)], pa.int64())], names=["weights", "size"])
@@ -222,6 +226,7 @@ def _scoring(shape: gru.Shape, flat: np.ndarray, tail_log: np.ndarray, base_log:
         bases, n_known, added = ([float(v[x].sum()) for x in texts] for v in (base, known, within))
         ids = local[np.concatenate(texts)] if texts else local[:0]
         model = gru.score(shape, gru.unpack(flat, like), ids, ends)
+        let_go()
         return pa.table(
             {
                 key: left.column(key), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(ends, prepend=0), pa.int64()), "n_known": pa.array([int(x) for x in n_known], pa.int64()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,5 +44,7 @@ def raw_texts(part: pa.RecordBatch, column: str) -> list[bytes | None]:
 
 
 def let_go() -> None:
-    """Give memory that Arrow keeps for later back to the system."""
+    """Give memory that Arrow and the C library keep for later back to the system."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
