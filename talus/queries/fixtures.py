@@ -112,7 +112,7 @@ def forces_sql(out: str, src: str) -> list[str]:
         f"""{out}_b as (select *, 100.0 * sqrt(1 - sin(fx) * sin(fx) * sin(fy) * sin(fy)) / (cos(fx) * cos(fy)) as fr from {out}_a)""",
         f"""{out}_c as (select *, (w + sigma_s * fr * sin(fa) * tan(radians(phi)) - coh * fr * sin(fa)) / (cos(fa) + sin(fa) * tan(radians(phi))) as fn from {out}_b)""",
         f"""{out}_d as (select *, fn * sin(fa) - (coh * fr + (fn - sigma_s * fr) * tan(radians(phi))) * cos(fa) + pga * w as fq from {out}_c)""",
-        f"""{out} as (select * exclude (fm, fa, fx, fy, fr, fn, fq), case when z is null then 0 else fq end as q, case when z is null then 0 else -subdx / nullif(fm, 0) * fq end as qx,
+        f"""{out} as materialized (select * exclude (fm, fa, fx, fy, fr, fn, fq), case when z is null then 0 else fq end as q, case when z is null then 0 else -subdx / nullif(fm, 0) * fq end as qx,
           case when z is null then 0 else -subdy / nullif(fm, 0) * fq end as qy, case when z is null then 0 else fr end as area, case when z is null then 0 else fn end as normal,
           case when z is null then 0 else sigma_s * fr end as uplift, case when z is null then 0 else degrees(fa) end as alpha,
           case when z is null then 0 else degrees(atan2(-subdy / nullif(fm, 0) * fq, -subdx / nullif(fm, 0) * fq)) end as theta from {out}_d)""",
@@ -122,14 +122,13 @@ def forces_sql(out: str, src: str) -> list[str]:
 def components_sql(out: str, src: str, mask: str = "mask", diagonal: bool = True, same: str | None = None, by: str | None = None) -> list[str]:
     """CTEs (for a recursive WITH) out with idx and root of set cells, by smallest labels spread along links."""
     key = "c::bigint * m + r + 1" + (f" + {by} * 100000000::bigint" if by else "")
-    reach = "abs(b.r - a.r) <= 1 and abs(b.c - a.c) <= 1" if diagonal else "abs(b.r - a.r) + abs(b.c - a.c) = 1"
     offsets = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr or dc) and (diagonal or not (dr and dc))]
     moves = ", ".join(f"({dr}, {dc})" for dr, dc in offsets)
-    del reach
     return [
-        f"{out}_on as (select *, {key} as idx from {src}, (select m from ends) where {mask})",
-        f"{out}_e as (select a.idx as a, b.idx as b from {out}_on a cross join (values {moves}) o(dr, dc) join {out}_on b on b.r = a.r + dr and b.c = a.c + dc{f' and a.{by} = b.{by}' if by else ''}{f' and a.{same} = b.{same}' if same else ''})",
+        f"{out}_on as materialized (select *, {key} as idx from {src}, (select m from ends) where {mask})",
+        f"{out}_m as materialized (select a.idx as a, a.idx + dr + dc * m as b{f', a.{same} as s' if same else ''} from {out}_on a cross join (values {moves}) o(dr, dc) where a.r + dr between 0 and m - 1)",
+        f"{out}_e as materialized (select a.a, a.b from {out}_m a join {out}_on b on b.idx = a.b{f' where a.s = b.{same}' if same else ''})",
         f"""{out}_l(idx, root) using key (idx) as (select idx, idx as root from {out}_on
           union select e.b, min(l.root) from {out}_l l join {out}_e e on e.a = l.idx join recurring.{out}_l o on o.idx = e.b where l.root < o.root group by e.b)""",
-        f"{out} as (select t.*, root from {out}_on t join {out}_l using (idx))",
+        f"{out} as materialized (select t.*, root from {out}_on t join {out}_l using (idx))",
     ]

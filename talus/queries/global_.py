@@ -129,7 +129,7 @@ _D8 = [
     """kr as (select *, case when kc.i = k.i then '-inf'::double when isinf(kc.z) then null else (z - kc.z) / 10.0 end as g1,
       case when kg.i = k.i then '-inf'::double when isinf(kg.z) then null else (z - kg.z) / (10.0 * sqrt(2.0)) end as g2 from kd)""",
     "kt as (select *, case when coalesce(g1 <= g2, false) and kg < kc then kg else kc end as t from kr)",
-    "flow as (select r, c, idx, case when z is not null and not isinf(t.z) and t.i <> k.i then -t.i end as recv from kt)",
+    "flow as materialized (select r, c, idx, case when z is not null and not isinf(t.z) and t.i <> k.i then -t.i end as recv from kt)",
 ]
 
 
@@ -139,7 +139,7 @@ def d8_receiver(spark, d):
     return hydrology.flow_direction(holes(spark, d), preprocess="none").select("r", "c", "idx", "recv")
 
 
-@query(_sql(CELLS, ENDS, HOLES, *_D8, "way as (select recv as at from flow where recv is not null union all select f.recv from way join flow f on f.idx = way.at where f.recv is not null)", "acc as (select at as idx, count(*) as n from way group by at)", select="select r, c, coalesce(n, 0) + 1.0::double as acc from flow left join acc using (idx)"))
+@query(_sql(CELLS, ENDS, HOLES, *_D8, "way as (select recv as cell from flow where recv is not null union all select f.recv from way join flow f on f.idx = way.cell where f.recv is not null)", "acc as (select cell as idx, count(*) as n from way group by cell)", select="select r, c, coalesce(n, 0) + 1.0::double as acc from flow left join acc using (idx)"))
 def flow_accumulation(spark, d):
     return hydrology.flow_accumulation(hydrology.flow_direction(holes(spark, d), preprocess="none")).select("r", "c", "acc")
 
