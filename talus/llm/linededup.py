@@ -37,7 +37,8 @@ def _hashes(text: str) -> Column:
 
 def spread_lines(docs: DataFrame, site: str = "source", text: str = "text", sites: int = SITES) -> DataFrame:
     """Hashes ``h`` of lines found on ``sites`` distinct sites or more."""
-    rows = docs.select(F.coalesce(F.concat(F.lit("="), F.col(site)), F.lit("")).alias("site"), F.explode(F.array_distinct(_hashes(text))).alias("h"))
+    # sketches leave empty strings out, so that a null or empty site has another mark
+    rows = docs.select(F.coalesce(F.concat(F.lit("="), F.col(site)), F.lit("?")).alias("site"), F.explode(F.array_distinct(_hashes(text))).alias("h"))
     spread = common.cut(rows.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_SIZE))).alias("n")).where(F.col("n") >= sites * (1 - BAND)))
     near = spread.where(F.col("n") <= sites * (1 + BAND)).select("h")
     exact = rows.join(near, "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") >= sites).select("h")
