@@ -5,7 +5,7 @@ inside menus, headers, footers, sidebars, notices, adverts, forms and comments (
 or class) and blocks dense in links are boilerplate; long blocks, and in an article blocks of
 running text, with stop words or inside an article element are content; the rest is ambiguous.
 The second pass gives an ambiguous block the label of its nearest decided neighbours: of both if they agree,
-of the nearer one if not, of the article around it where that has no decided block.
+of the nearer one if not (as near: content in an article, boilerplate outside), of the article around it where that has no decided block.
 
 Scripts, styles, the head, comments and markup never reach a block; character
 references are decoded. White space inside a block becomes one space, blocks are
@@ -182,7 +182,7 @@ def labels(found: list[_Block]) -> list[bool]:
             elif b.heading:
                 v = bool(first[around[1]])
             else:
-                v = bool(first[min(around, key=lambda j: (abs(j - i), bool(first[j])))])
+                v = bool(first[min(around, key=lambda j: (abs(j - i), bool(first[j]) != (b.article > 0)))])
         out.append(v)
     return out
 
