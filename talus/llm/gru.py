@@ -45,7 +45,7 @@ class Shape:
             "wh": small(HIDDEN, 3 * HIDDEN) * 2,
             "b": np.concatenate((np.full(HIDDEN, 1), np.zeros(2 * HIDDEN))).astype(_F),
             "cls": small(HIDDEN, HEAD_CLASSES + TAILS) * 0.1,
-            "cls_b": np.log(np.maximum(self.mass, 0.5) / max(self.mass.sum(), 1)).astype(_F),
+            "cls_b": np.where(self.mass > 0, np.log(np.maximum(self.mass, 0.5) / max(self.mass.sum(), 1)), -1e4).astype(_F),  # no share for classes without words
             "out": small(self.n, HIDDEN) * 0.1,
             "out_b": within.astype(_F),
         }
