@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import common
-from talus.llm.components import components
+from talus.plans.components import components
 from talus.llm.text import let_go, pieces
 
 BITS, TAU, PARTS, CROWD, SEED, SHINGLE = 64, 2, 3, 128, 42, 3

@@ -1,0 +1,366 @@
+"""Training-data operators against brute force, with nulls, empty and repeated rows and extra columns."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from talus.llm import decontamination, fmindex, htmltext, linededup, lm, mixing, quality, secrets, sharding, simhash, toxicity
+
+SCHEMA = "doc_id long, text string, source string, _raw string, shard string"
+
+
+def docs(spark, texts, sources=None):
+    rows = [(i, t, (sources or ["a", None, "b"])[i % 3] if not sources else sources[i], "x", "y") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+TEXTS = [None, "", "one two three", "ONE two  three\nfour", " \t\n", "word " * 300, "a b c d e f g h i j k " * 3, "é ü ñ", "one two three", "x" * 50_000]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return docs(spark, TEXTS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_sharding(spark, mixed, empty):
+    many = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(7).alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("slot"))
+    rows = sharding.shard_rows(many, 7).collect()
+    load = Counter(r.shard for r in rows)
+    assert len(rows) == 1000 and max(load.values()) - min(load.values()) <= 1
+    at = {}
+    for r in rows:
+        at.setdefault(r.shard, []).append(r.slot_)
+    assert all(sorted(v) == list(range(len(v))) for v in at.values())
+    assert sharding.shard_rows(mixed).count() == len(TEXTS) and sharding.shard_rows(empty).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shard_rows(mixed, 2, load=1)
+
+
+def test_ring_moves_little(spark):
+    some = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    a, b = ({r.doc_id: r.shard for r in sharding.shard_rows(some, n, load=4000 // n * 2).collect()} for n in (10, 11))
+    assert sum(a[k] != b[k] for k in a) < 4000 * 0.25
+
+
+def test_ring_sweep_by_rows():
+    points, room = sharding.ring(5, 8), [4] * 5
+    counts = {(a, 0): 1 + a % 2 for a in range(0, 26, 2)}
+    total = sum(counts.values())
+    assert sum(e - s for _, _, s, e, _, _ in sharding.sweep(counts, points, room)) == total
+    loads, want = [0] * 5, Counter()
+    for (arc, _), n in sorted(counts.items()):
+        for _ in range(n):
+            j = arc
+            while loads[points[j % 40][1]] == 4:
+                j += 1
+            loads[points[j % 40][1]] += 1
+            want[arc, points[j % 40][1]] += 1
+    got = Counter()
+    for arc, _, s, e, shard, _ in sharding.sweep(counts, points, room):
+        got[arc, shard] += e - s
+    assert got == want
+
+
+def test_mixing(spark, mixed, empty):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 200, 300)]
+    sources = [["big", "big", "small", None][int(k)] for k in rng.integers(0, 4, 300)]
+    out = mixing.mix(docs(spark, texts, sources), blocks=4096).collect()
+    assert all(r.taken <= 3 * r.size for r in out)
+    for s in ("big", "small", None):
+        own = [r for r in out if r.source == s]
+        assert own and abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target + 20
+    assert sum({r.source: r.target for r in out}.values()) == pytest.approx(sum(r.size for r in out))
+    again = mixing.mix(docs(spark, texts, sources).repartition(7), blocks=4096).collect()
+    assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in again)
+    assert mixing.mix(mixed).count() == len(TEXTS) and mixing.mix(empty).count() == 0
+    made = mixing.copies(mixing.mix(mixed), mixed.columns)
+    assert made.columns == mixed.columns
+    words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in made.collect())
+    assert words == sum(r.taken for r in mixing.mix(mixed).collect())
+
+
+def test_seats_are_the_highest_quotients(spark):
+    goals = mixing.targets(spark.createDataFrame([("a", 100), ("b", 700), (None, 50)], "source string, source_size long"))
+    rows = {r.source: r for r in goals.collect()}
+    won = Counter(r.source for r in mixing.seats(goals, 85).collect())
+    assert sum(won.values()) == 85 and all(abs(won[k] - rows[k].target / 10) <= 1 for k in rows)
+
+
+def slow_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = {i + k for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(words), sum(map(len, words)), symbols, dup, len(hit)
+
+
+def test_quality(spark, mixed, empty):
+    rng = np.random.default_rng(3)
+    texts = [*TEXTS, *("\n".join(" ".join(rng.choice(list("abcdé#"), 9)) for _ in range(12)) for _ in range(20)), "a\nb\na\n \na", " ".join(f"w{i}" for i in range(100))]
+    got = quality.measure([None if t is None else t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        assert tuple(got[k][i] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == slow_quality(t), t
+    assert got["kept"][-1] and not got["kept"][0]
+    assert quality.judge(mixed).count() == len(TEXTS) and quality.judge(empty).count() == 0
+
+
+def test_toxicity(spark, mixed, empty):
+    rng = np.random.default_rng(5)
+    plain = [f"w{i}" for i in range(60)]
+
+    def text(bad):
+        w = [str(x) for x in rng.choice(plain, 60)]
+        for k in rng.choice(60, 9, replace=False) if bad else ():
+            w[k] = str(rng.choice(["idiot", "scum,", "TRASH!"]))
+        return " ".join(w)
+
+    d = docs(spark, [text(i % 4 == 0) for i in range(240)], ["s"] * 240)
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, lab)).collect()}
+    assert all((rows[i].toxicity >= 0.7) == (i % 4 == 0) for i in range(160, 240))
+    assert rows[160].passages and not rows[161].passages
+    none = toxicity.fit(mixed, lab.where("toxic = 2"))
+    assert all(0 <= r.toxicity < 0.7 for r in toxicity.score(mixed, none).collect()) and toxicity.score(empty, none).count() == 0
+
+
+def test_maximal_segments():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        s = rng.choice([-1.0, 2.0, -0.25, 0.5], 14)
+        hits = [(i, float(x)) for i, x in enumerate(s) if x != -toxicity.NEUTRAL]
+        got = toxicity.segments(hits)
+        best = max((sum(s[a : b + 1]) for a in range(14) for b in range(a, 14)), default=0)
+        assert max((x for *_, x in got), default=0) == pytest.approx(max(best, 0))
+        assert all(x == pytest.approx(sum(s[a : b + 1])) for a, b, x in got)
+        assert all(got[i][1] < got[i + 1][0] for i in range(len(got) - 1))
+
+
+def test_html():
+    page = """<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies on this site and the others of the group</div>
+    <article><h1>Big &amp; new</h1><p>The  <b>first</b> part of the text is here and it is long enough to be read as running text.<p>Short.
+    <div class="comments"><p>The reader says that this is not at all what the text of the page is about, and so on and on.</p></div></article>
+    <aside>The related pages of the site are listed here for all to see and to read in the night</aside><form>Name</form><script>x("</p>")</script><footer>&copy; 2020 the site</footer>"""
+    want = "Big & new The first part of the text is here and it is long enough to be read as running text. Short."
+    assert htmltext.main_text(page) == want
+    assert htmltext.main_text(None) == "" and htmltext.main_text("") == "" and htmltext.main_text("<p") == ""
+    bare = "<div><a href=a>One</a> <a href=b>Two</a></div><p>" + "The story of the day is that it was in the end as it had been. " * 4 + "</p><p>And so.</p>"
+    assert htmltext.main_text(bare).endswith("And so.") and "One" not in htmltext.main_text(bare)
+
+
+def test_html_rows(spark):
+    pages = spark.createDataFrame([(1, "u", None), (2, "u", "<article><p>Hi there</article>"), (2, "u", "")], "page_id long, url string, html string")
+    assert [r.text for r in htmltext.extract(pages, ["page_id"]).orderBy("page_id", "n_chars").collect()] == ["", "", "Hi there"]
+    assert htmltext.extract(pages.limit(0), ["page_id"]).count() == 0
+
+
+def test_line_spread(spark, empty):
+    texts = ["Boiler plate\nown 1", " Boiler plate \nown 2", None, "Boiler plate", "", "Boiler plate\n\nown 5\nBoiler plate"]
+    d = docs(spark, texts, ["a", "b", "c", None, "d", "e"])
+    got = {r.doc_id: r for r in linededup.remove_spread_lines(d, sites=4).collect()}
+    assert got[0].text == "own 1" and got[3].text == "" and got[5].text == "\nown 5" and got[5].n_removed == 2 and got[2].text is None and got[4].n_lines == 0
+    assert linededup.remove_spread_lines(d, sites=5).agg(F.sum("n_removed")).first()[0] == 0
+    assert linededup.remove_spread_lines(empty).count() == 0
+
+
+def test_line_spread_over_many_sites(spark):
+    wide = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common\nhalf "), F.col("id") % 2).alias("text"), (F.col("id") % 997).cast("string").alias("source"))
+    assert linededup.spread_lines(wide, sites=997).count() == 3 and linededup.spread_lines(wide, sites=998).count() == 0
+
+
+def test_gru_gradients_and_probabilities():
+    from talus.llm import gru
+
+    rng = np.random.default_rng(0)
+    shape = gru.Shape(np.arange(30, dtype=np.int64) * 7, np.arange(30, 0, -1) * 3.0, np.full(gru.TAILS, 2.0))
+    p = {k: v.astype(float) for k, v in shape.start().items()}
+    x, y, keep = rng.integers(0, 30, (4, 3)), rng.integers(0, 30 + gru.TAILS, (4, 3)), np.ones((4, 3))
+    keep[2, 1] = 0
+    h = rng.standard_normal((3, gru.HIDDEN)) * 0.1
+    _, grads, _ = gru.gradients(shape, p, x, y, keep, h)
+    for k in ("wx", "wh", "cls", "b"):
+        i = tuple(rng.integers(0, s) for s in p[k].shape)
+        q = {a: b.copy() for a, b in p.items()}
+        q[k][i] += 1e-5
+        up = gru.gradients(shape, q, x, y, keep, h)[0]
+        q[k][i] -= 2e-5
+        assert (up - gru.gradients(shape, q, x, y, keep, h)[0]) / 2e-5 == pytest.approx(grads[k][i], rel=1e-2, abs=1e-5)
+    every = np.arange(30 + gru.TAILS)
+    assert np.exp(gru.log_probabilities(shape, shape.start(), np.zeros((len(every), gru.HIDDEN), np.float32), every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_scores(spark, mixed, empty):
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    rows = lm.score(mixed.withColumn("held_out", held)).collect()
+    counts = Counter()
+    token = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]
+    for i, t in enumerate(TEXTS):
+        if zlib.crc32(str(i).encode()) % 10:
+            counts.update(token(t))
+    n, v = sum(counts.values()), len(counts)
+    for r in rows:
+        w = token(TEXTS[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        assert r.score < 0
+    assert len(rows) == len(TEXTS) and lm.score(empty.withColumn("held_out", held)).count() == 0
+
+
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_groups(fps):
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+def test_fingerprints():
+    assert simhash.fingerprints([None if t is None else t.encode() for t in TEXTS]).tolist() == [slow_fingerprint(t) for t in TEXTS]
+
+
+@pytest.mark.parametrize("crowd", [128, 3])
+def test_simhash_groups(spark, crowd):
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
+    fps = [b ^ sum(1 << int(k) for k in rng.choice(63, int(rng.integers(0, 4)), replace=False)) for b in base for _ in range(9)] + [base[0]] * 5
+    rows = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long")
+    edges = simhash.links(rows.select("fp").distinct(), crowd=crowd)
+    from talus.plans.components import components
+
+    roots = {r.node: r.root for r in components(edges).collect()}
+    want = slow_groups(fps)
+    groups = {}
+    for f, g in zip(fps, want, strict=True):
+        groups.setdefault(g, set()).add(roots.get(f, f))
+    assert all(len(x) == 1 for x in groups.values()) and len({min(x) for x in groups.values()}) == len(groups)
+    if crowd == 128:
+        got = {r.doc_id: r.component_id for r in simhash.grouped(rows).collect()}
+        assert got == dict(enumerate(want))
+
+
+def test_thresholds_add_up():
+    t = simhash.allot([22, 21, 21], [5.0, 1e9, 5.0], [[0.5] * 22, [0.5] * 21, [0.5] * 21], 1000)
+    assert sum(t) == 0 and t[1] == -1  # the partition of one value in common is not probed
+
+
+def test_keep_one(spark, mixed, empty):
+    kept = sorted(r.doc_id for r in simhash.keep_one(mixed.unionAll(mixed)).collect())
+    want = slow_groups([slow_fingerprint(t) for t in TEXTS])
+    assert kept == sorted(set(want)) and simhash.keep_one(empty).count() == 0
+
+
+def test_fm_index():
+    rng = np.random.default_rng(11)
+    text = rng.integers(1, 5, 400)
+    text[rng.choice(400, 30)] = 0
+    text[-1] = 0
+    index = fmindex.FMIndex(text, 6)
+    for n in (1, 2, 4):
+        patterns = rng.integers(1, 6, (50, n))
+        lo, hi = index.search(patterns)
+        for k, p in enumerate(patterns):
+            want = [i for i in range(400 - n + 1) if (text[i : i + n] == p).all()]
+            assert sorted(index.locate(np.arange(lo[k], hi[k])).tolist()) == want
+
+
+def slow_hits(text, items):
+    words = [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    hit, names = set(), set()
+    for name, item in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), item or ""))
+        k = min(10, len(w))
+        wins = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+        for i in range(len(words) - k + 1):
+            if k and tuple(words[i : i + k]) in wins:
+                hit.update(range(i, i + k))
+                names.add(str(name))
+    return len(words), len(hit), sorted(names)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 10])
+def test_decontamination(spark, mixed, empty, block):
+    rng = np.random.default_rng(13)
+    items = [(1, "a b c d e f g h i j k"), (2, "Three!"), (3, None), (4, ""), (5, " ".join(rng.choice(list("ab"), 14))), (1, "one two")]
+    texts = [*TEXTS, *(" ".join(rng.choice(list("ab"), 60)) for _ in range(10))]
+    d, bench = docs(spark, texts, ["s"] * len(texts)), spark.createDataFrame(items, "item_id long, text string")
+    for r in decontamination.search(d, bench, ["doc_id"], block_bytes=block).collect():
+        n, hits, names = slow_hits(texts[r.doc_id], items)
+        assert (r._n_words, sum(r._spans[1::2]) - sum(r._spans[::2]), r._items) == (n, hits, names)
+    assert decontamination.search(empty, bench, ["doc_id"]).count() == 0
+    assert decontamination.search(mixed, bench.limit(0), ["doc_id"]).agg(F.max(F.size("_spans"))).first()[0] == 0
+    clean = {r.doc_id: r.text for r in decontamination.cleaned(mixed, bench).collect()}
+    assert clean[0] is None and clean[7] == "é ü ñ" and 2 not in clean and clean[3].strip() == "four" and mixed.columns == decontamination.cleaned(mixed, bench).columns
+
+
+def test_secrets(spark, mixed, empty):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    d = docs(spark, [f'set token = "{key}" now', f"see commit {key} for it", "path src/app/main_test_file12.py here", None, ""], ["s"] * 5)
+    found = {r.doc_id: r for r in secrets.scan(d, ["doc_id"]).collect()}
+    assert found[0].is_secret and found[0].candidate == key and not found[1].is_secret and not found[2].is_secret and len(found) == 3
+    model = secrets.train(spark)
+    assert secrets.scan(mixed, ["doc_id"], model).count() == 0 and secrets.scan(empty, ["doc_id"], model).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    every = secrets.findings(3000, seed=5)
+    from pyspark.ml.feature import VectorAssembler
+
+    model = secrets.train(spark, every[:2000])
+    rows = spark.createDataFrame(every[2000:], "candidate string, word string, before string, after string, label double")
+    out = model.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(secrets.with_features(rows)))
+    assert out.where("prediction = label").count() > 950
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    read = spark.read.parquet(f"{sf}/documents.parquet")
+    now = read
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, stage(spark, now, sf)
+        now = now.cache()
+        if name != "sharding":
+            assert now.columns == read.columns
+        if name in ("toxicity", "near_duplicates"):
+            assert 0.5 * before.count() < now.count() <= before.count()
+        if name == "near_duplicates":
+            fps = [slow_fingerprint(r.text) for r in before.collect()]
+            assert now.count() == len(set(slow_groups(fps)))
+        if name == "decontamination":
+            assert decontamination.search(now, spark.read.parquet(f"{sf}/benchmark.parquet"), ["doc_id"]).where(F.size("_spans") > 0).count() <= 1
+        if name == "mixing":
+            assert now.subtract(before).count() <= before.select("source").distinct().count()
+    load = Counter(r.shard for r in now.collect())
+    assert max(load.values()) - min(load.values()) <= 1
