@@ -266,7 +266,7 @@ def grow_clusters(clusters: DataFrame, rasters: DataFrame, settings: Settings |
     if m is None:
         return clusters.select("run", "cluster", "r", "c", F.lit("initial").alias("kind"), F.lit(0).alias("code"), F.lit(0).alias("cycles")).limit(0)
     boxes = cut(clusters.groupBy("run", "cluster").agg(F.min("r").alias("b0"), F.max("r").alias("b1"), F.min("c").alias("b2"), F.max("c").alias("b3"), F.first("phi").alias("phi"), F.first("coh").alias("coh")))
-    tiled = rasters.withColumns({"_tr": F.floor(F.col("r") / tile).cast("int"), "_tc": F.floor(F.col("c") / tile).cast("int")})
+    tiled = rasters.select("run", "r", "c", *_FIELDS, "qx_rot", "qy_rot").withColumns({"_tr": F.floor(F.col("r") / tile).cast("int"), "_tc": F.floor(F.col("c") / tile).cast("int")})
     done, todo = [], boxes
     while True:
         covered = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(lo) - reach) / tile).cast("int"), F.floor((F.col(hi) + reach) / tile).cast("int")))  # noqa: E731, B023

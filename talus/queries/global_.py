@@ -209,7 +209,9 @@ def slides(spark, d, rows=RUNS):
     found = cut(labels.components(stack))
     big = found.join(labels.sizes(found).where("cells >= 7").select("root"), "root", "left_semi")
     run = F.floor(F.col("r") / (m + 1)).cast("int")
-    return big.select(run.alias("run"), (F.col("r") % (m + 1)).cast("int").alias("r"), "c", "root"), forces
+    own = big.select(run.alias("run"), (F.col("r") % (m + 1)).cast("int").alias("r"), "c", "root").withColumn("idx", grid.idx(m))
+    first = own.groupBy("run", "root").agg(F.min("idx").alias("first"))  # clusters are known by their first cell
+    return own.join(first, ["run", "root"]).select("run", "r", "c", F.col("first").alias("root")), forces
 
 
 def _summary(spark, found, rows=RUNS):
@@ -281,7 +283,7 @@ def contribution_gaps(spark, d):
     return scenarios.contribution_gaps(_banked(spark, d), 4)
 
 
-@query(_sql(*_SLIDES, select="select run, root as cluster, round(sum(w) / (sum(depth) * 100.0), 6) as gamma from slides join f using (run, r, c) group by run, root"))
+@query(_sql(*_SLIDES, select="select run, root % 100000000 as cluster, round(sum(w) / (sum(depth) * 100.0), 6) as gamma from slides join f using (run, r, c) group by run, root"))
 def cluster_weight(spark, d):
     found, forces = slides(spark, d)
     rows = found.join(forces.select("run", "r", "c", "w", "depth"), ["run", "r", "c"]).withColumn("cluster", F.struct("run", "root"))
@@ -289,7 +291,7 @@ def cluster_weight(spark, d):
 
 
 @query(_sql(*_SLIDES, "box as (select run, root, min(r) as a, max(r) as b, min(c) as k, max(c) as l from slides group by run, root)",
-    select="select run, root as cluster, count(*) as cells, round(sum(z), 3) as sum_z from box join cells on r between a - 20 and b + 20 and c between k - 20 and l + 20 group by run, root"))
+    select="select run, root % 100000000 as cluster, count(*) as cells, round(sum(z), 3) as sum_z from box join cells on r between a - 20 and b + 20 and c between k - 20 and l + 20 group by run, root"))
 def cluster_window_rangejoin(spark, d):
     """Cells of each cluster's box and 20 around it, by an equi-join on the tiles it covers."""
     found, _ = slides(spark, d)
@@ -307,7 +309,7 @@ _ROTS = """rot as (select f.run, root, rot_id, f.r, f.c, f.z, f.w, f.sigma_s, f.
 
 @query(_sql(*_SLIDES, _ROTS, "rr as (select * exclude (len, turn), len * cos(radians(turn)) as subdx, len * sin(radians(turn)) as subdy from rot)", *forces_sql("g", "rr"),
     "s as (select run, root, rot_id, coalesce(sum(qx), 0) as x, coalesce(sum(qy), 0) as y, sum(w) as w from g group by run, root, rot_id)",
-    select="select run, root as cluster, round(min(sqrt(x * x + y * y)), 4) as err, round(max(w), 4) as weight, min(sqrt(x * x + y * y)) <= max(w) / 100 as closed from s group by run, root"))
+    select="select run, root % 100000000 as cluster, round(min(sqrt(x * x + y * y)), 4) as err, round(max(w), 4) as weight, min(sqrt(x * x + y * y)) <= max(w) / 100 as closed from s group by run, root"))
 def rotation_closure(spark, d):
     """Least force sum of each cluster over the rotations, against 1 % of its weight."""
     found, forces = slides(spark, d)
