@@ -119,32 +119,32 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (counter-clockwise point numbers) by incremental insertion with circle tests."""
+    """Triangles (counter-clockwise point numbers) by incremental insertion; circles are tested all at once."""
     n = len(points)
     if n < 3:
         return np.zeros((0, 3), int)
     centre, span = points.mean(0), max(1e-9, float(np.ptp(points, axis=0).max()))
-    far = np.array([[centre[0] - 1e4 * span, centre[1] - 1e4 * span], [centre[0] + 1e4 * span, centre[1] - 1e4 * span], [centre[0], centre[1] + 1e4 * span]])
-    p = np.vstack((points, far))
-    triangles: set[tuple[int, int, int]] = {(n, n + 1, n + 2)}
+    p = np.vstack((points, centre + 1e4 * span * np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]])))
+    tri = np.array([[n, n + 1, n + 2]])
+    circle = _circles(p, tri)
     for i in range(n):
         x, y = p[i]
-        bad = [t for t in triangles if _in_circle(p, t, x, y)]
-        edges: dict[tuple[int, int], int] = {}
-        for a, b, c in bad:
-            for e in ((a, b), (b, c), (c, a)):
-                edges[e] = edges.get(e, 0) + 1
-        triangles.difference_update(bad)
-        for a, b in edges:
-            if (b, a) not in edges and (p[a][0] - x) * (p[b][1] - y) - (p[a][1] - y) * (p[b][0] - x) > 0:
-                triangles.add((a, b, i))
-    return np.array(sorted(t for t in triangles if max(t) < n), int).reshape(-1, 3)
-
-
-def _in_circle(p: np.ndarray, t: tuple[int, int, int], x: float, y: float) -> bool:
-    (ax, ay), (bx, by), (cx, cy) = ((p[k][0] - x, p[k][1] - y) for k in t)
-    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-    return ax * (by * c2 - b2 * cy) - ay * (bx * c2 - b2 * cx) + a2 * (bx * cy - by * cx) > 1e-9 * max(1.0, a2, b2, c2)
+        hit = (circle[:, 0] - x) ** 2 + (circle[:, 1] - y) ** 2 < circle[:, 2] * (1 - 1e-12)
+        edges = {(int(t[k]), int(t[(k + 1) % 3])) for t in tri[hit] for k in range(3)}
+        rim = [(a, b) for a, b in edges if (b, a) not in edges and (p[a][0] - x) * (p[b][1] - y) - (p[a][1] - y) * (p[b][0] - x) > 0]
+        new = np.array([(a, b, i) for a, b in sorted(rim)], int).reshape(-1, 3)
+        tri, circle = np.vstack((tri[~hit], new)), np.vstack((circle[~hit], _circles(p, new)))
+    return tri[(tri < n).all(axis=1)]
+
+
+def _circles(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Centre and squared radius of the circle through each triangle's points."""
+    a = p[tri[:, 0]]
+    b, c = p[tri[:, 1]] - a, p[tri[:, 2]] - a
+    twice = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
+    b2, c2 = (b * b).sum(1), (c * c).sum(1)
+    u = np.stack(((c[:, 1] * b2 - b[:, 1] * c2) / twice, (b[:, 0] * c2 - c[:, 0] * b2) / twice), axis=1)
+    return np.column_stack((u + a, (u * u).sum(1)))
 
 
 def alpha_boundary(points: np.ndarray, shrink: float = 0.5) -> list[int]:
