@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 EMBED, HIDDEN, HEAD, HEAD_CLASSES, TAILS = 12, 16, 1024, 24, 72
-STREAMS, STEPS, RATE, CLIP, BLOCK = 32, 16, 0.01, 1.0, 16384
+STREAMS, STEPS, RATE, CLIP, BLOCK = 128, 16, 0.01, 1.0, 16384
 _F = np.float32
 
 
@@ -141,67 +141,86 @@ def gradients(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, target
     inputs: the tokens before (only where keep, else the text starts and the state is 0).
     """
     steps, streams = targets.shape
-    states, cache = [], []
+    embedded = p["embed"][inputs.ravel()]
+    inward = (embedded @ p["wx"] + p["b"]).reshape(steps, streams, 3 * HIDDEN)
+    states, befores, cache = [], [], []
     for t in range(steps):
-        e = p["embed"][inputs[t]]
-        g, a = e @ p["wx"] + p["b"], h @ p["wh"]
+        g, a = inward[t], h @ p["wh"]
         gates = _sigmoid(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         new = np.tanh(g[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        before = h
-        h = (new + z * (before - new)) * keep[t][:, None]
-        cache.append((e, z, r, new, a[:, 2 * HIDDEN :], before))
+        befores.append(h)
+        h = (new + z * (h - new)) * keep[t][:, None]
+        cache.append((z, r, new, a[:, 2 * HIDDEN :]))
         states.append(h)
     s, ids = np.concatenate(states), targets.ravel()
     classes, n = shape.classes(ids), len(ids)
-    logs = _log_softmax(s @ p["cls"] + p["cls_b"])
-    loss = -logs[np.arange(n), classes].sum()
-    d = np.exp(logs)
-    d[np.arange(n), classes] -= 1
+    loss, d = _loss(s @ p["cls"] + p["cls_b"], classes)
     d /= n
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     grads["cls"], grads["cls_b"] = s.T @ d, d.sum(0)
     ds = d @ p["cls"].T
     for rows, a, b in _heads(shape, ids, classes):
-        logs = _log_softmax(s[rows] @ p["out"][a:b].T + p["out_b"][a:b])
-        loss -= logs[np.arange(len(rows)), ids[rows] - a].sum()
-        d = np.exp(logs)
-        d[np.arange(len(rows)), ids[rows] - a] -= 1
+        more, d = _loss(s[rows] @ p["out"][a:b].T + p["out_b"][a:b], ids[rows] - a)
+        loss += more
         d /= n
         grads["out"][a:b], grads["out_b"][a:b] = d.T @ s[rows], d.sum(0)
         ds[rows] += d @ p["out"][a:b]
     ds = ds.reshape(steps, streams, HIDDEN)
     dh = np.zeros_like(h)
+    dgs, das = np.empty_like(inward), np.empty_like(inward)
     for t in range(steps - 1, -1, -1):
-        e, z, r, new, a, before = cache[t]
+        z, r, new, a = cache[t]
         dh = (dh + ds[t]) * keep[t][:, None]
         dn = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dn * a * r * (1 - r)
-        dg = np.concatenate((dz, dr, dn), axis=1)
-        da = np.concatenate((dz, dr, dn * r), axis=1)
-        grads["wx"] += e.T @ dg
-        grads["b"] += dg.sum(0)
-        grads["wh"] += before.T @ da
-        np.add.at(grads["embed"], inputs[t], dg @ p["wx"].T)
-        dh = dh * z + da @ p["wh"].T
+        dz = dh * (befores[t] - new) * z * (1 - z)
+        dgs[t] = np.concatenate((dz, dn * a * r * (1 - r), dn), axis=1)
+        das[t] = dgs[t]
+        das[t, :, 2 * HIDDEN :] *= r
+        dh = dh * z + das[t] @ p["wh"].T
+    dg, da = dgs.reshape(-1, 3 * HIDDEN), das.reshape(-1, 3 * HIDDEN)
+    grads["wx"], grads["b"], grads["wh"] = embedded.T @ dg, dg.sum(0), np.concatenate(befores).T @ da
+    order = np.argsort(inputs.ravel(), kind="stable")
+    words, first = np.unique(inputs.ravel()[order], return_index=True)
+    grads["embed"][words] = np.add.reduceat((dg @ p["wx"].T)[order], first, axis=0)
     return loss / n, grads, h
 
 
-def train(shape: Shape, p: dict[str, np.ndarray], ids: np.ndarray, ends: np.ndarray, tokens: int, skip: int = 0) -> dict[str, np.ndarray]:
-    """Weights after Adam steps over about ``tokens`` tokens of the texts (from place ``skip`` on, round again at the end), by truncated backpropagation."""
+def _loss(x: np.ndarray, right: np.ndarray):
+    """Summed loss of logits against the right columns, and its gradient by the logits."""
+    at = np.arange(len(x))
+    x = x - x.max(axis=1, keepdims=True)
+    d = np.exp(x)
+    total = d.sum(axis=1, keepdims=True)
+    loss = (np.log(total[:, 0]) - x[at, right]).sum()
+    d /= total
+    d[at, right] -= 1
+    return loss, d
+
+
+def steps_of(n: int, turn: int, rounds: int) -> tuple[int, int, int, int]:
+    """(streams, length of a stream, first step, end): what round ``turn`` learns of n tokens. All rounds together take every token."""
+    streams = max(1, min(STREAMS, n // (2 * STEPS)))
+    length = -(-n // streams)
+    every = -(-length // STEPS)
+    first = turn * every // rounds
+    return streams, length, first, max(first + 1, (turn + 1) * every // rounds)
+
+
+def train(shape: Shape, p: dict[str, np.ndarray], ids: np.ndarray, ends: np.ndarray, turn: int = 0, rounds: int = 1) -> dict[str, np.ndarray]:
+    """Weights after Adam steps over round ``turn``'s share of the texts' tokens (all of them in ``rounds`` rounds), by truncated backpropagation."""
     n = len(ids)
-    if n < 2:
+    if not n:
         return p
-    streams = max(1, min(STREAMS, n // (2 * STEPS)))
+    streams, length, first, end = steps_of(n, turn, rounds)
     starts = np.zeros(n, bool)
     starts[0] = True
     starts[ends[:-1]] = True
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    at = (np.arange(streams) * (n // streams) + skip) % n
+    at = np.arange(streams) * length + first * STEPS
     h = np.zeros((streams, HIDDEN), _F)
-    for step in range(1, max(1, tokens // (streams * STEPS)) + 1):
+    for step in range(1, end - first + 1):
         where = (at + np.arange(STEPS)[:, None]) % n
         _, grads, h = gradients(shape, p, ids[(where - 1) % n], ids[where], (~starts[where]).astype(_F), h)
         norm = float(np.sqrt(sum((g * g).sum() for g in grads.values())))
@@ -212,5 +231,5 @@ def train(shape: Shape, p: dict[str, np.ndarray], ids: np.ndarray, ends: np.ndar
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.001 * (g * g - v[k])
             p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(_F)
-        at = (at + STEPS) % n
+        at += STEPS
     return p

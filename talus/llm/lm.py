@@ -6,9 +6,9 @@
 2. One shuffle of the chunks' words by hash gives the counts over all training tokens of the corpus, and the
    chunks that a word of several chunks goes back to; a word of one chunk has its count there. Counts fix
    the head vocabulary, the tail classes' masses, the unigram base and the model's first biases.
-3. ``ROUNDS`` rounds of training: every chunk trains the common weights by truncated backpropagation on one in
-   ``SAMPLE`` of its training documents (by hash), and the weights are averaged by an aggregation. Work and what
-   is gathered grow with the input; what reaches the driver is one set of weights a round.
+3. ``ROUNDS`` rounds of training: every chunk trains the common weights by truncated backpropagation on the next
+   share of all its training documents, and the weights are averaged by an aggregation. The rounds together take
+   every training token, whatever the size of the input; what reaches the driver is one set of weights a round.
 4. Counts go back to the chunks, whose documents are scored whole, the recurrent state carried from start to end.
 
 The model's probability of a tail word is that of its class times the share of its count (plus 0.1; all
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from talus.llm import common, gru
 from talus.llm.text import let_go, pieces
 
-CHUNK, SAMPLE, LEAST, ROUNDS, SMOOTH = 2_000_000, 8, 60_000, 3, 0.1
+CHUNK, ROUNDS, SMOOTH = 2_000_000, 3, 0.1
 END = b""  # no word is empty
 _PUNCTUATION = b".,;:!?\"')]}&$#*%|"
 
@@ -72,7 +72,7 @@ class _Codes(dict):
 
 
 def _numbered(raw: str, key: str):
-    names = ["chunk", key, "held_out", "sampled", "tokens", "first", "h", "n", "tail", "own"]
+    names = ["chunk", key, "held_out", "tokens", "first", "h", "n", "tail", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, codes, n, key_type = TaskContext.get().partitionId(), 0, _Codes({END: 0}), 0, pa.null()
@@ -87,14 +87,14 @@ def _numbered(raw: str, key: str):
                 h, c, t = hashes[i : i + (1 << 16)], have[i : i + (1 << 16)], tails[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([(part << 20) + seq]), pa.nulls(1, key_type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([i]),
+                        pa.array([(part << 20) + seq]), pa.nulls(1, key_type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([i]),
                         pa.array([h], pa.list_(pa.int64())), pa.array([c.astype(np.int32)], pa.list_(pa.int32())), pa.array([t], pa.list_(pa.int16())), pa.array([packed(c)], pa.binary()),
                     ],
                     names=names,
                 )
 
         for batch in pieces(batches, raw, 2 << 20):
-            key_type, encoded, sampled = batch.column(key).type, [], []
+            key_type, encoded = batch.column(key).type, []
             for text, held in zip(batch.column(raw).to_pylist(), batch.column("held_out").to_pylist(), strict=True):
                 ids = list(map(codes.__getitem__, text.lower().split())) if text else []
                 ids.append(0)
@@ -104,12 +104,11 @@ def _numbered(raw: str, key: str):
                     if len(counts) < len(codes):
                         counts = np.concatenate((counts, np.zeros(len(codes), np.int64)))
                     np.add.at(counts, ids, 1)
-                sampled.append(not held and xxhash.xxh64_intdigest(text or b"") % SAMPLE == 0)
                 encoded.append(packed(ids))
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(part << 20) + seq] * k, pa.int64()), batch.column(key), batch.column("held_out"), pa.array(sampled, pa.bool_()), pa.array(encoded, pa.binary()), pa.nulls(k, pa.int64()),
+                    pa.array([(part << 20) + seq] * k, pa.int64()), batch.column(key), batch.column("held_out"), pa.array(encoded, pa.binary()), pa.nulls(k, pa.int64()),
                     pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int16())), pa.nulls(k, pa.binary()),
                 ],
                 names=names,
@@ -144,7 +143,7 @@ def _joined(words: pa.Table, column: str) -> np.ndarray:
 
 
 def _lessons(_, left, right):
-    """A chunk's sampled documents as model numbers."""
+    """A chunk's training documents as model numbers."""
     texts = [unpacked(x) for x in left.column("tokens").to_pylist()]
     if not texts or not right.num_rows:
         return pa.table({"ids": pa.array([], pa.binary()), "ends": pa.array([], pa.binary())})
@@ -160,8 +159,7 @@ def _trainer(shape: gru.Shape, flat: np.ndarray, turn: int):
             for x, e in zip(b.column("ids").to_pylist(), b.column("ends").to_pylist(), strict=True):
                 ids, ends = unpacked(x), unpacked(e)
                 let_go()
-                tokens = max(LEAST, len(ids) // ROUNDS)
-                done = gru.train(shape, gru.unpack(flat, like), ids, ends, tokens, skip=turn * tokens // gru.STREAMS)
+                done = gru.train(shape, gru.unpack(flat, like), ids, ends, turn, ROUNDS)
                 yield pa.RecordBatch.from_arrays([pa.array([gru.pack(done)], pa.list_(pa.float32())), pa.array([len(ids)], pa.int64())], names=["weights", "size"])
 
     return run
@@ -172,10 +170,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     (raw,) = common.unused(docs, "_raw")
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"chunk long, `{key}` {kind}, held_out boolean, sampled boolean, tokens binary, first long, h array<long>, n array<int>, tail array<short>, own binary"
+    schema = f"chunk long, `{key}` {kind}, held_out boolean, tokens binary, first long, h array<long>, n array<int>, tail array<short>, own binary"
     where = f"{common.shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     docs.select(key, "held_out", F.col(text).cast("binary").alias(raw)).mapInArrow(_numbered(raw, key), schema).write.option("compression", "zstd").parquet(f"{where}/chunks")
-    texts = spark.read.parquet(f"{where}/chunks").where("tokens is not null").select("chunk", key, "held_out", "sampled", "tokens")
+    texts = spark.read.parquet(f"{where}/chunks").where("tokens is not null").select("chunk", key, "held_out", "tokens")
     lists = spark.read.parquet(f"{where}/chunks").where("h is not null").select("chunk", "first", "h", "n", "tail", "own")
     place = (F.col("chunk") * (1 << 24) + F.col("first") + F.col("at")).alias("place")
     words = lists.select("chunk", "first", F.posexplode(F.arrays_zip("h", "n", "tail")).alias("at", "x")).select(place, "x.h", "x.n", "x.tail")
@@ -192,7 +190,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     shape = gru.Shape(np.array([r.h for r in head], np.int64), np.array([r.c for r in head], float), rest)
     flat = gru.pack(shape.start())
     named = common.cut(lists.select("chunk", "first", "h", "tail", "own").mapInArrow(_model_ids(shape), "chunk long, first long, ids binary, own binary"))
-    lessons = common.cut(texts.where("sampled").select("chunk", "tokens").groupBy("chunk").cogroup(named.select("chunk", "first", "ids").groupBy("chunk")).applyInArrow(_lessons, "ids binary, ends binary"))
+    lessons = common.cut(texts.where("not coalesce(held_out, false)").select("chunk", "tokens").groupBy("chunk").cogroup(named.select("chunk", "first", "ids").groupBy("chunk")).applyInArrow(_lessons, "ids binary, ends binary"))
     for turn in range(ROUNDS if total else 0):
         got = lessons.mapInArrow(_trainer(shape, flat, turn), "weights array<float>, size long")
         each = got.select("size", F.posexplode("weights").alias("at", "w")).groupBy("at").agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("w"))
@@ -205,7 +203,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     shared = back.repartition("chunk").groupBy("chunk").agg(F.collect_list(F.struct("w", "c")).alias("found"))  # a chunk's own words at most
     meet = named.join(shared, "chunk", "left").select("chunk", "first", "ids", "own", F.when(F.col("first") == 0, F.col("found")).alias("found"))
     out = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = texts.drop("sampled").groupBy("chunk").cogroup(meet.groupBy("chunk")).applyInArrow(_scoring(shape, flat, tail_log, base_log, key), out)
+    scored = texts.groupBy("chunk").cogroup(meet.groupBy("chunk")).applyInArrow(_scoring(shape, flat, tail_log, base_log, key), out)
     return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 

@@ -222,6 +222,27 @@ def test_lm_scores(spark, mixed, empty):
     assert len(rows) == len(TEXTS) and lm.score(empty.withColumn("held_out", held)).count() == 0
 
 
+def test_gru_rounds_take_every_token(monkeypatch):
+    from talus.llm import gru
+
+    seen, whole = Counter(), gru.gradients
+    monkeypatch.setattr(gru, "gradients", lambda s, p, x, y, k, h: (seen.update(y.ravel().tolist()), whole(s, p, x, y, k, h))[1])
+    shape = gru.Shape(np.arange(9000, dtype=np.int64), np.ones(9000), np.ones(gru.TAILS))
+    for n in (1, 5, 40, 700, 8999):
+        seen.clear()
+        for turn in range(lm.ROUNDS):
+            gru.train(shape, shape.start(), np.arange(n), np.array([n]), turn, lm.ROUNDS)
+        assert set(seen) == set(range(n))
+
+
+def test_lm_learns_from_every_training_document(spark):
+    # none of the texts was in the one-in-8 share by hash that the weights once learned from
+    lines = (" ".join("abcdefgh"[(k + i) % 8] for i in range(400)) + f" {j}" for k in range(8) for j in range(80))
+    texts = [t for t in lines if xxhash.xxh64_intdigest(t.encode()) % 8]
+    rows = lm.score(docs(spark, texts, ["s"] * len(texts)).coalesce(1).withColumn("held_out", F.col("doc_id") % 10 == 0)).where("held_out").collect()
+    assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
