@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talus.operators import grid, growth, hillslope, hydrology, labels, morphology, physics, scenarios, vector, zonal
+from talus.operators import grid, hillslope, hydrology, labels, morphology, physics, scenarios, vector, zonal
 from talus.plans import regional
 from talus.plans.checkpoints import cut
 from talus.queries.fixtures import (
@@ -195,6 +195,12 @@ def soil_depth_4steps(spark, d):
     return hillslope.soil_depth(holes(spark, d).select("r", "c", "z"), -497.0).select("r", "c", F.round("depth", 6).alias("depth"))
 
 
+@query()
+def soil_depth(spark, d):
+    """The model's default end time: 5,501 steps."""
+    return hillslope.soil_depth(holes(spark, d).select("r", "c", "z")).select("r", "c", "depth")
+
+
 #: Unstable cells of all runs at once: runs lie apart in key and grid.
 _SLIDES = [*STATE, runs_sql(), LIVE, BY_RUN, *forces_sql("f", "sr"), "bad as (select *, z is not null and q > 0 as mask from f)", *components_sql("comp", "bad", by="run"),
            "big as (select run, root, count(*) as cells from comp group by run, root having count(*) >= 7)", "slides as (select run, r, c, root from comp join big using (run, root))"]
@@ -348,14 +354,14 @@ def initial_cleanup(spark, d):
 
 @query()
 def cluster_growth(spark, d):
-    """The whole regional run on one strength: cells painted per run and cluster."""
-    got = regional.regional(cells(spark, d), runs(spark, RUNS[:1]), settings=growth.Settings(cycles=12, max_offset=60))
+    """The whole regional run on all strengths: cells painted per run and cluster."""
+    got = regional.regional(cells(spark, d), runs(spark))
     return got["clusters"].groupBy("run", "cluster", "kind", "code").agg(F.count("r").alias("cells"), F.max("cycles").alias("cycles"))
 
 
 @query()
 def termination_histogram(spark, d):
-    got = regional.regional(cells(spark, d), runs(spark, RUNS[:1]), settings=growth.Settings(cycles=6, max_offset=40))
+    got = regional.regional(cells(spark, d), runs(spark))
     return zonal.termination_histogram(got["clusters"].select("run", "cluster", "code").distinct())
 
 

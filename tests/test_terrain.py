@@ -1,6 +1,7 @@
 """Operators of the terrain engine against brute force on small grids, and invariants."""
 
 import heapq
+import inspect
 import math
 
 import numpy as np
@@ -232,3 +233,33 @@ def test_empty_grid(spark):
     df = spark.createDataFrame([], "r int, c int, z double, mask boolean")
     assert focal.horn(df).count() == 0 and labels.components(df).count() == 0 and hydrology.fill_depressions(df).count() == 0
     assert grid.misaligned(df, df).count() == 0
+
+
+def test_growth_queries_run_all_strengths_to_the_end(spark, sf, monkeypatch):
+    from talus.catalog import QUERIES
+    from talus.plans import regional
+    from talus.queries.fixtures import RUNS
+
+    seen = []
+
+    def whole(df, runs, settings=None, **options):
+        seen.append((sorted(r.run for r in runs.collect()), settings or growth.Settings()))
+        return {"clusters": spark.createDataFrame([(1, 1, 0, 0, "final", 0, 1)], "run int, cluster long, r int, c int, kind string, code int, cycles int")}
+
+    monkeypatch.setattr(regional, "regional", whole)
+    for name in ("cluster_growth", "termination_histogram"):
+        assert QUERIES[name](spark, sf).count()
+    assert seen == [([r[0] for r in RUNS], growth.Settings())] * 2
+
+
+def test_soil_depth_query_runs_to_the_default_end(spark, sf, monkeypatch):
+    from talus.catalog import QUERIES
+
+    seen = []
+
+    def whole(df, endtime=inspect.signature(hillslope.soil_depth).parameters["endtime"].default):
+        seen.append(hillslope.steps(endtime))
+        return df.withColumn("depth", F.lit(1.0))
+
+    monkeypatch.setattr(hillslope, "soil_depth", whole)
+    assert QUERIES["soil_depth"](spark, sf).columns == ["r", "c", "depth"] and seen == [5501]
