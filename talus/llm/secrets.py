@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are stretches of 16 or more key characters with a digit in one word of a text. Each gets
+Candidates are all stretches of key characters in the words of a text: those of 16 or more with a digit, and
+those of 6 or more right after a word that asks for a secret. Each gets
 features, all as SQL expressions: length, rate of changes between character classes, share of digits,
 upper case and hex digits, longest share covered by dictionary words, path and address marks, and what its neighbouring
 words say. A forest trained on labelled findings gives the probability that a candidate is a secret.
@@ -34,31 +35,39 @@ ASKS = "token|secret|passw(?:or)?d|passwd|pwd|api_?key|apikey|access_?key|privat
 DENIES = "commit|sha1|sha256|md5|checksum|hash|digest|uuid|guid|example|sample|dummy|placeholder|test|build|revision|version|order|invoice|phone|card|id"
 DICTIONARY = "about|account|admin|api|app|auth|backup|base|bin|build|cache|change|client|cloud|code|common|config|content|core|data|database|default|demo|dev|doc|document|domain|download|dummy|email|enter|error|example|file|folder|form|function|group|handler|home|host|html|http|https|image|index|info|insert|internal|json|key|lib|link|list|local|login|mail|main|manager|message|method|model|module|name|network|number|object|option|order|page|password|path|placeholder|process|product|project|public|query|replace|report|request|response|sample|script|secret|server|service|session|setting|site|source|static|status|store|string|system|table|target|template|test|text|time|token|type|update|upload|user|utils|value|version|view|web|with|your"
 PREFIXES = "AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{10,}\\.[0-9A-Za-z_-]+|AIza[0-9A-Za-z_-]{30,}"
-SHAPE = r"[A-Za-z0-9+/_=.\-:@]{16,}"
+SHAPE = r"[A-Za-z0-9+/_=.\-:@]{6,}"
+NEXT = rf"(?:^|[^a-z])(?:{ASKS})[a-z0-9_]*[^a-z0-9]*(?:(?:is|was)[^a-z0-9]+)?$"
 
 
 def candidates(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """Columns ``carry``, word_no (from 0), candidate, word and the words around it (before, after)."""
+    """Columns ``carry``, word_no (from 0), candidate, word (the candidate with the stretch before it) and the words around it (before, after)."""
     words = F.split(F.col(text), r"[\x20\x09-\x0D]+")
-    rows = docs.select(*carry, words.alias("_words"))
+    rows = docs.select(*carry, words.alias("_words"), F.lower(text).rlike(ASKS).alias("_asks"))
     at = F.filter(
         F.sequence(F.lit(0), F.size("_words") - 1),
-        lambda i: (F.length(F.get("_words", i)) >= 16) & F.get("_words", i).rlike(SHAPE) & F.get("_words", i).rlike("[0-9]"),
+        lambda i: (F.length(F.get("_words", i)) >= 6)
+        & (((F.length(F.get("_words", i)) >= 16) & F.get("_words", i).rlike("[0-9]")) | (F.col("_asks") & F.lower(F.concat_ws(" ", *(F.get("_words", i - k) for k in (3, 2, 1, 0)))).rlike(ASKS)))
+        & F.get("_words", i).rlike(SHAPE),
     )
     near = lambda i: F.coalesce(F.get("_words", F.col("_i") + i), F.lit(""))
     word = F.get("_words", F.col("_i"))
-    return (
+    before = F.when(F.col("_i") > 0, F.concat_ws(" ", F.when(F.col("_i") > 2, near(-3)), F.when(F.col("_i") > 1, near(-2)), near(-1))).otherwise("")
+    # each match is the gap before a stretch and the stretch, so that a stretch that occurs twice has its own context
+    pieces = F.regexp_extract_all(word, F.lit(rf"(?s)\G.*?{SHAPE}"), F.lit(0))
+    found = (
         rows.where(F.size("_words") > 0)
         .withColumn("_i", F.explode(at))
-        .select(
-            *carry,
-            F.col("_i").alias("word_no"),
-            F.regexp_extract(word, f"({SHAPE})", 1).alias("candidate"),
-            word.alias("word"),
-            F.when(F.col("_i") > 0, F.concat_ws(" ", F.when(F.col("_i") > 2, near(-3)), F.when(F.col("_i") > 1, near(-2)), near(-1))).otherwise("").alias("before"),
-            near(1).alias("after"),
-        )
+        .select(*carry, F.col("_i").alias("word_no"), before.alias("before"), near(1).alias("after"), pieces.alias("_pieces"))
+        .select("*", F.posexplode("_pieces").alias("_k", "_piece"))
+        .withColumn("candidate", F.regexp_extract("_piece", f"({SHAPE})$", 1))
+        .withColumn("_last", F.when(F.col("_k") > 0, F.regexp_extract(F.get("_pieces", F.col("_k") - 1), f"({SHAPE})$", 1)).otherwise(""))
+        .withColumn("_lead", F.concat("_last", F.expr("left(_piece, length(_piece) - length(candidate))")))
+        .withColumn("before", F.when(F.col("_k") > 0, "").otherwise(F.col("before")))
+        .withColumn("after", F.when(F.col("_k") < F.size("_pieces") - 1, "").otherwise(F.col("after")))
     )
+    told = F.lower(F.concat_ws(" ", "before", "_lead")).rlike(NEXT)
+    long = (F.length("candidate") >= 16) & F.col("candidate").rlike("[0-9]")
+    return found.where(long | told).select(*carry, "word_no", "candidate", F.concat("_lead", "candidate").alias("word"), "before", "after")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -101,6 +110,9 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, s
         lambda: "AKIA" + some(up + dig, 16),
         lambda: "ghp_" + some(low + up + dig, 36),
         lambda: "sk_live_" + some(low + up + dig, 24),
+        lambda: some(low + up + dig, r.randint(6, 15)),
+        lambda: some(low + up, r.randint(8, 20)),
+        lambda: plain() + some(dig, r.randint(4, 6)),
         lambda: "xoxb-" + some(dig, 12) + "-" + some(low + up + dig, 24),
     ]
     harmless = [
@@ -125,6 +137,9 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, s
                 form = r.randint(0, 3)
             key = key.upper() if r.random() < 0.2 else key
             word, before = [(f'"{c}"', f"{plain()} {key} ="), (c, f"{plain()} {key}:"), (f'{key}="{c}"', f"{plain()} {plain()}"), (f"{c},", f"{plain()} {key} ="), (c, f"{plain()} {plain()}")][form]
+        elif r.random() < 0.15:  # running text after a word that asks
+            c = some(low, r.randint(6, 16))
+            word, before = r.choice([c, c + ",", c + "."]), f"{plain()} {plain()} {r.choice(asks)}"
         else:
             make, denied = r.choice(harmless)
             c = make()

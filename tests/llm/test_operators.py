@@ -354,6 +354,15 @@ def test_secrets(spark, mixed, empty):
     assert secrets.scan(mixed, ["doc_id"], model).count() == 0 and secrets.scan(empty, ["doc_id"], model).count() == 0
 
 
+def test_secrets_of_every_stretch(spark):
+    a, b = "wJalrXUtnFEMI9K7MDENGbPxRfiCYzEXq4mPLk8s", "Zq8sVt2LmXw5RbYk7NcPd3HfGj6TuAe9QoWi1xKv"
+    texts = [f'{{"aws_secret_access_key":"{a}"}}', f'AWS_SECRET_ACCESS_KEY="{a}"', f'{{"a":"{a}","b":"{b}"}}', f'{{"a":"{a}","b":"{a}"}}', 'db password = "hunter22x"', '{"password":"correcthorse"}', "the plain running sentence without any"]
+    got = {}
+    for r in secrets.scan(docs(spark, texts, ["s"] * len(texts)), ["doc_id"]).collect():
+        got.setdefault(r.doc_id, []).append(r.candidate)
+    assert {k: sorted(v) for k, v in got.items()} == {0: [a], 1: [a], 2: sorted([a, b]), 3: [a, a], 4: ["hunter22x"], 5: ["correcthorse"]}
+
+
 def test_forest_on_held_out_findings(spark):
     every = secrets.findings(3000, seed=5)
     from pyspark.ml.feature import VectorAssembler
