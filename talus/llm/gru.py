@@ -11,12 +11,16 @@ from __future__ import annotations
 import numpy as np
 
 EMBED, HIDDEN, HEAD, HEAD_CLASSES, TAILS = 12, 16, 1024, 24, 72
-STREAMS, STEPS, RATE, CLIP, BLOCK = 128, 16, 0.01, 1.0, 16384
+STREAMS, STEPS, RATE, CLIP, BLOCK = 512, 16, 0.02, 1.0, 16384
 _F = np.float32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Overwrites x."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Shape:
@@ -76,9 +80,18 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights as parts of ``flat``, which they share."""
+    out, at = {}, 0
+    for k, x in like.items():
+        out[k] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    return out
+
+
 def _heads(shape: Shape, ids: np.ndarray, classes: np.ndarray):
     """(rows, first word, end word) of tokens in each head class."""
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
     ends = np.searchsorted(classes[order], np.arange(HEAD_CLASSES + 1))
     for k in range(HEAD_CLASSES):
         rows = order[ends[k] : ends[k + 1]]
@@ -86,17 +99,31 @@ def _heads(shape: Shape, ids: np.ndarray, classes: np.ndarray):
             yield rows, shape.first[k], shape.first[k + 1]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x (overwritten) less a shift, its exponentials and their sums a row; the shift is one for all rows where that loses none of them."""
+    ones = np.ones(x.shape[1], x.dtype)
+    x -= x.max(initial=-np.inf)
+    e = np.exp(x)
+    total = e @ ones
+    if total.min(initial=1) < 1e-20:
+        x -= x.max(axis=1, keepdims=True)
+        e = np.exp(x)
+        total = e @ ones
+    return x, e, total
+
+
+def _log_share(x: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Logs of the softmax of x (overwritten) at the right columns."""
+    x, _, total = _exp(x)
+    return x[np.arange(len(x)), right] - np.log(total)
 
 
 def log_probabilities(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural logs: of the class, and for head words of the word within it."""
     classes = shape.classes(ids)
-    out = _log_softmax(states @ p["cls"] + p["cls_b"])[np.arange(len(ids)), classes].astype(np.float64)
+    out = _log_share(states @ p["cls"] + p["cls_b"], classes).astype(np.float64)
     for rows, a, b in _heads(shape, ids, classes):
-        out[rows] += _log_softmax(states[rows] @ p["out"][a:b].T + p["out_b"][a:b])[np.arange(len(rows)), ids[rows] - a]
+        out[rows] += _log_share(states[rows] @ p["out"][a:b].T + p["out_b"][a:b], ids[rows] - a)
     return out
 
 
@@ -187,20 +214,18 @@ def gradients(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, target
 
 
 def _loss(x: np.ndarray, right: np.ndarray):
-    """Summed loss of logits against the right columns, and its gradient by the logits."""
+    """Summed loss of logits (overwritten) against the right columns, and its gradient by the logits."""
     at = np.arange(len(x))
-    x = x - x.max(axis=1, keepdims=True)
-    d = np.exp(x)
-    total = d.sum(axis=1, keepdims=True)
-    loss = (np.log(total[:, 0]) - x[at, right]).sum()
-    d /= total
+    x, d, total = _exp(x)
+    loss = (np.log(total) - x[at, right]).sum()
+    d /= total[:, None]
     d[at, right] -= 1
     return loss, d
 
 
 def steps_of(n: int, turn: int, rounds: int) -> tuple[int, int, int, int]:
     """(streams, length of a stream, first step, end): what round ``turn`` learns of n tokens. All rounds together take every token."""
-    streams = max(1, min(STREAMS, n // (2 * STEPS)))
+    streams = max(1, min(STREAMS, n // (128 * STEPS)))
     length = -(-n // streams)
     every = -(-length // STEPS)
     first = turn * every // rounds
@@ -216,20 +241,21 @@ def train(shape: Shape, p: dict[str, np.ndarray], ids: np.ndarray, ends: np.ndar
     starts = np.zeros(n, bool)
     starts[0] = True
     starts[ends[:-1]] = True
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    flat = pack(p)
+    p = _views(flat, p)
+    m, v, slope = (np.zeros_like(flat) for _ in range(3))
+    grads = _views(slope, p)
     at = np.arange(streams) * length + first * STEPS
     h = np.zeros((streams, HIDDEN), _F)
     for step in range(1, end - first + 1):
         where = (at + np.arange(STEPS)[:, None]) % n
-        _, grads, h = gradients(shape, p, ids[(where - 1) % n], ids[where], (~starts[where]).astype(_F), h)
-        norm = float(np.sqrt(sum((g * g).sum() for g in grads.values())))
-        scale = min(1.0, CLIP / max(norm, 1e-9))
+        _, made, h = gradients(shape, p, ids[(where - 1) % n], ids[where], (~starts[where]).astype(_F), h)
+        for k, g in made.items():
+            grads[k][...] = g
+        slope *= min(1.0, CLIP / max(float(np.sqrt(slope @ slope)), 1e-9))
         rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-        for k, g in grads.items():
-            g = g * scale
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.001 * (g * g - v[k])
-            p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(_F)
+        m += _F(0.1) * (slope - m)
+        v += _F(0.001) * (slope * slope - v)
+        flat -= _F(rate) * m / (np.sqrt(v) + _F(1e-8))
         at += STEPS
     return p

@@ -41,8 +41,8 @@ _PUNCTUATION = b".,;:!?\"')]}&$#*%|"
 
 
 def word_hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    """Unsigned; columns hold it as a signed long."""
+    return xxhash.xxh64_intdigest(word)
 
 
 def tail_class(word: bytes) -> int:
@@ -80,8 +80,8 @@ def _numbered(raw: str, key: str):
 
         def words() -> Iterator[pa.RecordBatch]:
             have = np.zeros(len(codes), np.int64)
-            have[: len(counts)] = counts[: len(codes)]
-            hashes = np.fromiter(map(word_hash, codes), np.int64, len(codes))
+            have[: len(counts)] = counts
+            hashes = np.fromiter(map(word_hash, codes), np.uint64, len(codes)).view(np.int64)
             tails = np.fromiter(map(tail_class, codes), np.int16, len(codes))
             for i in range(0, len(codes), 1 << 16):
                 h, c, t = hashes[i : i + (1 << 16)], have[i : i + (1 << 16)], tails[i : i + (1 << 16)]
@@ -94,17 +94,19 @@ def _numbered(raw: str, key: str):
                 )
 
         for batch in pieces(batches, raw, 2 << 20):
-            key_type, encoded = batch.column(key).type, []
+            key_type, encoded, learned = batch.column(key).type, [], []
             for text, held in zip(batch.column(raw).to_pylist(), batch.column("held_out").to_pylist(), strict=True):
                 ids = list(map(codes.__getitem__, text.lower().split())) if text else []
                 ids.append(0)
                 ids = np.array(ids, np.int64)
                 n += len(ids)
                 if not held:
-                    if len(counts) < len(codes):
-                        counts = np.concatenate((counts, np.zeros(len(codes), np.int64)))
-                    np.add.at(counts, ids, 1)
+                    learned.append(ids)
                 encoded.append(packed(ids))
+            if learned:
+                new = np.bincount(np.concatenate(learned), minlength=len(codes))
+                new[: len(counts)] += counts
+                counts = new
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -221,14 +223,16 @@ def _scoring(shape: gru.Shape, flat: np.ndarray, tail_log: np.ndarray, base_log:
         within[tail] = np.log(c[tail] + SMOOTH) - tail_log[local[tail] - shape.n]
         texts = [unpacked(x) for x in left.column("tokens").to_pylist()]
         ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
-        bases, n_known, added = ([float(v[x].sum()) for x in texts] for v in (base, known, within))
-        ids = local[np.concatenate(texts)] if texts else local[:0]
+        every = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+        first = ends - np.diff(ends, prepend=0)
+        bases, n_known, added = (np.add.reduceat(v[every], first) if texts else np.zeros(0) for v in (base, known.astype(np.int64), within))  # no text is without a token
+        ids = local[every]
         model = gru.score(shape, gru.unpack(flat, like), ids, ends)
         let_go()
         return pa.table(
             {
-                key: left.column(key), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(ends, prepend=0), pa.int64()), "n_known": pa.array([int(x) for x in n_known], pa.int64()),
-                "base_score": pa.array(bases, pa.float64()), "score": pa.array((model + np.array(added)) / np.log(10), pa.float64()),
+                key: left.column(key), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(ends, prepend=0), pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+                "base_score": pa.array(bases, pa.float64()), "score": pa.array((model + added) / np.log(10), pa.float64()),
             }
         )
 
