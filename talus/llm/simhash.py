@@ -1,19 +1,27 @@
 """Near-duplicates by SimHash and the generalised pigeonhole principle.
 
-Fingerprint bits are set by majority over the XXH64 hashes of a text's word shingles. Texts of
-one fingerprint are one node. Bits that vary together (correlations over all
-fingerprints) are grouped into ``PARTS`` partitions; thresholds per partition, which must add
-up to ``TAU - PARTS + 1`` (-1: partition not probed), are allotted by dynamic programming on
-probe rows and candidate counts estimated from the partitions' value counts and bit
-frequencies. Fingerprints within ``TAU`` bits then meet in at least one partition; they are probed
-by equal keys and verified on all bits within the join.
-
-Keys that more than ``CROWD`` rows share do not form pairs. Their fingerprints are linked
-exactly by centres: two of them differ in at most two bits if and only if flipping one bit or
+Fingerprint bits are set by majority over hashes of a text's word shingles: XXH64, and for longer fingerprints
+further words mixed from it. Texts of one fingerprint are one node. Bits that vary together (correlations
+over all fingerprints) are grouped into partitions; thresholds per partition, which must add up to ``tau - parts + 1`` (-1: not
+probed), are allotted by dynamic programming on probe rows and candidate counts estimated from the partitions' value
+counts and bit frequencies. Where the number of partitions is open, the programme takes the cheapest. Fingerprints within
+``tau`` bits then meet in at least one partition; they are probed by equal keys and verified within the join.
+
+``grouped``: 64 bits, links at ``TAU`` bits or fewer. Keys that more than ``CROWD`` rows share do not form pairs. Their
+fingerprints are linked exactly by centres: two of them differ in at most two bits if and only if flipping one bit or
 none in each gives a common value, which 65 fingerprints at most can share.
 
-Null and empty texts have the fingerprint zero, which is linked like any other. Repeated
-rows are nodes' members each. An empty table gives an empty result.
+``keep_one``: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked. Such texts differ
+in about 15 % of the bits, too many for a bound that the pigeonhole principle could hold, so fingerprints have ``WORDS`` x 64
+bits in ``PARTS`` partitions: texts that differ in fewer bits than there are partitions always meet, others with a
+chance that the number of partitions makes high (measured in README). What meets and differs in few of the first
+``CHECKED`` words' bits is verified on the shingle sets themselves. Members of a crowded key meet the one of
+them that is in most crowded keys, and after that all members that these links have not brought into one component, so that no
+key drops a pair.
+
+Null and empty texts have the fingerprint zero, which is linked like any other; they are one group. Repeated
+rows are nodes' members each. An empty table gives an empty result. Null keys are members too; a component of
+null keys alone has a null id. Extra columns pass through ``keep_one``; its own names give way to them.
 """
 
 from __future__ import annotations
@@ -25,97 +33,138 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import common
-from talus.plans.components import components
 from talus.llm.text import let_go, pieces
+from talus.plans.components import components
+
+BITS, TAU, CROWD, SEED, SHINGLE = 64, 2, 128, 42, 3
+#: Of ``keep_one``: percent of shingles in common, words in a shingle, 64-bit words of a fingerprint and of its checked part, most bits that differ there (the mean at that similarity and 1.5 standard deviations).
+ALIKE, STAGE_SHINGLE, WORDS, PARTS, CHECKED, CHECK_BITS = 80, 5, 12, 42, 4, 47
+_LANES = np.uint64(0x0001000100010001)
+
+
+def shingles(text: bytes | None, size: int) -> list[int]:
+    """XXH64 of a whole text's word shingles, in order."""
+    words = text.lower().split() if text else []
+    if not words:
+        return []
+    n = max(1, len(words) - size + 1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    stops = np.cumsum(sizes)
+    starts = (stops - sizes)[:n].tolist()
+    stops = (stops[-n:] - 1).tolist()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+
+
+def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each run of ``counts`` (above 0) hashes: the bits that are set in over half of them."""
+    most = (1 << 16) - 1  # what a lane holds
+    runs = -(-counts // most)
+    whole = np.repeat(np.arange(len(counts)), runs)
+    nth = np.arange(len(whole)) - np.repeat(np.cumsum(runs) - runs, runs)
+    first = (np.cumsum(counts) - counts)[whole] + nth * most
+    head = np.cumsum(runs) - runs
+    out = np.zeros(len(counts), np.uint64)
+    for s in range(16):
+        sums = np.add.reduceat(hashes >> np.uint64(s) & _LANES, first)
+        for lane in range(4):
+            ones = np.add.reduceat((sums >> np.uint64(16 * lane) & np.uint64(most)).astype(np.int64), head)
+            out |= (2 * ones > counts).astype(np.uint64) << np.uint64(s + 16 * lane)
+    return out
+
 
-BITS, TAU, PARTS, CROWD, SEED, SHINGLE = 64, 2, 3, 128, 42, 3
-
-
-def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of whole texts."""
-    digest, hashes, ends = xxhash.xxh64_intdigest, [], []
-    for text in texts:
-        words = text.lower().split() if text else []
-        if words:
-            n = max(1, len(words) - shingle + 1)
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            stops = np.cumsum(sizes)
-            starts = (stops - sizes)[:n].tolist()
-            stops = (stops[-n:] - 1).tolist()
-            joined = b" ".join(words)
-            hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
-        ends.append(len(hashes))
-    out = np.zeros(len(texts), np.uint64)
-    if not hashes:
-        return out
-    ends = np.array(ends)
-    counts = np.diff(ends, prepend=0)
-    full = np.flatnonzero(counts)
-    first = (ends - counts)[full]
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-    out[full] = np.packbits((2 * ones > counts[full, None]).astype(np.uint8), axis=1, bitorder="little").reshape(-1).view(np.uint64)
+def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """(texts, words) unsigned 64-bit words of the fingerprints of whole texts; distinct: a shingle counts once."""
+    hashes: list[int] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        own = shingles(text, shingle)
+        own = list(set(own)) if distinct else own
+        counts[i] = len(own)
+        hashes += own
+    out = np.zeros((len(texts), words), np.uint64)
+    full = counts > 0
+    if hashes:
+        h = np.array(hashes, np.uint64)
+        for w in range(words):
+            out[full, w] = _majority(h, counts[full])
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
     return out
 
 
-def fingerprinted(df: DataFrame, carry: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Columns ``carry`` of ``df`` and the fingerprint as a signed long ``fp``."""
+def _columns(words: int) -> list[str]:
+    return ["fp"] if words == 1 else [f"fp{w}" for w in range(words)]
+
+
+def fingerprinted(df: DataFrame, carry: list[str], text: str = "text", shingle: int = SHINGLE, words: int = 1, distinct: bool = False) -> DataFrame:
+    """Columns ``carry`` of ``df`` and the fingerprint's words as signed longs ``fp`` or ``fp0``, ``fp1`` ..."""
     (raw,) = common.unused(df, "_raw")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema), "fp long"])
+    names = _columns(words)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema), *(f"{n} long" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, raw, 1 << 20):
-            fp = fingerprints(part.column(raw).to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(fp)], names=[*carry, "fp"])
+            fp = fingerprints(part.column(raw).to_pylist(), shingle, words, distinct).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(x) for x in fp.T.copy())], names=[*carry, *names])
             let_go()
 
     return df.select(*carry, F.col(text).cast("binary").alias(raw)).mapInArrow(run, schema)
 
 
-def _bit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((BITS, BITS), np.int64)
-    for batch in batches:
-        fp = batch.column("fp").to_numpy(zero_copy_only=False)
-        for i in range(0, len(fp), 1 << 16):
-            bits = np.unpackbits(fp[i : i + (1 << 16)].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            total += (bits.T @ bits).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS)), pa.array(total.ravel())], names=["cell", "n"])
-
-
-def bit_statistics(fps: DataFrame) -> np.ndarray:
+def bit_statistics(fps: DataFrame, names: list[str]) -> np.ndarray:
     """How many fingerprints have bits i and j, for all i, j."""
-    out = np.zeros(BITS * BITS)
-    for r in fps.mapInArrow(_bit_sums, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r.cell] = r.n
-    return out.reshape(BITS, BITS)
+    bits = BITS * len(names)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((bits, bits))
+        for batch in batches:
+            fp = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            for i in range(0, len(fp), 1 << 13):
+                some = np.unpackbits(np.ascontiguousarray(fp[i : i + (1 << 13)]).view(np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little").astype(np.float32)
+                total += some.T @ some
+        yield pa.RecordBatch.from_arrays([pa.array(range(bits), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["bit", "n"])
+
+    def added(table):  # no type hints: they would choose another form of call
+        n = sum(np.frombuffer(x, np.float64) for x in table.column("n").to_pylist())
+        return pa.table({"bit": table.column("bit")[:1], "n": pa.array([n.tobytes()], pa.binary())})
+
+    out = np.zeros((bits, bits))
+    for r in fps.select(*names).mapInArrow(sums, "bit int, n binary").groupBy("bit").applyInArrow(added, "bit int, n binary").collect():  # a row a bit
+        out[r.bit] = np.frombuffer(r.n)
+    return out
 
 
-def group_bits(both: np.ndarray, n: int, parts: int = PARTS) -> list[list[int]]:
+def group_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
     """Bits in ``parts`` groups of about equal size, each bit beside those that it correlates with most."""
+    bits = len(both)
     p = np.diag(both) / max(n, 1)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     r = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd))
     np.fill_diagonal(r, 0)
-    room = [BITS // parts + (i < BITS % parts) for i in range(parts)]
-    groups: list[list[int]] = []
-    left = set(range(BITS))
-    for size in room:
-        group = [max(left, key=lambda b: (r[b, sorted(left)].max(initial=0), -b))]
-        left.discard(group[0])
+    left, groups = np.ones(bits, bool), []
+    for i in range(parts):
+        size = bits // parts + (i < bits % parts)
+        near = np.where(left, np.where(left[None, :], r, 0).max(axis=1), -1.0)
+        group = [int(near.argmax())]
+        left[group[0]] = False
+        total = r[group[0]].copy()
         while len(group) < size:
-            b = max(left, key=lambda b: (r[b, group].mean(), -b))
+            b = int(np.where(left, total, -1.0).argmax())
             group.append(b)
-            left.discard(b)
+            left[b] = False
+            total += r[b]
         groups.append(sorted(group))
     return groups
 
 
-def allot(widths: list[int], same: list[float], differ: list[list[float]], n: int, tau: int = TAU) -> list[int]:
-    """Thresholds per partition of least cost that add up to tau - parts + 1.
+def allot(widths: list[int], same: list[float], differ: list[list[float]], n: int, tau: int = TAU, most: int = TAU) -> tuple[float, list[int]]:
+    """The least cost and its thresholds per partition (``most`` at most), which add up to tau - parts + 1.
 
     same: pairs of one value, per partition; differ: chances that two fingerprints differ in each of its bits.
     """
@@ -131,49 +180,74 @@ def allot(widths: list[int], same: list[float], differ: list[list[float]], n: in
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i in range(len(widths)):
         nxt: dict[int, tuple[float, list[int]]] = {}
+        costs = [cost(i, t) for t in range(-1, most + 1)]
         for total, (c, ts) in best.items():
-            for t in range(-1, tau + 1):
-                got = (c + cost(i, t), [*ts, t])
+            for t in range(-1, most + 1):
+                got = (c + costs[t + 1], [*ts, t])
                 if total + t not in nxt or got < nxt[total + t]:
                     nxt[total + t] = got
         best = nxt
-    return best[tau - len(widths) + 1][1]
+    return best[tau - len(widths) + 1]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _mask(bits) -> int:
-    return _signed(sum(1 << b for b in bits))
+def _key(names: list[str], part: int, bits: list[int], flip: tuple[int, ...] = ()) -> Column:
+    """The fingerprint's bits of a partition, some of them flipped, as a 64-bit hash; what hashes bring together is verified like all else."""
+    masked = []
+    for w, name in enumerate(names):
+        mask, turn = (_signed(sum(1 << (b % BITS) for b in x if b // BITS == w)) for x in (bits, flip))
+        if mask:
+            x = F.col(name).bitwiseAND(F.lit(mask))
+            masked.append(x.bitwiseXOR(F.lit(turn)) if turn else x)
+    return F.xxhash64(F.lit(part), *masked)
 
 
-def links(fps: DataFrame, tau: int = TAU, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` within ``tau`` (2 at most) bits, directly or by others."""
+def _plan(fps: DataFrame, names: list[str], tau: int, choices: list[int], most: int) -> tuple[list[list[int]], list[int]]:
+    """Groups of bits and their thresholds, for the cheapest number of partitions among ``choices``."""
     n = fps.count()
-    both = bit_statistics(fps)
-    groups = group_bits(both, n)
-    values = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("key")) for i, g in enumerate(groups)))).alias("v")
-    same = [0.0] * len(groups)
-    for r in fps.select(values).select("v.*").groupBy("part", "key").count().groupBy("part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect():
-        same[r.part] = r.pairs
+    both = bit_statistics(fps, names)
+    grouped = {m: group_bits(both, n, m) for m in choices}
+    values = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("part"), _key(names, i, g).alias("key")) for m, groups in grouped.items() for i, g in enumerate(groups)]
+    rows = fps.select(F.explode(F.array(*values)).alias("v")).select("v.*").groupBy("m", "part", "key").count()
+    same = {(r.m, r.part): r.pairs for r in rows.groupBy("m", "part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
     p = np.diag(both) / max(n, 1)
-    thresholds = allot([len(g) for g in groups], same, [[2 * p[b] * (1 - p[b]) for b in g] for g in groups], n, tau)
-    probes = [
-        F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(g))).bitwiseXOR(F.lit(_mask(flip))).alias("key"), F.lit(not flip).alias("own"))
+    plans = [
+        (*allot([len(g) for g in groups], [same.get((m, i), 0.0) for i in range(m)], [[2 * p[b] * (1 - p[b]) for b in g] for g in groups], n, tau, most), groups)
+        for m, groups in grouped.items()
+    ]
+    _, thresholds, groups = min(plans, key=lambda x: x[0])
+    return groups, thresholds
+
+
+def _probes(names: list[str], groups: list[list[int]], thresholds: list[int]) -> Column:
+    """All (key, own) of a fingerprint: own keys, and those of its neighbours within the partition's threshold."""
+    made = [
+        F.struct(_key(names, i, g, flip).alias("key"), F.lit(not flip).alias("own"))
         for i, (g, t) in enumerate(zip(groups, thresholds, strict=True))
         for k in range(t + 1)
         for flip in combinations(g, k)
     ]
-    rows = fps.select("fp", F.explode(F.array(*probes)).alias("p")).select("fp", "p.*")
-    crowded = common.cut(rows.groupBy("part", "key").count().where(F.col("count") > crowd).select("part", "key"))
-    few = rows.join(crowded, ["part", "key"], "left_anti")
-    one, two = few.where("own").select("part", "key", F.col("fp").alias("a")), few.select("part", "key", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
+    return F.explode(F.array(*made)).alias("p")
+
+
+def links(fps: DataFrame, crowd: int = CROWD, choices: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` within TAU bits, directly or by others.
+
+    With more than TAU + 1 partitions thresholds would have to be below -1 on the whole, so ``choices`` end there.
+    """
+    groups, thresholds = _plan(fps, ["fp"], TAU, list(choices), TAU)
+    rows = fps.select("fp", _probes(["fp"], groups, thresholds)).select("fp", "p.*")
+    crowded = common.cut(rows.groupBy("key").count().where(F.col("count") > crowd).select("key"))
+    few = rows.join(crowded, "key", "left_anti")
+    one, two = few.where("own").select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= TAU
     # a pair of thresholds 0 comes from both sides; one order is enough, but with flips either side may be the prober
-    pairs = one.join(two, ["part", "key"]).where(near & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    crowd_fps = rows.join(crowded, ["part", "key"], "left_semi").select("fp").distinct()
-    centres = crowd_fps.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS)))).alias("centre"))
+    pairs = one.join(two, "key").where(near & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    crowd_fps = rows.join(crowded, "key", "left_semi").select("fp").distinct()
+    centres = crowd_fps.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(BITS)))).alias("centre"))
     stars = centres.groupBy("centre").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
     star = stars.select(F.explode("members").alias("a"), F.array_min("members").alias("b")).where("a <> b")
     return pairs.union(star).distinct()
@@ -188,17 +262,87 @@ def grouped(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(named.select("fp", "root").join(least, "root").drop("root"), "fp")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles) of (id, raw): the distinct hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "raw", 1 << 20):
+            own = [np.unique(np.array(shingles(x, shingle), np.uint64)).view(np.int64) for x in part.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(own, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return texts.mapInArrow(run, "id long, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
+    """The pairs (a, b) whose sets have ``alike`` percent or more of their shingles in common."""
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    n, m = F.size("x"), F.size("y")
+    possible = 100 * F.least(n, m) >= alike * F.greatest(n, m)
+    both = F.size(F.array_intersect("x", "y"))
+    met = pairs.join(one, "a").join(two, "b").where(possible)
+    return met.where(100 * both >= alike * (n + m - both)).select("a", "b")
+
+
+def candidates(nodes: DataFrame, crowd: int = CROWD, words: int = WORDS, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes (id and fingerprint words) that meet and pass the check, a above b; and crowded rows (key, id, checked words)."""
+    names = _columns(words)
+    groups, thresholds = _plan(nodes, names, parts - 1, [parts], 1)
+    checked = names[:CHECKED]
+    rows = nodes.select("id", *checked, _probes(names, groups, thresholds)).select("p.*", "id", *checked)
+    crowded = common.cut(rows.groupBy("key").count().where(F.col("count") > crowd).select("key"))
+    few = rows.join(crowded, "key", "left_anti")
+    many = common.cut(rows.join(crowded, "key", "left_semi").drop("own").distinct())
+    once = (F.col("x.id") > F.col("y.id")) | (~F.col("y.own") & (F.col("x.id") != F.col("y.id")))  # own keys of both meet both ways
+    pairs = _near(few.where("own"), few, checked, once)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    held = many.groupBy("id").agg(F.count("*").alias("held"))
+    pivot = many.select("key", "id", *checked).join(held, "id").groupBy("key").agg(F.max_by(F.struct("id", *checked), F.struct(F.col("held"), -F.col("id"))).alias("p")).select("key", "p.*")
+    hubs = _near(many, pivot, checked, F.col("x.id") != F.col("y.id")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return common.cut(pairs.union(hubs).distinct()), many
+
+
+def _near(one: DataFrame, two: DataFrame, checked: list[str], rule: Column) -> DataFrame:
+    """(a, b): ids of rows x of one and y of two that share a key, keep the rule and differ in CHECK_BITS of the checked words at most."""
+    bits = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in checked[1:]), F.bit_count(F.col(f"x.{checked[0]}").bitwiseXOR(F.col(f"y.{checked[0]}"))))
+    met = one.alias("x").join(two.alias("y"), (F.col("x.key") == F.col("y.key")) & rule & (bits <= CHECK_BITS))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def similar(nodes: DataFrame, texts: DataFrame, shingle: int = STAGE_SHINGLE, alike: int = ALIKE, crowd: int = CROWD) -> DataFrame:
+    """(node, root) of the nodes (id and fingerprint words) that have links; texts: id and raw, the text of each node."""
+    pairs, many = candidates(nodes, crowd)
+    involved = pairs.select("a").union(pairs.select("b")).union(many.select("id")).distinct().withColumnRenamed("a", "id")
+    sets = common.cut(_sets(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]), shingle))
+    edges = common.cut(_alike(pairs, sets, alike))
+    roots = common.cut(components(edges))
+    if many.limit(1).count():  # what hubs have not linked in crowded keys
+        own = many.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        own = common.cut(own.join(mixed, "key", "left_semi"))
+        rest = _near(own, own, _columns(WORDS)[:CHECKED], F.col("x.root") > F.col("y.root"))
+        more = _alike(common.cut(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), sets, alike)
+        roots = components(edges.union(more))
+    return roots
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row of each group of near-duplicates: the smallest key, of those the smallest hash of the row."""
-    (mark,) = common.unused(docs, "_mark")
+    mark, k, m = common.unused(docs, "_mark", "_k", "_m")
+    names = _columns(WORDS)
     marked = docs.withColumn(mark, F.xxhash64(*docs.columns))
-    rows = common.cut(fingerprinted(marked, [key, mark], shingle=shingle))
-    fps = common.cut(rows.groupBy("fp").agg(F.min(F.struct(F.col(key).alias("k"), F.col(mark).alias("m"))).alias("first")))
-    roots = components(links(fps.select("fp")))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = common.cut(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("_k"), F.col("first.m").alias("_m")))
-    kept = marked.join(chosen, marked[key].eqNullSafe(chosen["_k"]) & (marked[mark] == chosen["_m"]), "left_semi").drop(mark)
-    twice = rows.groupBy(key, mark).count().where("count > 1").join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col(mark) == F.col("_m")), "left_semi")
+    own = marked.select(F.col(key).alias("k"), F.col(mark).alias("m"), F.col(text).alias("text"))
+    rows = common.cut(fingerprinted(own, ["k", "m"], shingle=STAGE_SHINGLE, words=WORDS, distinct=True))
+    first = rows.groupBy(*names).agg(F.min(F.struct("k", "m")).alias("first"))
+    nodes = common.cut(first.withColumn("id", F.monotonically_increasing_id()))
+    one = nodes.select("id", F.col("first.k").alias("k_"), F.col("first.m").alias("m_"))
+    # rows of one key and hash are equal rows, so either text is the node's
+    texts = own.join(one, F.col("k").eqNullSafe(F.col("k_")) & (F.col("m") == F.col("m_"))).select("id", F.col("text").cast("binary").alias("raw"))
+    roots = similar(nodes.select("id", *names), texts, crowd=crowd)
+    named = nodes.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    chosen = common.cut(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias(k), F.col("first.m").alias(m)))
+    kept = marked.join(chosen, marked[key].eqNullSafe(chosen[k]) & (marked[mark] == chosen[m]), "left_semi").drop(mark)
+    twice = rows.groupBy("k", "m").count().where("count > 1").join(chosen, F.col("k").eqNullSafe(F.col(k)) & (F.col("m") == F.col(m)), "left_semi")
     return kept.dropDuplicates() if twice.limit(1).count() else kept
 
 
