@@ -8,12 +8,12 @@ out without loss. The runs are put in an FM-index; all windows are sought backwa
 ranks, occurrences are located by sampled suffix positions, and spans are merged per document.
 
 The benchmark reaches workers in blocks of at most ``BLOCK_BYTES`` of text, each broadcast within
-that bound; with more blocks, documents pass one index after another, carrying their
-spans, without a shuffle. Items are read from the driver one block at a time.
+that bound. A shard's words are split once and sought for one block after another, of which a worker keeps the windows
+of ``KEPT`` at a time. Items are read from the driver one block at a time.
 
 Null texts have no words; items without words (or null) have no windows; an item id that
 is null is not listed, though its words are hit; repeated item ids count once. Repeated documents are
-searched each. Empty tables work on either side.
+searched each. Empty tables work on either side. Bytes that are not UTF-8 are characters of words, and stay.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from talus.llm import common
 from talus.llm.fmindex import FMIndex
-from talus.llm.text import PLAIN, let_go, pieces, plain_words, raw_texts
+from talus.llm.text import PLAIN, code_points, let_go, pieces, plain_words, raw_texts, text_column
 
-WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 1_000_000, 8 << 20
-SPANS = "_spans array<int>, _items array<string>, _n_words long"
+WINDOW, SHARD_WORDS, BLOCK_BYTES = 10, 1_000_000, 2 << 20
+KEPT = 2
 
 
 class Phrases:
@@ -124,106 +124,137 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None,
         yield block
 
 
-def search(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns ``carry`` of docs with _n_words, _spans (flat: start, end, start, end ... in words) and _items."""
-    own = list(dict.fromkeys([*carry, text]))
-    kept = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema}
-    sc = docs.sparkSession.sparkContext
-    out = docs.select(*own)
-    blocks = _blocks(benchmark, block_bytes)
-    block, first = next(blocks), True
-    while block is not None:
-        later = next(blocks, None)
-        columns = carry if later is None else own
-        out = out.mapInArrow(_searcher(sc.broadcast(block), columns, text, first, window), ", ".join([*(kept[c] for c in columns), SPANS]))
-        block, first = later, False
-    return out
-
-
-def _searcher(block, columns: list[str], text: str, first: bool, window: int):
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, list[list[bytes]]]]]:
-        group, n = [], 0
-        for part in pieces(batches, text):
-            words = [plain_words(t) for t in raw_texts(part, text)]
-            group.append((part, words))
-            n += sum(map(len, words))
-            if n >= SHARD_WORDS:
-                yield group
-                group, n = [], 0
-        if group:
+class _Finder:
+    """Finds the windows of all blocks; keeps the prepared windows of ``KEPT`` blocks at a time."""
+
+    def __init__(self, blocks: list, window: int):
+        self.blocks, self.window, self.ready = blocks, window, {}
+
+    def phrases(self, k: int) -> Phrases:
+        if k not in self.ready:
+            if len(self.ready) >= KEPT:
+                self.ready.clear()
+            self.ready[k] = Phrases(self.blocks[k].value, self.window)
+        return self.ready[k]
+
+    def find(self, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
+        found = self.phrases(0).find(docs)
+        for k in range(1, len(self.blocks)):
+            found = [(merged([*a, *b]) if b else a, x | y) for (a, x), (b, y) in zip(found, self.phrases(k).find(docs), strict=True)]
+        return found
+
+
+def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[list[tuple[pa.RecordBatch, list[bytes | None], list[list[bytes]]]]]:
+    """Training shards: pieces of batches with their texts and words, which are split once for all blocks."""
+    group, n = [], 0
+    for part in pieces(batches, text):
+        texts = raw_texts(part, text)
+        words = [plain_words(t) for t in texts]
+        group.append((part, texts, words))
+        n += sum(map(len, words))
+        if n >= SHARD_WORDS:
             yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
+def made(docs: DataFrame) -> list[str]:
+    """Names of the columns that ``search`` adds: _n_words, _spans, _items, altered where docs has them."""
+    return common.unused(docs, "_n_words", "_spans", "_items")
+
+
+def _broadcast(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, block_bytes)]
+
+
+def search(docs: DataFrame, benchmark: DataFrame, carry: list[str], text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Columns ``carry`` of docs with _n_words, _spans (flat: start, end, start, end ... in words) and _items, by the names that ``made`` gives."""
+    names = made(docs)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
+    blocks = _broadcast(docs, benchmark, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(block.value, window)
-        for group in shards(batches):
-            found = iter(phrases.find([d for _, words in group for d in words]))
-            for part, words in group:
-                spans, items = [], []
-                for i in range(part.num_rows):
-                    s, names = next(found)
-                    if not first:
-                        old = part.column("_spans")[i].as_py()
-                        s, names = merged([*s, *zip(old[::2], old[1::2], strict=True)]), names | set(part.column("_items")[i].as_py())
-                    spans.append([x for ab in s for x in ab])
-                    items.append(sorted(names))
+        finder = _Finder(blocks, window)
+        for group in _shards(batches, text):
+            found = iter(finder.find([d for *_, words in group for d in words]))
+            for part, _, words in group:
+                own = [next(found) for _ in words]
+                spans, items = [[x for ab in s for x in ab] for s, _ in own], [sorted(names) for _, names in own]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array([len(w) for w in words], pa.int64())],
-                    names=[*columns, "_spans", "_items", "_n_words"],
+                    [*(part.column(c) for c in carry), pa.array([len(w) for w in words], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                    names=[*carry, *names],
                 )
             let_go()
 
-    return run
+    schema = ", ".join([*kept, f"{names[0]} long", f"{names[1]} array<int>", f"{names[2]} array<string>"])
+    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema)
 
 
-def removed(text: str, spans: list[int]) -> str:
-    """``text`` without its words in spans (from the first character of a span's first word to the last of its last)."""
-    raw = text.encode()
+def removed(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``raw`` without its words in spans (from the first byte of a span's first word to the last of its last)."""
     plain = np.frombuffer(raw.translate(PLAIN), np.uint8) != 32
     edge = np.diff(np.concatenate(([False], plain, [False])).astype(np.int8))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out, at = [], 0
-    for a, b in zip(spans[::2], spans[1::2], strict=True):
+    for a, b in spans:
         out.append(raw[at : starts[a]])
         at = stops[b - 1]
-    return b"".join([*out, raw[at:]]).decode()
+    return b"".join([*out, raw[at:]])
+
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (same columns) without the words of benchmark windows; a document that loses its last word goes, others stay.
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (same columns) without the words of benchmark windows; a document that loses its last word goes, others stay."""
-    found = search(docs, benchmark, docs.columns, window=window)
-    schema = docs.schema
+    What a removal brings together is sought again, until no document holds a window. n_chars, where there, follows changed texts.
+    """
+    schema, names = docs.schema, docs.columns
+    blocks = _broadcast(docs, benchmark, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            rows, spans, keep = part.select(schema.names), part.column("_spans").to_pylist(), []
-            texts, n_words = part.column("text").to_pylist(), part.column("_n_words").to_pylist()
-            for i, s in enumerate(spans):
-                if s:
-                    if sum(s[1::2]) - sum(s[::2]) == n_words[i]:
-                        continue
+        finder = _Finder(blocks, window)
+        for group in _shards(batches, text):
+            texts, words = [t for _, own, _ in group for t in own], [w for *_, own in group for w in own]
+            todo, gone, changed = list(range(len(texts))), set(), set()
+            while todo:
+                found = finder.find([words[i] for i in todo])
+                todo = [i for i, (s, _) in zip(todo, found, strict=True) if s]
+                for i, s in zip(todo, (s for s, _ in found if s), strict=True):
                     texts[i] = removed(texts[i], s)
-                keep.append(i)
-            rows = rows.set_column(schema.names.index("text"), "text", pa.array(texts, rows.schema.field("text").type))
-            if "n_chars" in schema.names:
-                sizes = [n if not s else len(t) for n, s, t in zip(part.column("n_chars").to_pylist(), spans, texts, strict=True)]
-                rows = rows.set_column(schema.names.index("n_chars"), "n_chars", pa.array(sizes, rows.schema.field("n_chars").type))
-            yield rows.take(pa.array(keep, pa.int64()))
+                    words[i] = plain_words(texts[i])
+                changed.update(todo)
+                gone.update(i for i in todo if not words[i])
+                todo = [i for i in todo if words[i]]
+            first = 0
+            for part, own, _ in group:
+                mine = range(first, first + len(own))
+                first += len(own)
+                if any(i in changed for i in mine):
+                    at = names.index(text)
+                    part = part.set_column(at, part.schema.field(at), text_column([texts[i] for i in mine], part.schema.field(at).type))
+                    if "n_chars" in names:
+                        at = names.index("n_chars")
+                        sizes = [code_points(texts[i]) if i in changed else n for i, n in zip(mine, part.column(at).to_pylist(), strict=True)]
+                        part = part.set_column(at, part.schema.field(at), pa.array(sizes, part.schema.field(at).type))
+                    part = part.take(pa.array([k for k, i in enumerate(mine) if i not in gone], pa.int64()))
+                yield part
+            let_go()
 
-    return found.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = search(docs, common.table(spark, sf_dir, "benchmark"), ["doc_id"])
-    spans = F.col("_spans")
+    n_words, spans, items = (F.col(c) for c in made(docs))
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size(spans)), F.lit(0).cast("long"), lambda n, i: n + F.when(i == F.size(spans), F.lit(0)).when(i % 2 == 1, F.get(spans, i)).otherwise(-F.get(spans, i)))
     return found.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
+        n_words.alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
-        (F.size("_spans") > 0).alias("contaminated"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
+        (F.size(spans) > 0).alias("contaminated"),
     )
 
 

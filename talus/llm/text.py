@@ -24,6 +24,19 @@ def spaced_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+_FOLLOWING = bytes(range(0x80, 0xC0))
+
+
+def code_points(text: bytes) -> int:
+    """Characters of UTF-8 bytes: those that don't continue one. Holds for broken bytes too."""
+    return len(text) if text.isascii() else len(text.translate(None, _FOLLOWING))
+
+
+def text_column(texts: list[bytes | None], kind: pa.DataType) -> pa.Array:
+    """UTF-8 texts as a column; bytes that aren't UTF-8 stay as they are."""
+    return pa.array(texts, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()).cast(kind, safe=False)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about ``most`` bytes of ``column``, or one row."""
     for batch in batches:
