@@ -6,7 +6,7 @@ the difference is ``Z`` or more either way. Words without a weight of their own
 prefix that has one (6, 5 or 4 bytes); any other word costs ``NEUTRAL``.
 
 Scan: all maximal segments of the word scores (Ruzzo and Tompa's rule) in time linear in
-the words. Calibration: segment scores of texts that are not toxic follow an extreme-value law;
+the words: each kept segment points to the nearest one before it that starts from a lower sum. Calibration: segment scores of texts that are not toxic follow an extreme-value law;
 its lambda solves ``sum p(s) exp(lambda s) = 1`` over their words' scores, and K is the likelihood
 estimate from their best segments. A text's evidence is the sum over its segments of
 ``lambda S - ln(K n)`` where positive; a logistic curve, fitted on the labelled rows, turns it
@@ -62,7 +62,7 @@ def features(words: list[bytes]) -> set[bytes]:
 
 def segments(scores: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first word, last word, score); scores: (word's place, weight) of the words that aren't neutral."""
-    kept: list[list] = []  # first, last, sum before, sum after
+    kept: list[list] = []  # first, last, sum before, sum after, nearest place in kept of a smaller sum before (or -1)
     total, last = 0.0, -1
     for at, w in scores:
         total -= NEUTRAL * (at - last - 1)
@@ -70,17 +70,18 @@ def segments(scores: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
         before, total = total, total + w
         if w <= 0:
             continue
-        new = [at, at, before, total]
+        new, j = [at, at, before, total, -1], len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
+                j = kept[j][4]  # what lies between starts no lower
             if j < 0 or kept[j][3] >= new[3]:
+                new[4] = j
                 kept.append(new)
                 break
-            new = [kept[j][0], at, kept[j][2], total]
+            new, next_j = [kept[j][0], at, kept[j][2], total, -1], kept[j][4]
             del kept[j:]
-    return [(a, b, after - before) for a, b, before, after in kept]
+            j = next_j
+    return [(a, b, after - before) for a, b, before, after, _ in kept]
 
 
 class Scanner:
@@ -191,11 +192,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return a, max(0.0, b)
 
 
+def made(df: DataFrame) -> list[str]:
+    """Names of the columns that ``score`` adds: toxicity and passages, altered where ``df`` has them."""
+    return common.unused(df, "toxicity", "passages")
+
+
 def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``carry``) with toxicity (0 to 1) and passages, the significant segments by word places."""
-    made = ["toxicity", "passages"]
-    own = [c for c in carry or df.columns if c.lower() not in made]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema), "toxicity double, passages array<struct<first:int,last:int,score:double>>"])
+    """``df`` (or its columns ``carry``) with toxicity (0 to 1) and passages, the significant segments by word places; their names as ``made`` gives them."""
+    own = list(carry or df.columns)
+    names = made(df)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema), f"{names[0]} double, {names[1]} array<struct<first:int,last:int,score:double>>"])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +212,7 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
                 n, all_found = scanner.scan(x)
                 scores.append(scanner.score(scanner.evidence(n, all_found)))
                 found.append([{"first": a, "last": b, "score": s} for a, b, s in all_found if scanner.evidence(n, [(a, b, s)]) > 0])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*own, *made])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*own, *names])
             let_go()
 
     return df.select(*dict.fromkeys([*own, text])).mapInArrow(run, schema)
