@@ -4,19 +4,23 @@ A page is cut into blocks at block-level tags. The first pass judges each block
 inside menus, headers, footers, sidebars, notices, adverts, forms and comments (by tag, role
 or class) and blocks dense in links are boilerplate; long blocks, and in an article blocks of
 running text, with stop words or inside an article element are content; the rest is ambiguous.
+On a page whose long blocks hold hardly a stop word of the four languages, stop words don't count: length and links decide.
 The second pass gives an ambiguous block the label of its nearest decided neighbours: of both if they agree,
 of the nearer one if not (as near: content in an article, boilerplate outside), of the article around it where that has no decided block.
 
 Scripts, styles, the head, comments and markup never reach a block; character
 references are decoded. White space inside a block becomes one space, blocks are
 joined by one space in page order. Null and empty pages give an empty text; broken markup is read as
-far as it goes (an unended tag at the end is markup). Repeated rows are read each.
+far as it goes (an unended tag at the end is markup; an unended script or the like takes the rest, other unended
+elements nothing). Ends without a start are passed over. Repeated rows are read each; of a column ``text`` or ``n_chars``
+that is carried, the name is kept and the operator's own gets another.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +29,13 @@ from pyspark.sql import functions as F
 
 from talus.llm import common
 
-LONG, SHORT, LINKS, STOPS = 140, 50, 0.33, 0.12
+LONG, SHORT, LINKS, STOPS, KNOWN = 140, 50, 0.33, 0.12, 0.02
 
 # HTML element names by role, words of class and id attributes that mark
 # boilerplate, and the most common function words of four languages.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas textarea select head title audio video".split())
 BOILER = frozenset("nav header footer aside form menu button dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -73,8 +78,15 @@ def blocks(page: str) -> list[_Block]:
     """Blocks with text, in page order."""
     out: list[_Block] = []
     stack: list[tuple[str, bool, int]] = []  # element, boilerplate, number of the article around
-    articles, in_link, at, skip = 0, False, 0, None
+    articles, in_link, at = 0, False, 0
     now = _Block(False, 0, False)
+    open_tags: Counter[str] = Counter()
+    never: set[str] = set()  # elements that have no end in the rest of the page
+
+    def drop(k: int) -> None:
+        for name, *_ in stack[k:]:
+            open_tags[name] -= 1
+        del stack[k:]
 
     def turn(tag: str) -> None:
         nonlocal now
@@ -101,9 +113,10 @@ def blocks(page: str) -> list[_Block]:
         close, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if not close and tag in UNSEEN:
             if not attributes.endswith("/") or tag in ("script", "style", "title"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>" if tag != "head" else r"</head\s*[^>]*>|(?=<body[\s>])", re.I).search(page, at)
-                skip = end.end() if end else (at if tag == "head" else len(page))
-                at = skip
+                end = None if tag in never else re.compile(rf"</{re.escape(tag)}\s*[^>]*>" if tag != "head" else r"</head\s*[^>]*>|(?=<body[\s>])", re.I).search(page, at)
+                if not end:
+                    never.add(tag)
+                at = end.end() if end else len(page) if tag in RAW else at
             if tag in BLOCKS:
                 turn(tag)
             continue
@@ -112,9 +125,8 @@ def blocks(page: str) -> list[_Block]:
             if close or not _boilerplate(tag, attributes, True):
                 continue
         if close:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                del stack[k:]
+            if open_tags[tag]:
+                drop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             if tag in BLOCKS:
                 in_link = False
                 turn("")
@@ -128,9 +140,9 @@ def blocks(page: str) -> list[_Block]:
             continue
         if tag in ("article", "main"):
             while stack and stack[-1][1]:  # menus and the like that were never closed
-                stack.pop()
+                drop(len(stack) - 1)
         while tag in ("p", "li", "option", "td", "th", "tr", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6") and stack and stack[-1][0] in ("p", tag):
-            stack.pop()
+            drop(len(stack) - 1)
         boiler, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         boiler = boiler or _boilerplate(tag, attributes, article > 0)
         if tag in ("article", "main") and not boiler:
@@ -138,6 +150,7 @@ def blocks(page: str) -> list[_Block]:
             article = articles
         if tag in BLOCKS or boiler and not (stack and stack[-1][1]):
             stack.append((tag, boiler, article))
+            open_tags[tag] += 1
             in_link = in_link and tag not in BLOCKS
             turn(tag)
     turn("")
@@ -146,13 +159,25 @@ def blocks(page: str) -> list[_Block]:
     return [b for b in out if b.text]
 
 
-def verdict(b: _Block) -> bool | None:
-    """First pass: content, boilerplate, or None for ambiguous."""
+def _stops(b: _Block) -> tuple[int, int]:
+    """Stop words and words."""
+    words = b.text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOPWORDS for w in words), len(words)
+
+
+def told(found: list[_Block]) -> bool:
+    """Whether stop words tell running text on this page: its long blocks hold enough of them to be in a language of the list."""
+    counts = [_stops(b) for b in found if not b.boiler and len(b.text) >= LONG]
+    return not counts or sum(s for s, _ in counts) >= KNOWN * sum(n for _, n in counts)
+
+
+def verdict(b: _Block, told: bool = True) -> bool | None:
+    """First pass: content, boilerplate, or None for ambiguous. told: whether stop words count, else length and links alone."""
     if b.boiler or b.linked > LINKS * sum(map(len, b.parts)):
         return False
     n = len(b.text)
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOPWORDS for w in words) / len(words)
+    stops, words = _stops(b)
+    stops = stops / words if told else STOPS
     if b.article:
         return True if n >= SHORT and (stops >= STOPS or n >= LONG) else None
     if n < SHORT or b.heading:
@@ -164,7 +189,8 @@ def verdict(b: _Block) -> bool | None:
 
 def labels(found: list[_Block]) -> list[bool]:
     """Both passes over a page's blocks."""
-    first = [verdict(b) for b in found]
+    known = told(found)
+    first = [verdict(b, known) for b in found]
     before: list[int | None] = []
     for i in range(len(found)):
         before.append(i - 1 if i and first[i - 1] is not None else before[i - 1] if i else None)
@@ -194,15 +220,15 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, carry: list[str], column: str = "html") -> DataFrame:
     """Columns ``carry`` of pages with text and n_chars (code points)."""
-    (raw,) = common.unused(pages, "_raw")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carry).schema), "text string, n_chars long"])
+    raw, text, n_chars = common.unused(pages.select(*carry), "_raw", "text", "n_chars")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*carry).schema), f"{text} string, {n_chars} long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 texts = [main_text(x) for x in part.column(raw).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*carry, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*carry, text, n_chars])
 
     return pages.select(*carry, F.col(column).alias(raw)).mapInArrow(run, schema)
 

@@ -7,8 +7,8 @@ smaller length, so only the starts that repeat go on to the next length; equal h
 compared word by word. A text is rejected if repeats (first occurrences not counted) hold
 more than ``LIMITS`` of its word characters, or repeated lines more than their limits.
 
-Null and empty texts have no words, hence fail the base rule. Repeated rows are judged
-each for itself; extra columns pass through.
+Null and empty texts have no words, hence fail the base rule. Bytes that are not UTF-8 count as the characters that
+they start. Repeated rows are judged each for itself; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import common
-from talus.llm.text import pieces, spaced_words
+from talus.llm.text import code_points, pieces, spaced_words
 
 #: Share of word characters inside repeated windows of so many words.
 LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -104,7 +104,7 @@ def measure(texts: list[bytes | None]) -> dict[str, list]:
         for line in text.split(b"\n"):
             if line and not line.isspace():
                 n += 1
-                size = len(line) if line.isascii() else len(line.decode())
+                size = code_points(line)
                 chars += size
                 if line in seen:
                     dup += 1
@@ -113,7 +113,7 @@ def measure(texts: list[bytes | None]) -> dict[str, list]:
                     seen.add(line)
         lines.append((dup, n, dup_chars, chars))
     ids, ends = np.array(ids, np.int64), np.array(ends, np.int64)
-    size = np.array([len(w) if w.isascii() else len(w.decode()) for w in codes], np.int64)[ids] if len(ids) else ids
+    size = np.array([code_points(w) for w in codes], np.int64)[ids] if len(ids) else ids
     n_words, chars = np.diff(ends, prepend=0), _per_text(size, ends)
     repeat, shares, kept = np.zeros(len(texts), np.int64), [], np.ones(len(texts), bool)
     for k, every, later in repeated(ids, ends, tuple(LIMITS)):
