@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the rejection threshold; labels come from the labels table, their texts from documents."""
     model = toxicity.fitted(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score(docs, model)
-    return scored.where(F.col("toxicity") < toxicity.REJECT).select(*docs.columns)
+    return scored.where(F.col(toxicity.made(docs)[0]) < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for every copy that the sources' quotas take."""
-    return mixing.copies(mixing.mix(docs), docs.columns)
+    """The mix: a row for every whole copy that the sources' quotas take."""
+    return mixing.copies(docs)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
