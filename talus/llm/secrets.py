@@ -11,8 +11,10 @@ passwords in the places where they leak, against commit hashes, checksums, ident
 paths, addresses, placeholders and long numbers. Training and scoring use DataFrame
 operations only.
 
-Null and empty texts have no candidates. Repeated rows are scanned each. Null keys stay. An
-empty table gives an empty result.
+Null and empty texts have no candidates. Repeated rows are scanned each, and a stretch that a word repeats is a
+candidate each time. Null keys stay. A probability of just ``THRESHOLD`` counts as a secret. An
+empty table gives an empty result. Secrets of fewer than 16 characters, or without a digit, are candidates only right after
+a word that asks.
 """
 
 from __future__ import annotations
@@ -40,34 +42,37 @@ NEXT = rf"(?:^|[^a-z])(?:{ASKS})[a-z0-9_]*[^a-z0-9]*(?:(?:is|was)[^a-z0-9]+)?$"
 
 
 def candidates(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
-    """Columns ``carry``, word_no (from 0), candidate, word (the candidate with the stretch before it) and the words around it (before, after)."""
-    words = F.split(F.col(text), r"[\x20\x09-\x0D]+")
-    rows = docs.select(*carry, words.alias("_words"), F.lower(text).rlike(ASKS).alias("_asks"))
+    """carried (a struct of columns ``carry``), word_no (from 0), candidate, word (the candidate with the stretch before it) and the words around it (before, after)."""
+    rows = docs.select(F.struct(*carry).alias("carried"), F.split(F.col(text), r"[\x20\x09-\x0D]+").alias("words"), F.lower(text).rlike(ASKS).alias("asking"))
+    near = lambda i, k: F.coalesce(F.get("words", i + k), F.lit(""))
+    size = lambda i: F.length(F.get("words", i))
+    asked = lambda i: F.lower(F.concat_ws(" ", *(F.get("words", i - k) for k in (3, 2, 1, 0)))).rlike(ASKS)
     at = F.filter(
-        F.sequence(F.lit(0), F.size("_words") - 1),
-        lambda i: (F.length(F.get("_words", i)) >= 6)
-        & (((F.length(F.get("_words", i)) >= 16) & F.get("_words", i).rlike("[0-9]")) | (F.col("_asks") & F.lower(F.concat_ws(" ", *(F.get("_words", i - k) for k in (3, 2, 1, 0)))).rlike(ASKS)))
-        & F.get("_words", i).rlike(SHAPE),
+        F.sequence(F.lit(0), F.size("words") - 1),
+        lambda i: (size(i) >= 6) & (((size(i) >= 16) & F.get("words", i).rlike("[0-9]")) | (F.col("asking") & asked(i))) & F.get("words", i).rlike(SHAPE),
     )
-    near = lambda i: F.coalesce(F.get("_words", F.col("_i") + i), F.lit(""))
-    word = F.get("_words", F.col("_i"))
-    before = F.when(F.col("_i") > 0, F.concat_ws(" ", F.when(F.col("_i") > 2, near(-3)), F.when(F.col("_i") > 1, near(-2)), near(-1))).otherwise("")
+    i = F.col("word_no")
+    before = F.when(i > 0, F.concat_ws(" ", F.when(i > 2, near(i, -3)), F.when(i > 1, near(i, -2)), near(i, -1))).otherwise("")
     # each match is the gap before a stretch and the stretch, so that a stretch that occurs twice has its own context
-    pieces = F.regexp_extract_all(word, F.lit(rf"(?s)\G.*?{SHAPE}"), F.lit(0))
+    pieces = F.regexp_extract_all(F.get("words", i), F.lit(rf"(?s)\G.*?{SHAPE}"), F.lit(0))
     found = (
-        rows.where(F.size("_words") > 0)
-        .withColumn("_i", F.explode(at))
-        .select(*carry, F.col("_i").alias("word_no"), before.alias("before"), near(1).alias("after"), pieces.alias("_pieces"))
-        .select("*", F.posexplode("_pieces").alias("_k", "_piece"))
-        .withColumn("candidate", F.regexp_extract("_piece", f"({SHAPE})$", 1))
-        .withColumn("_last", F.when(F.col("_k") > 0, F.regexp_extract(F.get("_pieces", F.col("_k") - 1), f"({SHAPE})$", 1)).otherwise(""))
-        .withColumn("_lead", F.concat("_last", F.expr("left(_piece, length(_piece) - length(candidate))")))
-        .withColumn("before", F.when(F.col("_k") > 0, "").otherwise(F.col("before")))
-        .withColumn("after", F.when(F.col("_k") < F.size("_pieces") - 1, "").otherwise(F.col("after")))
+        rows.where(F.size("words") > 0)
+        .select("carried", "words", F.explode(at).alias("word_no"))
+        .select("carried", "word_no", before.alias("before"), near(i, 1).alias("after"), pieces.alias("pieces"))
+        .select("carried", "word_no", "before", "after", F.size("pieces").alias("n"), F.explode(F.transform("pieces", lambda x, k: F.struct(k.alias("k"), x.alias("piece"), F.get("pieces", k - 1).alias("last")))).alias("x"))
+        .select("carried", "word_no", "before", "after", "n", "x.*", F.regexp_extract("x.piece", f"({SHAPE})$", 1).alias("candidate"))
+        .select(
+            "carried",
+            "word_no",
+            "candidate",
+            F.concat(F.when(F.col("k") > 0, F.regexp_extract("last", f"({SHAPE})$", 1)).otherwise(""), F.expr("left(piece, length(piece) - length(candidate))")).alias("lead"),
+            F.when(F.col("k") > 0, "").otherwise(F.col("before")).alias("before"),
+            F.when(F.col("k") < F.col("n") - 1, "").otherwise(F.col("after")).alias("after"),
+        )
     )
-    told = F.lower(F.concat_ws(" ", "before", "_lead")).rlike(NEXT)
+    told = F.lower(F.concat_ws(" ", "before", "lead")).rlike(NEXT)
     long = (F.length("candidate") >= 16) & F.col("candidate").rlike("[0-9]")
-    return found.where(long | told).select(*carry, "word_no", "candidate", F.concat("_lead", "candidate").alias("word"), "before", "after")
+    return found.where(long | told).select("carried", "word_no", "candidate", F.concat("lead", "candidate").alias("word"), "before", "after")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -156,11 +161,12 @@ def train(spark: SparkSession, labelled: list[tuple[str, str, str, str, float]]
 
 
 def scan(docs: DataFrame, carry: list[str], model: RandomForestClassificationModel | None = None, text: str = "text") -> DataFrame:
-    """Columns ``carry``, word_no, candidate, probability, is_secret: a row per candidate."""
+    """Columns ``carry``, word_no, candidate, probability, is_secret: a row per candidate. Names altered where ``carry`` has them."""
     model = model or train(docs.sparkSession)
+    names = common.unused(docs.select(*carry), "word_no", "candidate", "probability", "is_secret")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(candidates(docs, carry, text)))
     scored = model.transform(vectors).withColumn("probability", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6))
-    return scored.select(*carry, "word_no", "candidate", "probability", (F.col("probability") >= THRESHOLD).alias("is_secret"))
+    return scored.select("carried.*", "word_no", "candidate", "probability", (F.col("probability") >= THRESHOLD).alias("is_secret")).toDF(*carry, *names)
 
 
 def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
