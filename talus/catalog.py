@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from talus.queries import fixtures, global_, surface  # noqa: F401  (they register their queries)
+from talus.queries import files, fixtures, global_, surface  # noqa: F401  (they register their queries)
 
 QUERIES, ORACLES = fixtures.QUERIES, fixtures.ORACLES

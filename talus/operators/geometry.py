@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,29 @@ def trace(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
         path.append(at)
 
 
+def boundaries(labelled: DataFrame, by: str = "root") -> DataFrame:
+    """(by, seq, r, c): the outer boundary of every component of (by, r, c), closed by its first cell; holes have none.
+
+    A component is traced whole in one task; of its cells only those with a neighbour outside go there, which a
+    walk along the outside never leaves.
+    """
+    keys = [by, "r", "c"]
+    cells = labelled.select(*keys)
+    moved = [cells.select(by, (F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    hits = moved[0].unionAll(moved[1]).unionAll(moved[2]).unionAll(moved[3]).groupBy(*keys).count().where("count = 4")
+    rim = cells.join(hits, keys, "left_anti")
+    kind = labelled.schema[by].dataType.simpleString()
+
+    def run(key, table):  # no type hints: they would choose another form of call
+        path = trace(set(zip(table.column("r").to_pylist(), table.column("c").to_pylist(), strict=True)))
+        path.append(path[0])
+        r, c = zip(*path, strict=True)
+        n = len(path)
+        return pa.table({by: pa.array([key[0].as_py()] * n, table.schema.field(by).type), "seq": pa.array(range(n), pa.int32()), "r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32())})
+
+    return rim.groupBy(by).applyInArrow(run, f"`{by}` {kind}, seq int, r int, c int")
+
+
 def measures(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
     """Area, centroid and perimeter of an open loop of vertices by boundary integrals."""
     if len(x) < 3:

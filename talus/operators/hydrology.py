@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators.focal import label_boundary
@@ -18,6 +18,7 @@ from talus.operators.grid import SIDES, around, extent, idx, ring, sides
 from talus.operators.labels import clear_border, components, expand_labels, numbered, regional_minima, sizes
 from talus.operators.morphology import chain, thinned
 from talus.plans.checkpoints import cut
+from talus.plans.order import ordered
 from talus.plans.tiles import fixpoint, tiled
 
 _INF = float("inf")
@@ -204,5 +205,6 @@ def reconstruct_units(df: DataFrame, fill: int = 2, least: int = 4) -> DataFrame
 
 
 def upstream_order(df: DataFrame, z: str = "filled") -> DataFrame:
-    """df (idx, aux) with rank, from the highest; a report over one partition, not needed by receivers()."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(z).desc_nulls_last(), F.col("aux").desc_nulls_last(), "idx")))
+    """df (idx, aux) with rank (from 1), from the highest, in flats from the farthest, then in column-major order. receivers() does not need it."""
+    low = lambda x: F.coalesce(F.col(x), F.lit(-_INF)).desc()
+    return ordered(df, [low(z), low("aux"), F.col("idx")], "rank").withColumn("rank", F.col("rank") + 1)

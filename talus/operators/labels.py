@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talus.operators.grid import around, cross, extent, idx, ring
 from talus.plans.checkpoints import cut
 from talus.plans.components import components as linked
+from talus.plans.order import ordered
 
 
 def components(df: DataFrame, mask: str = "mask", connectivity: int = 8, same: str | None = None) -> DataFrame:
@@ -30,8 +31,8 @@ def components(df: DataFrame, mask: str = "mask", connectivity: int = 8, same: s
 
 
 def numbered(labelled: DataFrame, by: str = "root", name: str = "label") -> DataFrame:
-    """Labels 1..K in the order of ``by``: ranks over the distinct labels, joined back."""
-    ranks = labelled.select(by).distinct().withColumn(name, F.row_number().over(Window.orderBy(by)))
+    """Labels 1..K in the order of ``by``: places of the distinct labels, joined back."""
+    ranks = ordered(labelled.select(by).distinct(), [F.col(by)], name).withColumn(name, (F.col(name) + 1).cast("int"))
     return labelled.join(ranks, by)
 
 
@@ -76,6 +77,44 @@ def expand_labels(df: DataFrame, distance: int, label: str = "label", into: str
     return df.join(best, ["r", "c"], "left").withColumn(label, F.when(F.col(label) > 0, F.col(label)).when(F.col(into), F.coalesce("x.l", F.lit(0))).otherwise(0).cast("long")).drop("x")
 
 
+def fill_labels(df: DataFrame, label: str = "label", into: str = "room", first: int = 2) -> DataFrame:
+    """df with label on all cells of ``into``: of the nearest labelled cell however far, ties to the smallest label.
+
+    Distances double until no such cell is left without a label, each time only for those cells: a cell's ring is
+    searched tile by tile. Without any label nothing changes.
+    """
+    seeds = cut(df.where(F.col(label) > 0).select("r", "c", F.col(label).cast("long").alias("l")))
+    open_ = cut(df.where(F.col(into) & (F.coalesce(F.col(label), F.lit(0)) <= 0)).select("r", "c"))
+    if not seeds.limit(1).count():
+        return df
+    found, reach = None, first
+    rim = cut(rim_of(seeds))  # no cell inside a label is nearer than its rim
+    while open_.limit(1).count():
+        tile = lambda x, d=0: F.floor((F.col(x) + d) / reach)  # noqa: B023, E731
+        spread = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+        wide = open_.withColumns({"tr": tile("r"), "tc": tile("c")}).withColumn("dr", F.explode(spread)).withColumn("dc", F.explode(spread))
+        wide = wide.select("r", "c", (F.col("tr") + F.col("dr")).alias("tr"), (F.col("tc") + F.col("dc")).alias("tc"))
+        near = rim.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "l", tile("r").alias("tr"), tile("c").alias("tc"))
+        d = (F.col("r") - F.col("sr")) * (F.col("r") - F.col("sr")) + (F.col("c") - F.col("sc")) * (F.col("c") - F.col("sc"))
+        best = wide.join(near, ["tr", "tc"]).where(d <= reach * reach).groupBy("r", "c").agg(F.min(F.struct(d.alias("d"), "l")).alias("x"))
+        best = cut(best.select("r", "c", F.col("x.l").alias("_near")))
+        found = best if found is None else found.unionAll(best)
+        open_ = cut(open_.join(best, ["r", "c"], "left_anti"))
+        reach *= 2
+    if found is None:
+        return df
+    return df.join(found, ["r", "c"], "left").withColumn(label, F.coalesce("_near", F.col(label)).cast("long")).drop("_near")
+
+
+def rim_of(seeds: DataFrame, label: str = "l") -> DataFrame:
+    """Labelled cells (r, c, label) that have a neighbour in a row or column without that label."""
+    near = cross(seeds, label)
+    inner = F.lit(True)
+    for s in ("n", "s", "w", "e"):
+        inner = inner & F.col(f"{label}_{s}").eqNullSafe(F.col(label))
+    return near.where(~inner).select("r", "c", label)
+
+
 def spur_score(labelled: DataFrame, by: str = "root") -> DataFrame:
     """(by, spur 0-6) in column-major order: one column, one row, and row or column steps all 1 or all -1."""
     w = Window.partitionBy(by).orderBy("idx")

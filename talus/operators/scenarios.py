@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +44,19 @@ def contribution_gaps(banked: DataFrame, n_runs: int) -> DataFrame:
     return missing.unionAll(extra).unionAll(mixed).unionAll(twice)
 
 
-def aggregate_contributions(banked: DataFrame, grid: DataFrame, n_runs: int | None = None) -> DataFrame:
-    """The map from banked contributions, refused if they are not complete; probabilities should add up to 1."""
-    if n_runs is not None and contribution_gaps(banked, n_runs).limit(1).count():
-        raise ValueError("contributions are not complete")
+def aggregate_contributions(banked: DataFrame, grid: DataFrame, n_runs: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """The map from banked contributions. With ``n_runs``: refused if runs are missing, banked twice, beyond or for another number.
+
+    Refused too if a cell lies outside the grid; probabilities that do not add up to 1 give a warning.
+    """
+    if n_runs is not None and (gaps := contribution_gaps(banked, n_runs).collect()):  # a row a run at most four times
+        raise ValueError("contributions are not complete: " + ", ".join(f"run {g.run} {g.problem}" for g in gaps))
+    have, want = (x.agg(F.max("r"), F.max("c"), F.least(F.min("r"), F.min("c"))).first() for x in (banked, grid))
+    if have[0] is not None and (want[0] is None or have[0] > want[0] or have[1] > want[1] or have[2] < 0):
+        raise ValueError("contributions are of another grid")
     summary = banked.groupBy("run").agg(F.max("prob").alias("prob"), F.count("r").alias("n_clusters"))
+    if n_runs is not None and (gap := probability_gap(summary)) > tolerance:
+        warnings.warn(f"probabilities add up to 1 but for {gap:g}", stacklevel=2)
     return susceptibility(banked.where("r is not null").select("run", "r", "c"), summary, grid)
 
 

@@ -101,3 +101,25 @@ def to_geojson(features: DataFrame, geometry: str = "geometry") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["feature"])
 
     return rows.mapInArrow(run, "feature string")
+
+
+def write_vector(features: DataFrame, path: str, geometry: str = "geometry") -> None:
+    """Write features by the path's extension: .geojson or .json as one collection's lines in parts, .csv and .parquet with the geometry as WKT.
+
+    Shapefiles and GeoPackages need a database or three files a layer and are refused, as is any other extension.
+    """
+    kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if kind in ("geojson", "json"):
+        to_geojson(features, geometry).write.mode("overwrite").text(path)
+    elif kind == "csv":
+        features.write.mode("overwrite").option("header", "true").csv(path)
+    elif kind == "parquet":
+        features.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"no vector format for {path!r}: use .geojson, .json, .csv or .parquet")
+
+
+def read_geojson(spark, path: str, properties: str) -> DataFrame:
+    """Features as written above: columns of ``properties`` (a schema) and geometry, its GeoJSON as text."""
+    rows = spark.read.text(path).select(F.from_json("value", f"type string, properties struct<{properties}>, geometry string").alias("f"))
+    return rows.select("f.properties.*", F.col("f.geometry").alias("geometry"))

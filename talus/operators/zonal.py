@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.plans.checkpoints import cut
+from talus.plans.order import ordered
+
 from talus.operators.focal import label_boundary
 from talus.plans.tiles import tiled
 
@@ -31,10 +34,11 @@ def histogram(df: DataFrame, value: str = "sus", bins: int = 50) -> DataFrame:
 
 
 def empirical_cdf(df: DataFrame, value: str = "sus") -> DataFrame:
-    """(value, share): share of values at or below each distinct value. Only distinct values are ordered in one place."""
+    """(value, share): share of values at or below each distinct value, ordered by ranges."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select("value", (F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy())).alias("share"))
+    run = cut(ordered(counts, [F.col("value")], "at", {"upto": F.col("n")}))
+    total = run.agg(F.max("upto")).first()[0]
+    return run.select("value", (F.col("upto") / F.lit(total)).alias("share"))
 
 
 def percentiles(df: DataFrame, value: str = "sus", at: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:

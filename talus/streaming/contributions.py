@@ -41,7 +41,14 @@ def fraction(run: Column, runs: Column, done: Column, clusters: Column) -> Colum
     return F.least(F.lit(0.99), ((run - 1) + part) / F.greatest(F.lit(1), runs))
 
 
-def tail(spark: SparkSession, path: str, lines: int = 25) -> DataFrame:
-    """The last lines of a text file, in order."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
-    return rows.orderBy(F.desc("at")).limit(lines).orderBy("at").select("value")
+def tail(spark: SparkSession, path: str, lines: int = 25, most: int = 256 << 10) -> DataFrame:
+    """The last lines of a text file, in order; only its last ``most`` bytes are read, and a line that they cut is left out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(at).getLen()
+    stream = fs.open(at)
+    stream.seek(max(0, size - most))
+    text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode(errors="replace")
+    stream.close()
+    rows = text.splitlines()[1 if size > most else 0 :][-lines:] if lines > 0 else []
+    return spark.createDataFrame([(x,) for x in rows], "value string")
