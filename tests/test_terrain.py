@@ -263,3 +263,26 @@ def test_soil_depth_query_runs_to_the_default_end(spark, sf, monkeypatch):
 
     monkeypatch.setattr(hillslope, "soil_depth", whole)
     assert QUERIES["soil_depth"](spark, sf).columns == ["r", "c", "depth"] and seen == [5501]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_of_graphs(spark, few):
+    from talus.plans.components import components as linked
+
+    rng = np.random.default_rng(12)
+    for n, m in ((1, 1), (40, 30), (60, 20), (30, 200)):
+        edges = rng.integers(0, n, (m, 2)).tolist()
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:  # noqa: B023
+                x = parent[x]  # noqa: B023
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        got = {r.node: r.root for r in linked(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert linked(chain, few).where("root <> 0").count() == 0 and linked(chain.limit(0), few).count() == 0
