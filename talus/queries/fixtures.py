@@ -132,3 +132,36 @@ def components_sql(out: str, src: str, mask: str = "mask", diagonal: bool = True
           union select e.b, min(l.root) from {out}_l l join {out}_e e on e.a = l.idx join recurring.{out}_l o on o.idx = e.b where l.root < o.root group by e.b)""",
         f"{out} as materialized (select t.*, root from {out}_on t join {out}_l using (idx))",
     ]
+
+
+_CLOCK = ("n", "ne", "e", "se", "s", "sw", "w", "nw")
+_SET = "(" + " + ".join(f"{k}::int" for k in _CLOCK) + ")"
+_TURNS = "(" + " + ".join(f"(not {a} and {b})::int" for a, b in zip(_CLOCK, (*_CLOCK[1:], "n"), strict=True)) + ")"
+_THIN = f"mask and not ({_SET} between 2 and 6 and {_TURNS} = 1 and not ({{}}) and not ({{}}))"
+#: One pass of each operation over a cell (mask) and its neighbours (n, ne ...).
+PASSES = {
+    "clean": [f"mask and {_SET} > 0"],
+    "fill": [f"mask or {_SET} = 8"],
+    "majority": [f"mask::int + {_SET} >= 5"],
+    "spur": [f"mask and {_SET} > 1"],
+    "diag": ["mask or " + " or ".join(f"({a} and {b} and not {a}{b})" for a in "ns" for b in "we")],
+    # stretches of the ring, a corner between two set sides counting as set: their first cells are counted
+    "bridge": ["mask or " + " + ".join(f"({k} and not ({p} or {q}))::int" for k, p, q in (("n", "nw", "w"), ("e", "ne", "n"), ("s", "se", "e"), ("w", "sw", "s")))
+               + " + " + " + ".join(f"({k} and not {p})::int" for k, p in (("ne", "n"), ("se", "e"), ("sw", "s"), ("nw", "w"))) + " >= 2"],
+    "skel": [_THIN.format("n and e and s", "e and s and w"), _THIN.format("n and e and w", "n and s and w")],
+}
+
+
+def passes_sql(out: str, src: str, steps: list[tuple[str, int]]) -> list[str]:
+    """CTEs out (r, c, mask): the passes of ``steps`` in turn over a dense src (r, c, mask)."""
+    rules, ctes = [x for op, k in steps for _ in range(k) for x in PASSES[op]], []
+    for i, rule in enumerate(rules):
+        last, name = i == len(rules) - 1, f"{out}_{i}"
+        ctes += [
+            f"{name}a as (select r, c, mask, coalesce(lag(mask) over x, false) as w, coalesce(lead(mask) over x, false) as e from {src} window x as (partition by r order by c))",
+            f"""{name}b as (select r, c, mask, w, e, coalesce(lag(mask) over y, false) as n, coalesce(lag(w) over y, false) as nw, coalesce(lag(e) over y, false) as ne,
+              coalesce(lead(mask) over y, false) as s, coalesce(lead(w) over y, false) as sw, coalesce(lead(e) over y, false) as se from {name}a window y as (partition by c order by r))""",
+            f"{out if last else name} as materialized (select r, c, {rule} as mask from {name}b)",
+        ]
+        src = name
+    return ctes

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from talus.operators import grid, hillslope, hydrology, labels, morphology, physics, scenarios, vector, zonal
 from talus.plans import regional
 from talus.plans.checkpoints import cut
 from talus.queries.fixtures import (
-    BROKEN, CELLS, ENDS, HOLES, MASK, PADDED, RUNS, STATE, UNITS, cells, components_sql, forces_sql, holes, masked, near, query, runs, runs_sql, units, with_sql,
+    BROKEN, CELLS, ENDS, HOLES, MASK, PADDED, RUNS, STATE, UNITS, cells, components_sql, forces_sql, holes, masked, near, passes_sql, query, runs, runs_sql, units, with_sql,
 )
 from talus.queries.surface import BY_RUN, LIVE, rounded, state
 
@@ -135,7 +137,7 @@ _D8 = [
 
 @query(with_sql(CELLS, ENDS, HOLES, *_D8, select="select r, c, idx, recv from flow"))
 def d8_receiver(spark, d):
-    """Receivers on unfilled terrain, which has no flats here; carved terrain is tested against brute force."""
+    """Receivers on unfilled terrain, which has no flats here; ``flow_carved`` goes through them."""
     return hydrology.flow_direction(holes(spark, d), preprocess="none").select("r", "c", "idx", "recv")
 
 
@@ -144,18 +146,82 @@ def flow_accumulation(spark, d):
     return hydrology.flow_accumulation(hydrology.flow_direction(holes(spark, d), preprocess="none")).select("r", "c", "acc")
 
 
-@query()
+_SILLS = [
+    *_FLATS,
+    f"sf as (select r, c, filled, flat, coalesce(not flat and greatest({', '.join(f'level_{k}' for k in grid.SIDES)}) = filled, false) as sill from ln)",
+    "sv as materialized (select sf.*, h.z, case when sill then filled end as sl, sf.c::bigint * m + sf.r + 1 as idx from sf join holes h on h.r = sf.r and h.c = sf.c, ends)",
+    near("sn", "sv", "sl"),
+    f"pre as materialized (select r, c, idx, z, filled, flat, sill, flat and ({' or '.join(f'coalesce(sl_{k} = filled, false)' for k in grid.SIDES)}) as presill from sn)",
+]
+_CARVED = [
+    *_SILLS, *components_sql("fc", "sv", mask="flat"),
+    "deep as (select root, max(filled - z) as most from fc group by root)",
+    "cost as materialized (select p.r, p.c, p.idx, p.presill, pow(most - (p.filled - p.z), 2.0) + 0.1 as cost from pre p join fc on fc.idx = p.idx join deep using (root))",
+    f"ge as materialized (select a.idx as a, b.idx as b, (case when dr <> 0 and dc <> 0 then sqrt(2.0) else 1.0 end) * 0.5 * (a.cost + b.cost) as w from cost a cross join (values {_MOVES}) o(dr, dc) join cost b on b.r = a.r + dr and b.c = a.c + dc)",
+    """gd(idx, h) using key (idx) as (select idx, case when presill then 0.0::double else 'inf'::double end as h from cost
+      union select e.b, min(l.h + e.w) from gd l join ge e on e.a = l.idx join recurring.gd o on o.idx = e.b where l.h + e.w < o.h group by e.b)""",
+]
+_ROUTED = [
+    *_CARVED,
+    "kn as (select p.r, p.c, p.idx, filled as z, {'z': coalesce(filled, '-inf'::double), 'a': coalesce(gd.h + 1, '-inf'::double), 'i': -p.idx} as k from pre p left join gd on gd.idx = p.idx)",
+    *_D8[1:],
+]
+
+
+@query(_sql(CELLS, ENDS, HOLES, *_SILLS, select="select r, c, presill from pre"))
+def presill_cells(spark, d):
+    return hydrology.presills(cut(hydrology.flats_and_sills(hydrology.fill_depressions(holes(spark, d))))).select("r", "c", "presill")
+
+
+@query(_sql(CELLS, ENDS, HOLES, *_CARVED, select="select p.r, p.c, p.flat, round(case when cost.idx is null then p.filled - p.z else cost.cost end, 6) as cost, round(gd.h + 1, 6) as aux from pre p left join cost on cost.idx = p.idx left join gd on gd.idx = p.idx"))
+def flat_cost_distance(spark, d):
+    """Cost of cells in flats, and the cheapest way to them from a presill."""
+    g = cut(hydrology.presills(cut(hydrology.flats_and_sills(hydrology.fill_depressions(holes(spark, d))))))
+    got = hydrology.flat_distance(cut(hydrology.carve_cost(g)))
+    return got.select("r", "c", "flat", F.round(F.when(F.col("z").isNotNull(), F.col("cost")), 6).alias("cost"), F.round("aux", 6).alias("aux"))
+
+
+@query(_sql(CELLS, ENDS, HOLES, *_FILL, "has_fill as (select r, c, z, filled, filled is not null as has from filled)", *components_sql("comp", "has_fill", mask="has", same="filled"), near("g", "has_fill", "filled"),
+    f"low as (select distinct root from comp join (select r, c from g where least({', '.join(f'filled_{k}' for k in grid.SIDES)}) < filled) using (r, c))",
+    "rim as (select distinct root from comp, ends where r = 0 or c = 0 or r = mr or c = mc)",
+    select="select r, c, coalesce(root not in (select root from low) and root not in (select root from rim), false) as closed from has_fill left join (select r, c, root from comp) using (r, c)"))
+def closed_minima(spark, d):
+    return hydrology.closed_minima(cut(hydrology.fill_depressions(holes(spark, d)))).select("r", "c", "closed")
+
+
+@query(_sql(CELLS, ENDS, HOLES, *_ROUTED, "way as (select recv as cell from flow where recv is not null union all select f.recv from way join flow f on f.idx = way.cell where f.recv is not null)", "acc as (select cell as idx, count(*) as n from way group by cell)", select="select r, c, recv, coalesce(n, 0) + 1.0::double as acc from flow left join acc using (idx)"))
 def flow_carved(spark, d):
-    """Receivers and accumulation after carving through flats; tested against brute force."""
+    """Receivers and accumulation after carving through flats."""
     return hydrology.flow_accumulation(hydrology.flow_direction(holes(spark, d))).select("r", "c", "recv", "acc")
 
 
-@query()
+def _renamed(ctes: list[str], suffix: str) -> list[str]:
+    """CTEs under other names, so that they can stand twice in one query."""
+    names = sorted({re.match(r"\s*(\w+)", x)[1] for x in ctes}, key=len, reverse=True)
+    return [re.sub(rf"\b({'|'.join(names)})\b", rf"\1{suffix}", x) for x in ctes]
+
+
+def _above(suffix: str, z: str, least: int) -> list[str]:
+    """CTEs mask<suffix>: accumulation above ``least`` on the padded grid with heights ``z``, diagonal steps filled."""
+    source = f"holes as (select r, c, v, {z} as z from padded)"
+    way = "way as (select recv as cell from flow where recv is not null union all select f.recv from way join flow f on f.idx = way.cell where f.recv is not null)"
+    many = f"many as (select r, c, coalesce(n, 0) + 1 > {least} as mask from flow left join (select cell as idx, count(*) as n from way group by cell) using (idx))"
+    return _renamed([source, *_ROUTED, way, many, *passes_sql("line", "many", [("diag", 1)])], suffix)
+
+
+_THINNED = [("skel", 40), ("bridge", 1), ("diag", 1)]
+
+
+@query(_sql(CELLS, ENDS, PADDED, *_above("_v", "z", 100), *_above("_r", "(select max(z) + min(z) from padded) - z", 5),
+    "both_lines as (select r, c, line_r.mask as ridge, line_v.mask as valley, line_r.mask or line_v.mask as mask from line_r join line_v using (r, c))", *passes_sql("thin", "both_lines", _THINNED),
+    select="select r, c, ridge, valley, thin.mask as nogrow from both_lines join thin using (r, c)"))
 def ridge_valley_mask(spark, d):
     return hydrology.ridges_and_valleys(grid.pad(cells(spark, d)))
 
 
-@query()
+@query(with_sql(CELLS, ENDS, UNITS, near("g", "units", "a", sides={"n": (-1, 0), "s": (1, 0), "w": (0, -1), "e": (0, 1)}),
+    "edge as (select r, c, z is not null and a > 0 and (" + " or ".join(f"coalesce(a_{k} <> a, false)" for k in "nswe") + ") as mask from g)", *passes_sql("thin", "edge", _THINNED),
+    select="select r, c, mask as nogrow from thin"))
 def nogrow_from_units(spark, d):
     return hydrology.nogrow_from_units(units(spark, d).withColumnRenamed("a", "unit"))
 
@@ -346,9 +412,13 @@ def unit_outlines(spark, d):
     return vector.union_by_unit(vector.outlines(units(spark, d).withColumnRenamed("a", "unit")))
 
 
-@query()
+_CLEANED = passes_sql("chained", "mask", [(op, 5) for op in ("spur", "bridge", "fill", "majority", "spur", "clean", "spur")])
+
+
+@query(_sql(CELLS, ENDS, MASK, *_CLEANED, *components_sql("comp", "chained"), "big as (select root from comp group by root having count(*) >= 7)",
+    select="select r, c, coalesce(root in (select root from big), false) as mask from chained left join (select r, c, root from comp) using (r, c)"))
 def initial_cleanup(spark, d):
-    """The clean-up of unstable cells, in one exchange; tested against brute force."""
+    """The clean-up of unstable cells, in one exchange."""
     return morphology.cleanup(masked(spark, d), 5, 7).select("r", "c", "mask")
 
 
