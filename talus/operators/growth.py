@@ -298,11 +298,11 @@ def _group(s: Settings, reach: int, m: int, n: int):
             full[k][at] = t.column(k).to_numpy(zero_copy_only=False).astype(float)
         full["nogrow"] = np.nan_to_num(full["nogrow"]) > 0
         for k in ("qx", "qy"):
-            each = np.array([[np.nan if x is None else x for x in row] for row in t.column(f"{k}_rot").to_pylist()], float)
+            each = t.column(f"{k}_rot").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(r), -1)
             full[k] = np.full((each.shape[1], *shape), np.nan)
             full[k][:, at[0], at[1]] = each.T
         initial = np.zeros(shape, bool)
-        initial[at] = np.array([x is True for x in t.column("_in").to_pylist()])
+        initial[at] = t.column("_in").is_valid().to_numpy()
         box = [t.column(k)[0].as_py() for k in ("b0", "b1", "b2", "b3")]
         whole = (box[0] - reach <= 0, box[1] + reach >= m - 1, box[2] - reach <= 0, box[3] + reach >= n - 1)
         code, cycles, was, final = grow(full, initial, reach, t.column("phi")[0].as_py(), t.column("coh")[0].as_py(), s, (r0, c0), whole)

@@ -2,7 +2,7 @@
 
 Depressions fill to their spill level by relaxation on tiles. Ties of flow direction follow the
 order (elevation, cost in flats, column-major place): it is compared between neighbours as a
-struct, so that no global sort is needed. Accumulation doubles pointers along the receivers.
+struct, so that no global sort is needed. Accumulation adds up inside tiles and links only the cells where flow leaves one.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,16 +164,87 @@ def flow_direction(df: DataFrame, cellsize: float = 10.0, preprocess: str = "car
     return cut(receivers(flat_distance(cut(grid)), cellsize).select("r", "c", "filled", "idx", "recv"))
 
 
-def flow_accumulation(flow: DataFrame, weight: str | None = None) -> DataFrame:
-    """flow (idx, recv) with acc: what flows through a cell, its own weight (1) included. Pointers double until all have ended."""
-    own = F.col(weight).cast("double") if weight else F.lit(1.0)
-    now = cut(flow.select("idx", F.col("recv").alias("to"), own.alias("acc")))
+TILE, FEW = 256, 1 << 18  # cells of a tile's side; rim cells that one task adds up
+
+
+def routed(to: np.ndarray, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What flows through each cell, and the last cell of its way; to: place of the receiver or -1. Pointers double."""
+    acc, last, to = acc.copy(), np.arange(len(to)), to.copy()
+    while (to >= 0).any():
+        on = to >= 0
+        last[on] = last[to[on]]
+        acc += np.bincount(to[on], acc[on], len(acc))
+        to[on] = to[to[on]]
+    return acc, last
+
+
+def _places(idx: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted value in the sorted idx, -1 where it is not there."""
+    at = np.minimum(np.searchsorted(idx, wanted), max(len(idx) - 1, 0))
+    return np.where(idx[at] == wanted, at, -1) if len(idx) else np.full(len(wanted), -1)
+
+
+def _tile(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """idx, recv (0 for none), own weight and place of the receiver, in order of idx."""
+    idx, recv, own = (table.column(x).to_numpy() for x in ("idx", "recv", "own"))
+    order = np.argsort(idx)
+    idx, recv, own = idx[order], np.nan_to_num(recv.astype(float)).astype(np.int64)[order], own[order]
+    return idx, recv, own, np.where(recv > 0, _places(idx, recv), -1)
+
+
+def _rims(_, table):
+    """Of each cell whose way leaves the tile, and of each on its rim: receiver outside, flow of this tile, last cell of the way if it leaves from there."""
+    idx, recv, own, to = _tile(table)
+    acc, last = routed(to, own)
+    leaves = (recv > 0) & (to < 0)
+    r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
+    rim = np.isin(idx, table.column("idx").to_numpy()[(r % TILE == 0) | (r % TILE == TILE - 1) | (c % TILE == 0) | (c % TILE == TILE - 1)]) | leaves
+    ends = leaves[last]
+    return pa.table({"idx": pa.array(idx[rim]), "out": pa.array(recv[rim], mask=~leaves[rim]), "acc": pa.array(acc[rim]), "last": pa.array(idx[last][rim], mask=~ends[rim])})
+
+
+def _tile_sums(_, table):
+    idx, _, own, to = _tile(table)
+    return pa.table({"idx": pa.array(idx), "acc": pa.array(routed(to, own)[0])})
+
+
+def _sums_in_one(batches):
+    some = [[b.column(x).to_numpy(zero_copy_only=False) for x in ("idx", "to", "acc")] for b in batches]
+    if some:
+        idx, to, acc = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.argsort(idx)
+        idx, to, acc = idx[order], np.nan_to_num(to.astype(float)).astype(np.int64)[order], acc[order]
+        yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(routed(np.where(to > 0, _places(idx, to), -1), acc)[0])], names=["idx", "acc"])
+
+
+def _sums(links: DataFrame, few: int) -> DataFrame:
+    """(idx, acc) of (idx, to, acc): what flows through. Few rows are added up in one task; else pointers double until all have ended."""
+    now = cut(links)
+    if now.limit(few + 1).count() <= few:
+        return now.coalesce(1).mapInArrow(_sums_in_one, "idx long, acc double")
     while now.where("to is not null").limit(1).count():
         given = now.where("to is not null").groupBy(F.col("to").alias("idx")).agg(F.sum("acc").alias("_more"))
         next_to = now.select(F.col("idx").alias("to"), F.col("to").alias("_next"))
         moved = now.join(next_to, "to", "left").select("idx", F.col("_next").alias("to"), "acc")
         now = cut(moved.join(given, "idx", "left").select("idx", "to", (F.col("acc") + F.coalesce("_more", F.lit(0.0))).alias("acc")))
-    return flow.join(now.select("idx", "acc"), "idx")
+    return now.select("idx", "acc")
+
+
+def flow_accumulation(flow: DataFrame, weight: str | None = None, few: int = FEW) -> DataFrame:
+    """flow (r, c, idx, recv) with acc: what flows through a cell, its own weight (1) included.
+
+    Tiles add up their own cells; only cells where flow leaves a tile are linked over the whole grid; what comes in is
+    then added along the ways inside each tile.
+    """
+    own = F.col(weight).cast("double") if weight else F.lit(1.0)
+    cells = flow.select("r", "c", "idx", "recv", own.alias("own"), F.floor(F.col("r") / TILE).alias("_tr"), F.floor(F.col("c") / TILE).alias("_tc"))
+    rims = cut(cells.groupBy("_tr", "_tc").applyInArrow(_rims, "idx long, out long, acc double, last long"))
+    leaving = rims.where("out is not null").select("idx", "out", "acc")
+    links = leaving.join(rims.select(F.col("idx").alias("out"), F.col("last").alias("to")), "out", "left").select("idx", "to", "acc")
+    through = _sums(links, few)
+    inflow = leaving.select("idx", "out").join(through, "idx").groupBy(F.col("out").alias("idx")).agg(F.sum("acc").alias("_in"))
+    fed = cells.join(inflow, "idx", "left").withColumn("own", F.col("own") + F.coalesce("_in", F.lit(0.0))).drop("_in")
+    return flow.join(fed.groupBy("_tr", "_tc").applyInArrow(_tile_sums, "idx long, acc double"), "idx")
 
 
 def ridges_and_valleys(df: DataFrame, cellsize: float = 10.0, ridge: float = 5.0, valley: float = 100.0) -> DataFrame:

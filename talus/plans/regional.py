@@ -50,29 +50,36 @@ def rotated(forces: DataFrame, dx: float = 10.0, dy: float = 10.0) -> DataFrame:
     return forces.join(arrays, keys).withColumns({"qx_rot": F.transform("_rot", lambda x: x["qx"]), "qy_rot": F.transform("_rot", lambda x: x["qy"])}).drop("_rot")
 
 
+def candidates(forces: DataFrame, runs: DataFrame, m: int, cleanup: int = 5, least: int = 7, nogrow: DataFrame | None = None) -> DataFrame:
+    """(run, cluster, r, c, phi, coh): clusters of unstable cells after the clean-up, numbered 1..K in each run.
+
+    All runs are one grid of m rows each, with an empty row between them that no pass of the clean-up crosses. Runs
+    after the first one without clusters do not count and are left out.
+    """
+    every = F.col("run") * (m + 1)
+    stack = forces.select((F.col("r") + every).alias("r"), "c", (F.col("z").isNotNull() & (F.col("q") > 0)).alias("mask"))
+    no = None if nogrow is None else by_run(nogrow.select("r", "c").distinct(), runs).select((F.col("r") + every).alias("r"), "c")
+    found = cut(labels.components(morphology.cleanup(stack, cleanup, least, no)))
+    own = found.select(F.floor(F.col("r") / (m + 1)).cast("int").alias("run"), (F.col("r") % (m + 1)).cast("int").alias("r"), "c", "root")
+    named = labels.numbered(own.withColumn("_first", F.struct("run", "root")), "_first", "_place")  # by run, then by first cell
+    lowest = named.groupBy("run").agg(F.min("_place").alias("_low"))
+    dims = forces.select("run", "phi", "coh").distinct()
+    stop = dims.join(lowest, "run", "left_anti").agg(F.min("run").alias("_stop"))
+    return (
+        named.join(F.broadcast(lowest), "run")
+        .join(F.broadcast(dims), "run")
+        .join(F.broadcast(stop), F.col("_stop").isNull() | (F.col("run") < F.col("_stop")))
+        .select("run", (F.col("_place") - F.col("_low") + 1).cast("long").alias("cluster"), "r", "c", "phi", "coh")
+    )
+
+
 def regional(df: DataFrame, runs: DataFrame, nogrow: DataFrame | None = None, settings: growth.Settings | None = None, cleanup: int = 5, **options) -> dict[str, DataFrame]:
     """sus (r, c, z, sus), summary (run, phi, coh, prob, n_clusters) and clusters (run, cluster, r, c, kind, code, cycles)."""
     s = settings or growth.Settings()
     cells = cut(prepared(df, dx=s.dx, dy=s.dy, **options))
     m, _ = grid.extent(cells)
     forces = cut(forces_by_run(cells, runs, s.dx, s.dy))
-    found = []
-    for r in runs.where("prob <> 0").orderBy("run").collect():  # scenarios: a small table
-        own = forces.where(F.col("run") == r.run)
-        mask = own.select("r", "c", (F.col("z").isNotNull() & (F.col("q") > 0)).alias("mask"))
-        clean = cut(morphology.cleanup(mask, cleanup, s.least, nogrow))
-        named = labels.numbered(labels.components(clean), "root", "cluster")
-        found.append(named.select(F.lit(r.run).alias("run"), F.col("cluster").cast("long"), "r", "c", F.lit(r.phi).alias("phi"), F.lit(r.coh).alias("coh")))
-        if not named.limit(1).count():
-            break  # later runs do not count
-    if not found:
-        grown = None
-        summary = runs.where("prob <> 0").withColumn("n_clusters", F.lit(0).cast("long"))
-        return {"sus": cells.select("r", "c", "z", F.when(F.col("z").isNotNull(), 0.0).alias("sus")), "summary": summary, "clusters": grown}
-    clusters = found[0]
-    for x in found[1:]:
-        clusters = clusters.unionAll(x)
-    clusters = cut(clusters)
+    clusters = cut(candidates(forces, runs, m, cleanup, s.least, nogrow))
     summary = scenarios.run_summary(clusters, runs.where("prob <> 0"))
     some = F.broadcast(clusters.select("run").distinct())
     rasters = rotated(forces.join(some, "run", "left_semi"), s.dx, s.dy).withColumns({"q0": F.col("q"), "qx0": F.col("qx"), "qy0": F.col("qy")})

@@ -62,12 +62,18 @@ def tiled(df: DataFrame, attributes: list[str], kernel: Kernel, out: str, halo:
 def fixpoint(df: DataFrame, fixed: list[str], state: str, kernel: Kernel, kind: str = "double", size: int = SIZE) -> DataFrame:
     """``state`` (with r, c and the fixed columns) after tiles have relaxed it, halo by halo, until no cell changes.
 
-    kernel returns the relaxed state; each round every tile relaxes to rest and neighbours see its rim in the next.
+    kernel returns the relaxed state; each round every tile relaxes to rest and neighbours see its rim in the next. A
+    round is one exchange: tiles hand on the fixed columns and tell by themselves whether they moved.
     """
-    now = cut(df.select("r", "c", *fixed, F.col(state).cast("double").alias(state)))
+    out = ", ".join([*(f"{x} double" for x in fixed), f"{state} double", "_moved boolean"])
+
+    def relaxed(grid: dict, place: dict) -> dict:
+        new, old = kernel(grid, place)["_new"], grid[state]
+        return {**{x: grid[x] for x in fixed}, state: new, "_moved": ~((new == old) | (np.isnan(new) & np.isnan(old)))}
+
+    now = df.select("r", "c", *fixed, F.col(state).cast("double").alias(state))
     for _ in range(ROUNDS):
-        done = tiled(now, [*fixed, state], kernel, "_new double", 1, size)
-        now = cut(now.join(done, ["r", "c"]).withColumn("_moved", ~F.col("_new").eqNullSafe(F.col(state))).drop(state).withColumnRenamed("_new", state))
+        now = cut(tiled(now, [*fixed, state], relaxed, out, 1, size))
         if not now.where("_moved").limit(1).count():
             return now.drop("_moved").withColumn(state, F.col(state).cast(kind))
         now = now.drop("_moved")

@@ -286,3 +286,22 @@ def test_components_of_graphs(spark, few):
         assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert linked(chain, few).where("root <> 0").count() == 0 and linked(chain.limit(0), few).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_accumulation_over_tiles(spark, few, monkeypatch):
+    monkeypatch.setattr(hydrology, "TILE", 4)
+    rng = np.random.default_rng(14)
+    for m, n in ((1, 1), (9, 13), (14, 6)):
+        z = rng.random((m, n)).round(2)
+        df = spark.createDataFrame([(r, c, float(z[r, c]) if (r, c) != (3, 3) else None) for r in range(m) for c in range(n)], "r int, c int, z double")
+        flow = hydrology.flow_direction(df).withColumn("own", F.col("r") + 2.0 * F.col("c") + 1)
+        rows = {x.idx: x for x in flow.collect()}
+        want = dict.fromkeys(rows, 0.0)
+        for i, x in rows.items():
+            at = i
+            while at is not None:
+                want[at] += x.own
+                at = rows[at].recv
+        got = {x.idx: x.acc for x in hydrology.flow_accumulation(flow, "own", few).collect()}
+        assert got == pytest.approx(want)
