@@ -305,3 +305,170 @@ def test_accumulation_over_tiles(spark, few, monkeypatch):
                 at = rows[at].recv
         got = {x.idx: x.acc for x in hydrology.flow_accumulation(flow, "own", few).collect()}
         assert got == pytest.approx(want)
+
+
+class SlowGrowth:
+    """The growth of one cluster, step by step over dictionaries of cells; outlines and wedges are the operator's."""
+
+    def __init__(self, g, initial, phi, coh, s):
+        self.g, self.s, self.phi, self.coh = g, s, phi, coh
+        self.initial = sorted(initial, key=lambda p: (p[1], p[0]))
+        self.m, self.n = g["z"].shape
+
+    def sides(self, p):
+        return [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+
+    def whole(self, cells):
+        seen, todo = set(), list(cells)[:1]
+        while todo:
+            p = todo.pop()
+            if p in cells and p not in seen:
+                seen.add(p)
+                todo += self.sides(p)
+        return bool(cells) and len(seen) == len(set(cells))
+
+    def spur(self, cells):
+        cells = sorted(cells, key=lambda p: (p[1], p[0]))
+        if len(cells) < 2:
+            return 6 * len(cells)
+        steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(cells, cells[1:], strict=False)]
+        return sum([len({c for _, c in cells}) == 1, len({r for r, _ in cells}) == 1, *(all(d[i] == v for d in steps) for i in (0, 1) for v in (1, -1))])
+
+    def erode(self, cells):
+        z = self.g["z"]
+        out = set(cells)
+        for p in cells:
+            if any(q not in cells for q in self.sides(p)) and all(z[p] < z[q] for q in self.sides(p) if q in cells):
+                out.discard(p)
+        return out
+
+    def forces(self, cells):
+        """Geometry and closure before the roots are taken off."""
+        ordered = sorted(cells, key=lambda p: (p[1], p[0]))
+        volume = sum(self.g["depth"][p] for p in ordered) * self.s.dx * self.s.dy
+        mask = np.zeros((self.m, self.n), bool)
+        for p in ordered:
+            mask[p] = True
+        self.k.geometry(mask, ordered, sum(self.g["w"][p] for p in ordered) / volume)
+
+    def close(self, cells):
+        rots = range(len(self.g["qx"]))
+        self.ex = [sum(self.g["qx"][k][p] for p in cells) + self.k.wx for k in rots]
+        self.ey = [sum(self.g["qy"][k][p] for p in cells) + self.k.wy for k in rots]
+        self.err = [math.hypot(a, b) for a, b in zip(self.ex, self.ey, strict=True)]
+
+    def roots(self):
+        self.ex, self.ey = [x - self.k.rx for x in self.ex], [y + self.k.ry for y in self.ey]
+        self.err = [e - self.k.roots for e in self.err]
+
+    def run(self):
+        errors, stored, offset = {}, {}, 0
+        while True:
+            offset += self.s.step
+            rows, columns = zip(*self.initial, strict=True)
+            box = max(0, min(rows) - offset), min(self.m - 1, max(rows) + offset), max(0, min(columns) - offset), min(self.n - 1, max(columns) + offset)
+            got = self.once(errors, stored, box)
+            if got != "wider":
+                return got
+            if offset >= self.s.max_offset:
+                return growth.WINDOW_CAP, self.cycle, self.was, self.cells
+
+    def once(self, errors, stored, box):
+        first = set(self.initial)
+        if self.spur(first) or not self.whole(first):
+            return growth._SKIPPED, 0, self.initial, self.initial
+        cells = self.erode(self.erode(first)) if self.s.erosions == 2 else first
+        if len(cells) <= 7 or self.spur(cells) or not self.whole(cells):
+            cells = first
+        self.was = sorted(cells, key=lambda p: (p[1], p[0]))
+        self.cells = list(self.was)
+        self.k = growth._Cluster(self.g, 0, 0, self.phi, self.coh, self.s)
+        try:
+            self.forces(self.cells)
+        except (ValueError, ZeroDivisionError, IndexError):
+            return growth._SKIPPED, 0, self.initial, self.initial
+        heavy = sum(self.g["w"][p] for p in self.cells)
+        self.close(self.cells)
+        if self.k.roots > max(self.err):
+            self.cells, emptied = [], True
+        else:
+            self.roots()
+            emptied = False
+        if heavy + self.k.wedge_weight <= 0:
+            return growth._SKIPPED, 0, self.initial, self.initial
+        stored[0], errors[0] = list(self.cells), min(self.err) / (heavy + self.k.wedge_weight) * 100
+        allowed, on, code, self.cycle, slot = self.s.tolerance / 100 * heavy, set(self.was), growth.CONVERGED, 0, 0
+        while min(self.err) > allowed and not emptied:
+            ring = {q for p in on for q in self.sides(p)} - on
+            if any(not (box[0] < r < box[1] and box[2] < c < box[3]) for r, c in ring):
+                return "wider"
+            z = self.g["z"]
+            found = sorted((p for p in ring if all(z[p] < z[q] for q in self.sides(p) if q in on)), key=lambda p: (p[1], p[0]))
+            found = [p for p in found if not self.g["nogrow"][p] and not math.isnan(self.g["q0"][p])]
+            if not found:
+                code = growth.NO_CELLS
+                self.cells = list(stored[min(errors, key=lambda i: (errors[i], i))])
+            else:
+                slot, self.cycle = slot + 1, self.cycle + 1
+                rot = min(range(len(self.err)), key=lambda k: (self.err[k], k))
+                ex, ey, total = self.ex[rot], self.ey[rot], heavy + self.k.wedge_weight
+                tried, left, percent = [], list(found), [self.err[rot] / total * 100]
+                while left:
+                    p = min(left, key=lambda p: (math.hypot(ex - self.g["qx"][rot][p], ey - self.g["qy"][rot][p]), found.index(p)))  # noqa: B023
+                    ex, ey, total = ex + self.g["qx"][rot][p], ey + self.g["qy"][rot][p], total + self.g["w"][p]
+                    left.remove(p)
+                    tried.append(p)
+                    percent.append(math.hypot(ex, ey) / total * 100)
+                tried = tried[: percent.index(min(percent))]
+                if not tried or slot in errors and errors[slot - 1] < errors[slot]:
+                    code = growth.NO_GAIN
+                self.cells = self.cells + tried
+            on, heavy = set(self.cells), sum(self.g["w"][p] for p in self.cells)
+            if code != growth.NO_CELLS:
+                try:
+                    self.forces(self.cells)
+                except (ValueError, ZeroDivisionError, IndexError):
+                    return growth.NO_GEOMETRY, self.cycle, self.was, self.cells
+            self.close(self.cells)
+            self.roots()
+            if slot <= self.s.cycles:
+                stored[slot] = list(self.cells)
+                if heavy + self.k.wedge_weight <= 0:
+                    return growth.NO_WEIGHT, self.cycle, self.was, self.cells
+                errors[slot] = min(self.err) / (heavy + self.k.wedge_weight) * 100
+            allowed = self.s.tolerance / 100 * heavy
+            if self.cycle >= self.s.cycles:
+                self.cells = list(stored[min(errors, key=lambda i: (errors[i], i))])
+                return growth.MAX_CYCLES, self.cycle, self.was, self.cells
+            if code:
+                break
+        return code, self.cycle, self.was, self.cells
+
+
+def test_growth_step_by_step():
+    """Clusters of three kinds of terrain, with no-grow cells, cells without forces, few cycles and narrow windows."""
+    ends = {}
+    for seed in range(120):
+        rng = np.random.default_rng(seed)
+        m, n = 26, 24
+        r, c = np.mgrid[0:m, 0:n]
+        z = (300 - 6.0 * r + 2.0 * np.abs(c - 12) + rng.normal(0, 1.5, (m, n))) if seed % 3 == 0 else (rng.random((m, n)) * 20 + 4.0 * r) if seed % 3 == 1 else 200 + 0.4 * ((r - 13) ** 2 + (c - 12) ** 2) + rng.random((m, n))
+        g = {"z": z, "w": rng.uniform(2000, 5000, (m, n)), "depth": rng.uniform(1, 3, (m, n)), "pga": np.zeros((m, n)), "sigma_w": rng.uniform(0, 9, (m, n))}
+        g["qx0"], g["qy0"] = rng.normal(0, 400, (m, n)), rng.normal(900, 400, (m, n))
+        g["q0"] = np.where(rng.random((m, n)) < 0.03, np.nan, np.hypot(g["qx0"], g["qy0"]))
+        turns = np.radians(np.linspace(-20, 20, 8))
+        away = np.where(rng.random((m, n)) < 0.5, -1.0, 1.0)
+        g["qx"] = np.stack([(g["qx0"] * np.cos(t) - g["qy0"] * np.sin(t)) * away for t in turns])
+        g["qy"] = np.stack([(g["qx0"] * np.sin(t) + g["qy0"] * np.cos(t)) * away for t in turns])
+        g["nogrow"] = rng.random((m, n)) < 0.05
+        rows, columns = (3, 4) if seed % 4 else (2, 9)
+        initial = np.zeros((m, n), bool)
+        initial[11 : 11 + rows, 9 : 9 + columns] = True
+        initial &= rng.random((m, n)) < 0.95
+        s = growth.Settings(cycles=1 if seed % 5 == 0 else 30, step=2, max_offset=2 if seed % 7 == 0 else 40, s_roots=10.0 if seed % 2 else 1.0)
+        cells = [tuple(map(int, p)) for p in np.argwhere(initial)]
+        code, cycles, was, final = growth.grow(g, initial, 100, 34.0, 4.0, s)
+        want = SlowGrowth(g, cells, 34.0, 4.0, s).run()
+        assert (code, cycles, sorted(map(tuple, was)), sorted(map(tuple, final))) == (want[0], want[1], sorted(want[2]), sorted(want[3])), seed
+        ends[code] = ends.get(code, 0) + 1
+    assert len(ends) >= 4, ends
