@@ -143,21 +143,26 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (counter-clockwise point numbers) by incremental insertion; circles are tested all at once."""
+    """Triangles (counter-clockwise point numbers) by insertion from left to right; circles that lie behind are tested no more."""
     n = len(points)
     if n < 3:
         return np.zeros((0, 3), int)
     centre, span = points.mean(0), max(1e-9, float(np.ptp(points, axis=0).max()))
     p = np.vstack((points, centre + 1e4 * span * np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]])))
     tri = np.array([[n, n + 1, n + 2]])
-    circle = _circles(p, tri)
-    for i in range(n):
+    circle, behind = _circles(p, tri), []
+    for i in np.argsort(points[:, 0], kind="stable").tolist():
         x, y = p[i]
+        past = (x > circle[:, 0]) & ((x - circle[:, 0]) ** 2 >= circle[:, 2])
+        if past.any():
+            behind.append(tri[past])
+            tri, circle = tri[~past], circle[~past]
         hit = (circle[:, 0] - x) ** 2 + (circle[:, 1] - y) ** 2 < circle[:, 2] * (1 - 1e-12)
         edges = {(int(t[k]), int(t[(k + 1) % 3])) for t in tri[hit] for k in range(3)}
         rim = [(a, b) for a, b in edges if (b, a) not in edges and (p[a][0] - x) * (p[b][1] - y) - (p[a][1] - y) * (p[b][0] - x) > 0]
         new = np.array([(a, b, i) for a, b in sorted(rim)], int).reshape(-1, 3)
         tri, circle = np.vstack((tri[~hit], new)), np.vstack((circle[~hit], _circles(p, new)))
+    tri = np.vstack([*behind, tri])
     return tri[(tri < n).all(axis=1)]
 
 

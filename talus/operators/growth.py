@@ -256,6 +256,20 @@ def grow(full: dict[str, np.ndarray], initial: np.ndarray, reach: int, phi: floa
 _FIELDS = ("z", "w", "depth", "pga", "sigma_w", "q0", "qx0", "qy0", "nogrow")
 
 
+def bounds(clusters: DataFrame, *more) -> DataFrame:
+    """(run, cluster, b0, b1, b2, b3): first and last row and column of each cluster; more: other aggregates."""
+    return clusters.groupBy("run", "cluster").agg(F.min("r").alias("b0"), F.max("r").alias("b1"), F.min("c").alias("b2"), F.max("c").alias("b3"), *more)
+
+
+def windows(boxes: DataFrame, rasters: DataFrame, reach: int, tile: int = 64) -> DataFrame:
+    """Rows of rasters (run, r, c and others) in each box of its run and ``reach`` cells around it, by an equi-join on the tiles that this covers."""
+    covered = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(lo) - reach) / tile).cast("int"), F.floor((F.col(hi) + reach) / tile).cast("int")))
+    wanted = boxes.withColumn("_tr", covered("b0", "b1")).withColumn("_tc", covered("b2", "b3"))
+    tiled = rasters.withColumns({"_tr": F.floor(F.col("r") / tile).cast("int"), "_tc": F.floor(F.col("c") / tile).cast("int")})
+    near = F.col("r").between(F.col("b0") - reach, F.col("b1") + reach) & F.col("c").between(F.col("b2") - reach, F.col("b3") + reach)
+    return wanted.join(tiled, ["run", "_tr", "_tc"]).where(near).drop("_tr", "_tc")
+
+
 def grow_clusters(clusters: DataFrame, rasters: DataFrame, settings: Settings | None = None, tile: int = 64, reach: int = 40) -> DataFrame:
     """(run, cluster, r, c, kind, code, cycles): kind initial, eroded or final; painted where code >= 0.
 
@@ -265,16 +279,13 @@ def grow_clusters(clusters: DataFrame, rasters: DataFrame, settings: Settings |
     m, n = rasters.agg(F.max("r") + 1, F.max("c") + 1).first()
     if m is None:
         return clusters.select("run", "cluster", "r", "c", F.lit("initial").alias("kind"), F.lit(0).alias("code"), F.lit(0).alias("cycles")).limit(0)
-    boxes = cut(clusters.groupBy("run", "cluster").agg(F.min("r").alias("b0"), F.max("r").alias("b1"), F.min("c").alias("b2"), F.max("c").alias("b3"), F.first("phi").alias("phi"), F.first("coh").alias("coh")))
-    tiled = rasters.select("run", "r", "c", *_FIELDS, "qx_rot", "qy_rot").withColumns({"_tr": F.floor(F.col("r") / tile).cast("int"), "_tc": F.floor(F.col("c") / tile).cast("int")})
+    strength = F.first("phi").alias("phi"), F.first("coh").alias("coh")
+    boxes = cut(bounds(clusters, *strength))
+    fields = rasters.select("run", "r", "c", *_FIELDS, "qx_rot", "qy_rot")
     done, todo = [], boxes
     while True:
-        covered = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(lo) - reach) / tile).cast("int"), F.floor((F.col(hi) + reach) / tile).cast("int")))  # noqa: E731, B023
-        wanted = todo.withColumn("_tr", covered("b0", "b1")).withColumn("_tc", covered("b2", "b3"))
-        near = F.col("r").between(F.col("b0") - reach, F.col("b1") + reach) & F.col("c").between(F.col("b2") - reach, F.col("b3") + reach)
-        windows = wanted.join(tiled, ["run", "_tr", "_tc"]).where(near).drop("_tr", "_tc")
         own = clusters.select("run", "cluster", "r", "c").withColumn("_in", F.lit(True))
-        rows = windows.join(own, ["run", "cluster", "r", "c"], "left")
+        rows = windows(todo, fields, reach, tile).join(own, ["run", "cluster", "r", "c"], "left")
         got = cut(rows.groupBy("run", "cluster").applyInArrow(_group(s, reach, m, n), "run int, cluster long, r int, c int, kind string, code int, cycles int"))
         done.append(got.where(F.col("code") != _WIDER))
         again = got.where(F.col("code") == _WIDER).select("run", "cluster").distinct()

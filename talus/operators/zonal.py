@@ -121,3 +121,8 @@ def boundary_fscore(df: DataFrame, a: str = "a", b: str = "b", tolerance: int =
     share = lambda hit, of: F.coalesce(F.try_divide(F.count_if(hit).cast("double"), F.count_if(of)), F.lit(0.0))
     out = near.agg(share(F.col("xa") & F.col("wb"), F.col("xa")).alias("precision"), share(F.col("xb") & F.col("wa"), F.col("xb")).alias("recall"))
     return out.withColumn("f", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def by_label(df: DataFrame, value: str, label: str = "root") -> DataFrame:
+    """(label, mean, top): mean and largest value of each label's cells; nulls don't count."""
+    return df.groupBy(label).agg(F.avg(value).alias("mean"), F.max(value).alias("top"))

@@ -73,14 +73,19 @@ def candidates(forces: DataFrame, runs: DataFrame, m: int, cleanup: int = 5, lea
     )
 
 
-def regional(df: DataFrame, runs: DataFrame, nogrow: DataFrame | None = None, settings: growth.Settings | None = None, cleanup: int = 5, **options) -> dict[str, DataFrame]:
-    """sus (r, c, z, sus), summary (run, phi, coh, prob, n_clusters) and clusters (run, cluster, r, c, kind, code, cycles)."""
+def begun(df: DataFrame, runs: DataFrame, nogrow: DataFrame | None = None, settings: growth.Settings | None = None, cleanup: int = 5, **options) -> dict[str, DataFrame]:
+    """What comes before growth: cells, forces, candidate clusters, and summary (run, phi, coh, prob, n_clusters)."""
     s = settings or growth.Settings()
     cells = cut(prepared(df, dx=s.dx, dy=s.dy, **options))
-    m, _ = grid.extent(cells)
     forces = cut(forces_by_run(cells, runs, s.dx, s.dy))
-    clusters = cut(candidates(forces, runs, m, cleanup, s.least, nogrow))
-    summary = scenarios.run_summary(clusters, runs.where("prob <> 0"))
+    clusters = cut(candidates(forces, runs, grid.extent(cells)[0], cleanup, s.least, nogrow))
+    return {"cells": cells, "forces": forces, "clusters": clusters, "summary": scenarios.run_summary(clusters, runs.where("prob <> 0"))}
+
+
+def regional(df: DataFrame, runs: DataFrame, nogrow: DataFrame | None = None, settings: growth.Settings | None = None, cleanup: int = 5, **options) -> dict[str, DataFrame]:
+    """sus (r, c, z, sus), summary (run, phi, coh, prob, n_clusters) and clusters (run, cluster, r, c, kind, code, cycles)."""
+    s = settings or growth.Settings()
+    cells, forces, clusters, summary = begun(df, runs, nogrow, s, cleanup, **options).values()
     some = F.broadcast(clusters.select("run").distinct())
     rasters = rotated(forces.join(some, "run", "left_semi"), s.dx, s.dy).withColumns({"q0": F.col("q"), "qx0": F.col("qx"), "qy0": F.col("qy")})
     if nogrow is not None:

@@ -152,16 +152,16 @@ PASSES = {
 }
 
 
-def passes_sql(out: str, src: str, steps: list[tuple[str, int]]) -> list[str]:
-    """CTEs out (r, c, mask): the passes of ``steps`` in turn over a dense src (r, c, mask)."""
-    rules, ctes = [x for op, k in steps for _ in range(k) for x in PASSES[op]], []
+def passes_sql(out: str, src: str, steps: list[tuple[str, int]], by: str | None = None) -> list[str]:
+    """CTEs out (r, c, mask): the passes of ``steps`` in turn over a dense src (r, c, mask), apart by the column ``by``."""
+    rules, ctes, own = [x for op, k in steps for _ in range(k) for x in PASSES[op]], [], f"{by}, " if by else ""
     for i, rule in enumerate(rules):
         last, name = i == len(rules) - 1, f"{out}_{i}"
         ctes += [
-            f"{name}a as (select r, c, mask, coalesce(lag(mask) over x, false) as w, coalesce(lead(mask) over x, false) as e from {src} window x as (partition by r order by c))",
-            f"""{name}b as (select r, c, mask, w, e, coalesce(lag(mask) over y, false) as n, coalesce(lag(w) over y, false) as nw, coalesce(lag(e) over y, false) as ne,
-              coalesce(lead(mask) over y, false) as s, coalesce(lead(w) over y, false) as sw, coalesce(lead(e) over y, false) as se from {name}a window y as (partition by c order by r))""",
-            f"{out if last else name} as materialized (select r, c, {rule} as mask from {name}b)",
+            f"{name}a as (select {own}r, c, mask, coalesce(lag(mask) over x, false) as w, coalesce(lead(mask) over x, false) as e from {src} window x as (partition by {own}r order by c))",
+            f"""{name}b as (select {own}r, c, mask, w, e, coalesce(lag(mask) over y, false) as n, coalesce(lag(w) over y, false) as nw, coalesce(lag(e) over y, false) as ne,
+              coalesce(lead(mask) over y, false) as s, coalesce(lead(w) over y, false) as sw, coalesce(lead(e) over y, false) as se from {name}a window y as (partition by {own}c order by r))""",
+            f"{out if last else name} as materialized (select {own}r, c, {rule} as mask from {name}b)",
         ]
         src = name
     return ctes

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from talus.operators import grid, hillslope, hydrology, labels, morphology, physics, scenarios, vector, zonal
+from talus.operators import grid, growth, hillslope, hydrology, labels, morphology, physics, scenarios, vector, zonal
 from talus.plans import regional
 from talus.plans.checkpoints import cut
 from talus.queries.fixtures import (
@@ -294,7 +294,7 @@ _SUS = "select r, c, case when z is not null then round(100 * coalesce(p, 0), 6)
 
 
 @query(_sql(*_SLIDES, select=_SUS))
-def susceptibility(spark, d):
+def susceptibility_before_growth(spark, d):
     found, _ = slides(spark, d)
     return scenarios.susceptibility(found.select("run", "r", "c"), _summary(spark, found), grid.pad(cells(spark, d)).select("r", "c", "z")).select("r", "c", F.round("sus", 6).alias("sus"))
 
@@ -312,13 +312,13 @@ def susceptibility_early_break(spark, d):
 
 
 @query(_sql(*_SLIDES, select="select run, phi, coh, prob, (select count(distinct root) from slides s where s.run = runs.run) as n_clusters from runs"))
-def run_cluster_counts(spark, d):
+def cluster_counts_before_growth(spark, d):
     found, _ = slides(spark, d)
     return _summary(spark, found)
 
 
 @query(_sql(*_SLIDES, select="select r, c, case when z is not null then round(coalesce(x, 0), 4) end as force from padded left join (select r, c, sum(prob * -coalesce(q, 0)) as x from slides join f using (run, r, c) group by r, c) using (r, c)"))
-def net_force_map(spark, d):
+def net_force_before_growth(spark, d):
     found, forces = slides(spark, d)
     out = scenarios.net_force(forces.select("run", "r", "c", "q"), found.select("run", "r", "c"), _summary(spark, found), grid.pad(cells(spark, d)).select("r", "c", "z"))
     return out.select("r", "c", F.round("force", 4).alias("force"))
@@ -367,12 +367,8 @@ def cluster_weight(spark, d):
 def cluster_window_rangejoin(spark, d):
     """Cells of each cluster's box and 20 around it, by an equi-join on the tiles it covers."""
     found, _ = slides(spark, d)
-    tile = lambda x: F.floor(x / 32)
-    box = found.groupBy("run", "root").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.min("c").alias("k"), F.max("c").alias("l"))
-    wide = box.withColumn("tr", F.explode(F.sequence(tile(F.greatest(F.lit(0), F.col("a") - 20)), tile(F.col("b") + 20)))).withColumn("tc", F.explode(F.sequence(tile(F.greatest(F.lit(0), F.col("k") - 20)), tile(F.col("l") + 20))))
-    tiled = cells(spark, d).select("r", "c", "z", tile(F.col("r")).alias("tr"), tile(F.col("c")).alias("tc"))
-    inside = wide.join(tiled, ["tr", "tc"]).where(F.col("r").between(F.col("a") - 20, F.col("b") + 20) & F.col("c").between(F.col("k") - 20, F.col("l") + 20))
-    return inside.groupBy("run", F.col("root").alias("cluster")).agg(F.count("*").alias("cells"), F.round(F.sum("z"), 3).alias("sum_z"))
+    inside = growth.windows(growth.bounds(found.withColumnRenamed("root", "cluster")), regional.by_run(cells(spark, d).select("r", "c", "z"), runs(spark)), 20, 32)
+    return inside.groupBy("run", "cluster").agg(F.count("*").alias("cells"), F.round(F.sum("z"), 3).alias("sum_z"))
 
 
 _ROTS = """rot as (select f.run, root, rot_id, f.r, f.c, f.z, f.w, f.sigma_s, f.pga, phi, coh, sqrt(subdx * subdx + subdy * subdy) * cos(radians(-20.0 + 40.0 * rot_id / 7)) as len, degrees(atan2(subdy, subdx)) - 20.0 + 40.0 * rot_id / 7 as turn
@@ -429,6 +425,32 @@ def cluster_growth(spark, d):
     return got["clusters"].groupBy("run", "cluster", "kind", "code").agg(F.count("r").alias("cells"), F.max("cycles").alias("cycles"))
 
 
+@query()
+def susceptibility(spark, d):
+    """The map that the whole regional run is for: clean-up, growth and all strengths, with default settings."""
+    return regional.regional(cells(spark, d), runs(spark))["sus"].select("r", "c", F.round("sus", 6).alias("sus"))
+
+
+_CHAIN = [(op, 5) for op in ("spur", "bridge", "fill", "majority", "spur", "clean", "spur")]
+_CANDIDATES = [*STATE, runs_sql(), LIVE, BY_RUN, *forces_sql("f", "sr"), "bad as (select run, r, c, z is not null and q > 0 as mask from f)", *passes_sql("chained", "bad", _CHAIN, "run"),
+               *components_sql("comp", "chained", by="run"), "big as (select run, root from comp group by run, root having count(*) >= 7)",
+               "counted as (select run, phi, coh, prob, (select count(*) from big where big.run = live.run) as n from live)"]
+
+
+@query(_sql(*_CANDIDATES, select="select run, phi, coh, prob, case when run < coalesce((select min(run) from counted where n = 0), 999) then n else 0 end as n_clusters from counted"))
+def run_cluster_counts(spark, d):
+    """Candidate clusters of each strength after the clean-up, as the whole regional run reports them."""
+    return regional.begun(cells(spark, d), runs(spark))["summary"]
+
+
+@query(_sql(*_CANDIDATES, "cut as (select coalesce(min(run), 999) as stop from counted where n = 0)",
+    "ranked as (select run, root, dense_rank() over (partition by run order by root) as cluster from big)",
+    select="select run, cluster, r, c from comp join ranked using (run, root), cut where run < stop"))
+def candidate_clusters(spark, d):
+    """Cells of the candidate clusters of all strengths, numbered in each."""
+    return regional.begun(cells(spark, d), runs(spark))["clusters"].select("run", "cluster", "r", "c")
+
+
 @query()
 def termination_histogram(spark, d):
     got = regional.regional(cells(spark, d), runs(spark))
@@ -439,5 +461,5 @@ def termination_histogram(spark, d):
 def label_maximum(spark, d):
     """Largest and mean value per component."""
     found = labels.components(masked(spark, d)).join(cells(spark, d).select("r", "c", "z"), ["r", "c"])
-    return rounded(found.groupBy("root").agg(F.avg("z").alias("mean"), F.max("z").alias("top")), "root")
+    return rounded(zonal.by_label(found, "z"), "root")
 
