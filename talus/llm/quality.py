@@ -151,5 +151,39 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, carry=["doc_id"]).drop("repeat_shares", "line_share", "line_char_share")
 
 
+ORACLE = f"""
+with d as (select *, row_number() over () as row, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+w as (select row, i, length(words[i]) as size from (select row, words, unnest(range(1, len(words) + 1)) as i from d)),
+g as (
+  select row, k, i, count(*) over s as times, row_number() over (partition by row, k, phrase order by i) as nth
+  from (
+    select row, k, i, array_to_string(words[i:i + k - 1], ' ') as phrase
+    from (select row, words, k, unnest(range(1, len(words) - k + 2)) as i from d, (values {", ".join(f"({k})" for k in LIMITS)}) t(k) where len(words) >= k))
+  window s as (partition by row, k, phrase)),
+hit as (select distinct row, k, unnest(range(i, i + k)) as i, false as later from g where times > 1 and k = {BASE_WINDOW}),
+late as (select distinct row, k, unnest(range(i, i + k)) as i from g where nth > 1),
+covered as (select row, k, sum(size) as chars from late join w using (row, i) group by row, k),
+l as (
+  select row, length(line) as size, row_number() over (partition by row, line order by k) > 1 as dup
+  from (select row, k, parts[k] as line from (select row, parts, unnest(range(1, len(parts) + 1)) as k from (select row, string_split(text, chr(10)) as parts from d)))
+  where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+s as (
+  select d.row, d.doc_id, len(words) as n_words, coalesce((select sum(size) from w where w.row = d.row), 0)::bigint as word_chars,
+    coalesce(length(text) - length(regexp_replace(text, '[{SYMBOLS.decode()}]', '', 'g')), 0) as n_symbols
+  from d),
+f as (
+  select s.*, coalesce(n_dup, 0) as n_dup_lines, coalesce(n_hit, 0) as n_repeat_words,
+    coalesce(n_dup / n_lines, 0) as line_share, coalesce(dup_chars / line_chars, 0) as line_char_share
+  from s left join (select row, count(*) as n_hit from hit group by row) using (row)
+    left join (select row, count(*) as n_lines, count(*) filter (dup) as n_dup, sum(size) as line_chars, coalesce(sum(size) filter (dup), 0) as dup_chars from l group by row) using (row)),
+b as (
+  select row, bool_or(chars / word_chars > bound) as much
+  from covered join s using (row) join (values {", ".join(f"({k}, {v}::double)" for k, v in LIMITS.items())}) t(k, bound) using (k) group by row),
+v as (select *, n_words < {BASE_LEAST} or 100 * n_repeat_words > {BASE_PERCENT} * n_words as base_failed from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not coalesce(much, false) and line_share <= {LINE_SHARE}::double and line_char_share <= {LINE_CHAR_SHARE}::double as kept
+from v left join b using (row)
+"""
+
 QUERIES = {"op4_repetition_rules": op4_repetition_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_repetition_rules": ORACLE}
