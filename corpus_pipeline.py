@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import common, decontamination, mixing, sharding, simhash, toxicity
+from talus.plans.checkpoints import remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
+    """One document of each group of texts whose five-word shingles are alike to 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -54,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents. What stages write stays in the shared folder until it is cleared."""
+    """The last stage's rows over documents. What a stage writes goes once the next one's rows are written; the last folder stays, as the result reads it."""
     docs = common.table(spark, sf_dir, "documents")
     where = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -62,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{where}/{name}")
             docs = spark.read.parquet(f"{where}/{name}")
+            if k:
+                remove(spark, f"{where}/{STAGES[k - 1][0]}")
     return docs
