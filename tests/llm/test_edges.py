@@ -109,6 +109,21 @@ def test_lm_of_null_keys_and_repeated_rows(spark):
     assert len({round(r.score, 6) for r in got if r.n_tokens == 4}) == 1 and next(r.n_known for r in got if r.doc_id == 7) == 3
 
 
+def test_lm_of_words_in_many_chunks(spark, monkeypatch):
+    """Counts are the same however the places of a word are dealt to rows."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.geometric(0.05, 30)) for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12, "doc_id").withColumn("held_out", F.col("doc_id") % 10 == 0)
+    counts = Counter(w for i, t in enumerate(texts) if i % 10 for w in [*t.split(), ""])
+    n, v = sum(counts.values()), len(counts)
+    for group in (4096, 1, 5):
+        monkeypatch.setattr(lm, "GROUP", group)
+        for r in lm.score(d).collect():
+            w = [*texts[r.doc_id].split(), ""]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[x] > 0 for x in w), n)
+            assert r.base_score == pytest.approx(sum(np.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+
+
 def test_lm_learns_from_the_documents(spark):
     """On held-out documents the model is better than the unigram base."""
     got = lm.op7_gru_scores(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
@@ -158,3 +173,14 @@ def test_pipeline_of_odd_rows(spark, sf, rows):
         assert now.where(" or ".join(f"{n} <> 'own {n}'" for n in names)).count() == 0
     assert now.columns == [*docs.columns, "shard_", "slot_"]
     assert now.where("text is not null and text <> ''").select("text").distinct().count() == (1 if len(rows) > 1 else 0)
+
+
+def test_pipeline_leaves_one_folder(spark, sf, tmp_path, monkeypatch):
+    """Each stage's rows go when the next one's are written; the result reads the last."""
+    import corpus_pipeline
+    from talus.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    n = corpus_pipeline.run(spark, sf).count()
+    (own,) = tmp_path.glob("pipeline-*")
+    assert n > 0 and [x.name for x in own.iterdir()] == ["mixing"]
