@@ -34,3 +34,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows or fewer, else as it is. It should be written already."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -15,7 +15,7 @@ none in each gives a common value, which 65 fingerprints at most can share.
 in about 15 % of the bits, too many for a bound that the pigeonhole principle could hold, so fingerprints have ``WORDS`` x 64
 bits in ``PARTS`` partitions: texts that differ in fewer bits than there are partitions always meet, others with a
 chance that the number of partitions makes high (measured in README). What meets and differs in few of the first
-``CHECKED`` words' bits is verified on the shingle sets themselves. Members of a crowded key meet the one of
+``CHECKED`` words' bits (in crowded keys, of all bits) is verified on the shingle sets themselves. Members of a crowded key meet the one of
 them that is in most crowded keys, and after that all members that these links have not brought into one component, so that no
 key drops a pair.
 
@@ -41,8 +41,10 @@ from talus.llm.text import let_go, pieces
 from talus.plans.components import components
 
 BITS, TAU, CROWD, SEED, SHINGLE = 64, 2, 128, 42, 3
-#: Of ``keep_one``: percent of shingles in common, words in a shingle, 64-bit words of a fingerprint and of its checked part, most bits that differ there (the mean at that similarity and 1.5 standard deviations).
-ALIKE, STAGE_SHINGLE, WORDS, PARTS, CHECKED, CHECK_BITS = 80, 5, 12, 42, 4, 47
+#: Of ``keep_one``: percent of shingles in common, words in a shingle, 64-bit words of a fingerprint and of its checked part, most bits that differ there and, in crowded keys, in all words (the mean at that similarity and 1.8 standard deviations); together they find 9 in 10 pairs that are just alike enough.
+ALIKE, STAGE_SHINGLE, WORDS, PARTS, CHECKED, CHECK_BITS, ALL_BITS = 80, 5, 14, 50, 4, 49, 155
+FEW = 1 << 16  # keys or ids that are broadcast: 2 MB
+PAIR = 0.02  # cost of a candidate, which is compared where it is met, against that of a probe row, which is shuffled
 _LANES = np.uint64(0x0001000100010001)
 
 
@@ -135,7 +137,8 @@ def bit_statistics(fps: DataFrame, names: list[str]) -> np.ndarray:
         return pa.table({"bit": table.column("bit")[:1], "n": pa.array([n.tobytes()], pa.binary())})
 
     out = np.zeros((bits, bits))
-    for r in fps.select(*names).mapInArrow(sums, "bit int, n binary").groupBy("bit").applyInArrow(added, "bit int, n binary").collect():  # a row a bit
+    few = fps.select(*names).coalesce(max(1, fps.sparkSession.sparkContext.defaultParallelism))  # a matrix a task
+    for r in few.mapInArrow(sums, "bit int, n binary").groupBy("bit").applyInArrow(added, "bit int, n binary").collect():  # a row a bit
         out[r.bit] = np.frombuffer(r.n)
     return out
 
@@ -175,7 +178,7 @@ def allot(widths: list[int], same: list[float], differ: list[list[float]], n: in
         for x in ratios:
             for k in range(t, 0, -1):
                 sym[k] += sym[k - 1] * x
-        return n * sum(comb(widths[i], k) for k in range(t + 1)) + same[i] * sum(sym)
+        return n * sum(comb(widths[i], k) for k in range(t + 1)) + PAIR * same[i] * sum(sym)
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i in range(len(widths)):
@@ -194,15 +197,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _key(names: list[str], part: int, bits: list[int], flip: tuple[int, ...] = ()) -> Column:
-    """The fingerprint's bits of a partition, some of them flipped, as a 64-bit hash; what hashes bring together is verified like all else."""
-    masked = []
-    for w, name in enumerate(names):
-        mask, turn = (_signed(sum(1 << (b % BITS) for b in x if b // BITS == w)) for x in (bits, flip))
-        if mask:
-            x = F.col(name).bitwiseAND(F.lit(mask))
-            masked.append(x.bitwiseXOR(F.lit(turn)) if turn else x)
-    return F.xxhash64(F.lit(part), *masked)
+def _masks(words: int, bits: tuple[int, ...] | list[int]) -> np.ndarray:
+    out = np.zeros(words, np.uint64)
+    for b in bits:
+        out[b // BITS] |= np.uint64(1) << np.uint64(b % BITS)
+    return out
+
+
+def _hashed(fp: np.ndarray, part: int) -> np.ndarray:
+    """A 64-bit hash of rows of words, by partition; what hashes bring together is verified like all else."""
+    h = np.full(len(fp), part + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for w in range(fp.shape[1]):
+        h = (h ^ fp[:, w]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _keyed(fps: DataFrame, names: list[str], carry: list[str], probes: list[tuple[int, list[int], tuple[int, ...]]]) -> DataFrame:
+    """probe (place in ``probes``), key and columns ``carry``, a row for each fingerprint and probe (partition, its bits, those flipped)."""
+    masks = [(part, _masks(len(names), bits), _masks(len(names), flip)) for part, bits, flip in probes]
+    used = [(part, np.flatnonzero(m), m, f) for part, m, f in masks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(i, 1 << 12)
+                fp = np.stack([part.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names], axis=1)
+                keys = np.concatenate([_hashed((fp[:, w] & m[w]) ^ f[w], k) for k, w, m, f in used])
+                place, row = np.repeat(np.arange(len(used), dtype=np.int32), len(fp)), np.tile(np.arange(len(fp)), len(used))
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), *(part.column(c).take(pa.array(row)) for c in carry)], names=["probe", "key", *carry])
+
+    return fps.select(*dict.fromkeys([*names, *carry])).mapInArrow(run, ", ".join(["probe int, key long", *(f"{c} long" for c in carry)]))
 
 
 def _plan(fps: DataFrame, names: list[str], tau: int, choices: list[int], most: int) -> tuple[list[list[int]], list[int]]:
@@ -210,9 +236,9 @@ def _plan(fps: DataFrame, names: list[str], tau: int, choices: list[int], most:
     n = fps.count()
     both = bit_statistics(fps, names)
     grouped = {m: group_bits(both, n, m) for m in choices}
-    values = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("part"), _key(names, i, g).alias("key")) for m, groups in grouped.items() for i, g in enumerate(groups)]
-    rows = fps.select(F.explode(F.array(*values)).alias("v")).select("v.*").groupBy("m", "part", "key").count()
-    same = {(r.m, r.part): r.pairs for r in rows.groupBy("m", "part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+    places = [(m, i) for m, groups in grouped.items() for i in range(len(groups))]
+    rows = _keyed(fps, names, [], [(k, grouped[m][i], ()) for k, (m, i) in enumerate(places)]).groupBy("probe", "key").count()
+    same = {places[r.probe]: r.pairs for r in rows.groupBy("probe").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
     p = np.diag(both) / max(n, 1)
     plans = [
         (*allot([len(g) for g in groups], [same.get((m, i), 0.0) for i in range(m)], [[2 * p[b] * (1 - p[b]) for b in g] for g in groups], n, tau, most), groups)
@@ -222,15 +248,12 @@ def _plan(fps: DataFrame, names: list[str], tau: int, choices: list[int], most:
     return groups, thresholds
 
 
-def _probes(names: list[str], groups: list[list[int]], thresholds: list[int]) -> Column:
-    """All (key, own) of a fingerprint: own keys, and those of its neighbours within the partition's threshold."""
-    made = [
-        F.struct(_key(names, i, g, flip).alias("key"), F.lit(not flip).alias("own"))
-        for i, (g, t) in enumerate(zip(groups, thresholds, strict=True))
-        for k in range(t + 1)
-        for flip in combinations(g, k)
-    ]
-    return F.explode(F.array(*made)).alias("p")
+def _probed(fps: DataFrame, names: list[str], carry: list[str], groups: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """key, own and columns ``carry``: own keys of all fingerprints, and those of their neighbours within the partitions' thresholds."""
+    probes = [(i, g, flip) for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)) for k in range(t + 1) for flip in combinations(g, k)]
+    own = [k for k, (_, _, flip) in enumerate(probes) if not flip]
+    rows = _keyed(fps, names, carry, probes)
+    return rows.select("key", (F.lit(True) if len(own) == len(probes) else F.col("probe").isin(own)).alias("own"), *carry)
 
 
 def links(fps: DataFrame, crowd: int = CROWD, choices: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -239,8 +262,8 @@ def links(fps: DataFrame, crowd: int = CROWD, choices: tuple[int, ...] = (1, 2,
     With more than TAU + 1 partitions thresholds would have to be below -1 on the whole, so ``choices`` end there.
     """
     groups, thresholds = _plan(fps, ["fp"], TAU, list(choices), TAU)
-    rows = fps.select("fp", _probes(["fp"], groups, thresholds)).select("fp", "p.*")
-    crowded = common.cut(rows.groupBy("key").count().where(F.col("count") > crowd).select("key"))
+    rows = _probed(fps, ["fp"], ["fp"], groups, thresholds)
+    crowded = common.small(common.cut(rows.groupBy("key").count().where(F.col("count") > crowd).select("key")), FEW)
     few = rows.join(crowded, "key", "left_anti")
     one, two = few.where("own").select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= TAU
@@ -285,44 +308,52 @@ def _alike(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, crowd: int = CROWD, words: int = WORDS, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes (id and fingerprint words) that meet and pass the check, a above b; and crowded rows (key, id, checked words)."""
+    """Pairs (a, b) of nodes (id and fingerprint words) that meet and pass the check, a above b; and crowded rows (key, id, fingerprint words)."""
     names = _columns(words)
     groups, thresholds = _plan(nodes, names, parts - 1, [parts], 1)
     checked = names[:CHECKED]
-    rows = nodes.select("id", *checked, _probes(names, groups, thresholds)).select("p.*", "id", *checked)
-    crowded = common.cut(rows.groupBy("key").count().where(F.col("count") > crowd).select("key"))
+    rows = _probed(nodes, names, ["id", *checked], groups, thresholds)
+    crowded = common.small(common.cut(rows.groupBy("key").count().where(F.col("count") > crowd).select("key")), FEW)
     few = rows.join(crowded, "key", "left_anti")
-    many = common.cut(rows.join(crowded, "key", "left_semi").drop("own").distinct())
-    once = (F.col("x.id") > F.col("y.id")) | (~F.col("y.own") & (F.col("x.id") != F.col("y.id")))  # own keys of both meet both ways
-    pairs = _near(few.where("own"), few, checked, once)
+    many = common.cut(rows.join(crowded, "key", "left_semi").select("key", "id").distinct().join(nodes.select("id", *names), "id"))
+    if max(thresholds) > 0:
+        once = (F.col("x.id") > F.col("y.id")) | (~F.col("y.own") & (F.col("x.id") != F.col("y.id")))  # own keys of both meet both ways
+        pairs = _near(few.where("own"), few, checked, CHECK_BITS, once)
+    else:  # own keys alone: both sides are one shuffle
+        few = few.drop("own")
+        pairs = _near(few, few, checked, CHECK_BITS, F.col("x.id") > F.col("y.id"))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     held = many.groupBy("id").agg(F.count("*").alias("held"))
-    pivot = many.select("key", "id", *checked).join(held, "id").groupBy("key").agg(F.max_by(F.struct("id", *checked), F.struct(F.col("held"), -F.col("id"))).alias("p")).select("key", "p.*")
-    hubs = _near(many, pivot, checked, F.col("x.id") != F.col("y.id")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pivot = many.join(held, "id").groupBy("key").agg(F.max_by(F.struct("id", *names), F.struct(F.col("held"), -F.col("id"))).alias("p")).select("key", "p.*")
+    hubs = _near(many, pivot, names, ALL_BITS, F.col("x.id") != F.col("y.id")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return common.cut(pairs.union(hubs).distinct()), many
 
 
-def _near(one: DataFrame, two: DataFrame, checked: list[str], rule: Column) -> DataFrame:
-    """(a, b): ids of rows x of one and y of two that share a key, keep the rule and differ in CHECK_BITS of the checked words at most."""
+def _near(one: DataFrame, two: DataFrame, checked: list[str], most: int, rule: Column) -> DataFrame:
+    """(a, b): ids of rows x of one and y of two that share a key, keep the rule and differ in ``most`` bits of the checked words or fewer."""
     bits = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in checked[1:]), F.bit_count(F.col(f"x.{checked[0]}").bitwiseXOR(F.col(f"y.{checked[0]}"))))
-    met = one.alias("x").join(two.alias("y"), (F.col("x.key") == F.col("y.key")) & rule & (bits <= CHECK_BITS))
+    met = one.alias("x").join(two.alias("y"), (F.col("x.key") == F.col("y.key")) & rule & (bits <= most))
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def similar(nodes: DataFrame, texts: DataFrame, shingle: int = STAGE_SHINGLE, alike: int = ALIKE, crowd: int = CROWD) -> DataFrame:
-    """(node, root) of the nodes (id and fingerprint words) that have links; texts: id and raw, the text of each node."""
+def similar(nodes: DataFrame, texts, shingle: int = STAGE_SHINGLE, alike: int = ALIKE, crowd: int = CROWD) -> DataFrame:
+    """(node, root) of the nodes (id and fingerprint words) that have links; texts gives the texts (id, raw) of nodes whose ids (id) it gets."""
     pairs, many = candidates(nodes, crowd)
     involved = pairs.select("a").union(pairs.select("b")).union(many.select("id")).distinct().withColumnRenamed("a", "id")
-    sets = common.cut(_sets(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]), shingle))
+    sets = common.cut(_sets(texts(common.cut(involved)), shingle))
     edges = common.cut(_alike(pairs, sets, alike))
     roots = common.cut(components(edges))
     if many.limit(1).count():  # what hubs have not linked in crowded keys
         own = many.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         own = common.cut(own.join(mixed, "key", "left_semi"))
-        rest = _near(own, own, _columns(WORDS)[:CHECKED], F.col("x.root") > F.col("y.root"))
+        rest = _near(own, own, _columns(WORDS), ALL_BITS, F.col("x.root") > F.col("y.root"))
         more = _alike(common.cut(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), sets, alike)
-        roots = components(edges.union(more))
+        of = own.select("id", "root").distinct()
+        more = more.join(of.toDF("a", "p"), "a").join(of.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+        higher = components(more)  # of components
+        moved = roots.join(higher.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = moved.union(higher.join(roots, "node", "left_anti"))  # nodes that had no link before
     return roots
 
 
@@ -335,12 +366,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: in
     rows = common.cut(fingerprinted(own, ["k", "m"], shingle=STAGE_SHINGLE, words=WORDS, distinct=True))
     first = rows.groupBy(*names).agg(F.min(F.struct("k", "m")).alias("first"))
     nodes = common.cut(first.withColumn("id", F.monotonically_increasing_id()))
-    one = nodes.select("id", F.col("first.k").alias("k_"), F.col("first.m").alias("m_"))
-    # rows of one key and hash are equal rows, so either text is the node's
-    texts = own.join(one, F.col("k").eqNullSafe(F.col("k_")) & (F.col("m") == F.col("m_"))).select("id", F.col("text").cast("binary").alias("raw"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        one = nodes.join(common.small(ids, FEW), "id", "left_semi").select("id", F.col("first.k").alias("k_"), F.col("first.m").alias("m_"))
+        # rows of one key and hash are equal rows, so either text is the node's
+        found = own.join(common.small(common.cut(one), FEW), F.col("k").eqNullSafe(F.col("k_")) & (F.col("m") == F.col("m_")))
+        return found.select("id", F.col("text").cast("binary").alias("raw")).dropDuplicates(["id"])
+
     roots = similar(nodes.select("id", *names), texts, crowd=crowd)
     named = nodes.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     chosen = common.cut(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias(k), F.col("first.m").alias(m)))
+    chosen = common.small(chosen, FEW)
     kept = marked.join(chosen, marked[key].eqNullSafe(chosen[k]) & (marked[mark] == chosen[m]), "left_semi").drop(mark)
     twice = rows.groupBy("k", "m").count().where("count > 1").join(chosen, F.col("k").eqNullSafe(F.col(k)) & (F.col("m") == F.col(m)), "left_semi")
     return kept.dropDuplicates() if twice.limit(1).count() else kept
