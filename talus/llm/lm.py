@@ -29,13 +29,13 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.llm import common, gru
 from talus.llm.text import let_go, pieces
 
-CHUNK, ROUNDS, SMOOTH = 2_000_000, 3, 0.1
+CHUNK, ROUNDS, SMOOTH, SPREAD, GROUP = 2_000_000, 3, 0.1, 2, 4096
 END = b""  # no word is empty
 _PUNCTUATION = b".,;:!?\"')]}&$#*%|"
 
@@ -177,12 +177,21 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     docs.select(key, "held_out", F.col(text).cast("binary").alias(raw)).mapInArrow(_numbered(raw, key), schema).write.option("compression", "zstd").parquet(f"{where}/chunks")
     texts = spark.read.parquet(f"{where}/chunks").where("tokens is not null").select("chunk", key, "held_out", "tokens")
     lists = spark.read.parquet(f"{where}/chunks").where("h is not null").select("chunk", "first", "h", "n", "tail", "own")
+    chunks = lists.select("chunk").distinct().count()
+    n = max(1, SPREAD * chunks)  # chunks meet their words in as many tasks as there are chunks, or more
     place = (F.col("chunk") * (1 << 24) + F.col("first") + F.col("at")).alias("place")
-    words = lists.select("chunk", "first", F.posexplode(F.arrays_zip("h", "n", "tail")).alias("at", "x")).select(place, "x.h", "x.n", "x.tail")
-    found = words.repartition("h").groupBy("h").agg(F.sum(F.col("n").cast("long")).alias("c"), F.min("tail").alias("tail"), F.collect_list("place").alias("places"))
-    found.write.option("compression", "zstd").parquet(f"{where}/counts")  # a word's places: one a chunk at most
+    words = lists.select("chunk", "first", F.posexplode(F.arrays_zip("h", "n", "tail")).alias("at", "x")).select("chunk", place, "x.h", "x.n", "x.tail")
+    # a word's places, one a chunk at most, stand in rows of about GROUP chunks; each row knows the whole word
+    parts = -(-chunks // GROUP) or 1
+    dealt = words.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)))
+    found = dealt.repartition("h").groupBy("h", "part").agg(F.sum(F.col("n").cast("long")).alias("c"), F.min("tail").alias("tail"), F.collect_list("place").alias("places"))
+    found = found.withColumns({"times": F.size("places"), "main": F.lit(True)})
+    if parts > 1:
+        word = Window.partitionBy("h")
+        found = found.withColumns({"c": F.sum("c").over(word), "times": F.sum("times").over(word), "main": F.col("part") == F.min("part").over(word)})
+    found.write.option("compression", "zstd").parquet(f"{where}/counts")
     counts = spark.read.parquet(f"{where}/counts")
-    known = counts.where("c > 0")
+    known = counts.where("c > 0 and main")
     head = known.select("h", "c", "tail").orderBy(F.desc("c"), "h").limit(gru.HEAD).collect()
     mass = {r.tail: (r.c, r.v) for r in known.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     total, kinds = sum(c for c, _ in mass.values()), sum(v for _, v in mass.values())
@@ -192,7 +201,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     shape = gru.Shape(np.array([r.h for r in head], np.int64), np.array([r.c for r in head], float), rest)
     flat = gru.pack(shape.start())
     named = common.cut(lists.select("chunk", "first", "h", "tail", "own").mapInArrow(_model_ids(shape), "chunk long, first long, ids binary, own binary"))
-    lessons = common.cut(texts.where("not coalesce(held_out, false)").select("chunk", "tokens").groupBy("chunk").cogroup(named.select("chunk", "first", "ids").groupBy("chunk")).applyInArrow(_lessons, "ids binary, ends binary"))
+    of = lambda rows: rows.repartition(n, "chunk")
+    taught = of(texts.where("not coalesce(held_out, false)").select("chunk", "tokens")).groupBy("chunk")
+    lessons = common.cut(taught.cogroup(of(named.select("chunk", "first", "ids")).groupBy("chunk")).applyInArrow(_lessons, "ids binary, ends binary"))
     for turn in range(ROUNDS if total else 0):
         got = lessons.mapInArrow(_trainer(shape, flat, turn), "weights array<float>, size long")
         each = got.select("size", F.posexplode("weights").alias("at", "w")).groupBy("at").agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("w"))
@@ -200,12 +211,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         flat = np.array([new[i] for i in range(len(flat))], np.float32) if new else flat
     tail_log = np.log(rest + SMOOTH * more + SMOOTH)
     base_log = float(np.log10(total + SMOOTH * (kinds + 1)))
-    back = counts.where(F.size("places") > 1).select("c", F.explode("places").alias("place"))
+    back = counts.where("times > 1").select("c", F.explode("places").alias("place"))
     back = back.select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("w"), "c")
-    shared = back.repartition("chunk").groupBy("chunk").agg(F.collect_list(F.struct("w", "c")).alias("found"))  # a chunk's own words at most
-    meet = named.join(shared, "chunk", "left").select("chunk", "first", "ids", "own", F.when(F.col("first") == 0, F.col("found")).alias("found"))
+    shared = of(back).groupBy("chunk").agg(F.collect_list(F.struct("w", "c")).alias("found"))  # a chunk's own words at most
+    meet = of(named).join(shared, "chunk", "left").select("chunk", "first", "ids", "own", F.when(F.col("first") == 0, F.col("found")).alias("found"))
     out = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = texts.groupBy("chunk").cogroup(meet.groupBy("chunk")).applyInArrow(_scoring(shape, flat, tail_log, base_log, key), out)
+    scored = of(texts).groupBy("chunk").cogroup(meet.groupBy("chunk")).applyInArrow(_scoring(shape, flat, tail_log, base_log, key), out)
     return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 
