@@ -2,32 +2,68 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.operators.grid import around, cross, extent, idx, ring
 from talus.plans.checkpoints import cut
 from talus.plans.components import components as linked
+from talus.plans.components import joined
 from talus.plans.order import ordered
 
 
+TILE = 256  # cells of a tile's side
+
+
+def _in_tile(diagonal: bool, same: bool):
+    """Cells of a tile (r, c, idx, same) with local, the first cell of their component inside the tile."""
+    steps = ((0, 1), (1, 0), (1, 1), (1, -1)) if diagonal else ((0, 1), (1, 0))
+
+    def run(_, table):
+        r, c, idx = (table.column(x).to_numpy() for x in ("r", "c", "idx"))
+        kind = np.unique(table.column("same").to_numpy(zero_copy_only=False), return_inverse=True)[1] if same else np.zeros(len(r), np.int64)
+        r0, c0 = r - r.min() + 1, c - c.min() + 1
+        at = np.full((r0.max() + 2, c0.max() + 2), -1)
+        at[r0, c0] = np.arange(len(r))
+        pairs = []
+        for dr, dc in steps:
+            other = at[r0 + dr, c0 + dc]
+            tied = np.flatnonzero(other >= 0)
+            tied = tied[kind[tied] == kind[other[tied]]]
+            pairs.append((idx[tied], idx[other[tied]]))
+        nodes, roots = joined(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        local = idx.copy()
+        if len(nodes):
+            place = np.minimum(np.searchsorted(nodes, idx), len(nodes) - 1)
+            local = np.where(nodes[place] == idx, roots[place], idx)
+        kept = ["r", "c", "idx", *(["same"] if same else [])]
+        return table.select(kept).append_column("local", pa.array(local))
+
+    return run
+
+
 def components(df: DataFrame, mask: str = "mask", connectivity: int = 8, same: str | None = None) -> DataFrame:
     """(r, c, idx, root) of the set cells; root is the component's first cell in column-major order.
 
-    same: a column that linked cells must share (components within equal labels).
+    same: a column that linked cells must share (components within equal labels). Tiles label their own cells; only
+    components that touch along the rims of tiles are linked over the whole grid.
     """
     m, _ = extent(df)
-    cells = df.select("r", "c", F.coalesce(F.col(mask), F.lit(False)).alias("_on"), *([F.col(same).alias("_same")] if same else []))
-    cells = cells.withColumn("idx", idx(m))
-    names = ["_on", *(["_same"] if same else [])]
-    around_cells = around(cells, *names) if connectivity == 8 else cross(cells, *names)
-    steps = {"s": 1, "e": m, "se": m + 1, "ne": m - 1} if connectivity == 8 else {"s": 1, "e": m}
-    tie = lambda s: F.col(f"_on_{s}") & (F.col(f"_same_{s}") == F.col("_same") if same else F.lit(True))
-    pairs = F.filter(F.array(*(F.when(tie(s), F.col("idx") + k) for s, k in steps.items())), lambda x: x.isNotNull())
-    edges = around_cells.where("_on").select(F.col("idx").alias("a"), F.explode(pairs).alias("b"))
-    roots = linked(edges)
-    on = cells.where("_on").select("r", "c", "idx")
-    return on.join(roots.withColumnRenamed("node", "idx"), "idx", "left").select("r", "c", "idx", F.coalesce("root", "idx").alias("root"))
+    on = df.where(F.coalesce(F.col(mask), F.lit(False))).select("r", "c", idx(m).alias("idx"), *([F.col(same).cast("string").alias("same")] if same else []))
+    tiles = on.withColumns({"_tr": F.floor(F.col("r") / TILE), "_tc": F.floor(F.col("c") / TILE)})
+    own = "r int, c int, idx long, " + ("same string, " if same else "")
+    cells = cut(tiles.groupBy("_tr", "_tc").applyInArrow(_in_tile(connectivity == 8, bool(same)), f"{own}local long"))
+    edge = lambda x: (F.col(x) % TILE == 0) | (F.col(x) % TILE == TILE - 1)
+    rim = cells.where(edge("r") | edge("c"))
+    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if connectivity == 8 else [])]
+    ahead = F.explode(F.array(*(F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in steps))).alias("to")
+    keys = ["r", "c", *(["same"] if same else [])]
+    near = rim.select(F.col("local").alias("a"), ahead, *(["same"] if same else [])).select("a", "to.r", "to.c", *(["same"] if same else []))
+    met = near.join(rim.select(*keys, F.col("local").alias("b")), keys).where("a <> b").select("a", "b")
+    roots = linked(met)
+    return cells.join(roots.withColumnRenamed("node", "local"), "local", "left").select("r", "c", "idx", F.coalesce("root", "local").alias("root"))
 
 
 def numbered(labelled: DataFrame, by: str = "root", name: str = "label") -> DataFrame:

@@ -472,3 +472,29 @@ def test_growth_step_by_step():
         assert (code, cycles, sorted(map(tuple, was)), sorted(map(tuple, final))) == (want[0], want[1], sorted(want[2]), sorted(want[3])), seed
         ends[code] = ends.get(code, 0) + 1
     assert len(ends) >= 4, ends
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_components_over_tiles(spark, connectivity, monkeypatch):
+    monkeypatch.setattr(labels, "TILE", 3)
+    rng = np.random.default_rng(15)
+    for m, n, share in ((1, 1, 1.0), (11, 10, 0.5), (8, 13, 0.75), (5, 5, 0.0)):
+        on, kind = rng.random((m, n)) < share, rng.integers(0, 2, (m, n))
+        df = spark.createDataFrame([(r, c, bool(on[r, c]), int(kind[r, c])) for r in range(m) for c in range(n)], "r int, c int, mask boolean, kind int")
+        for same in (None, "kind"):
+            want = {}
+            for c in range(n):
+                for r in range(m):
+                    if on[r, c] and (r, c) not in want:
+                        todo = [(r, c)]
+                        while todo:
+                            p = todo.pop()
+                            if p in want:
+                                continue
+                            want[p] = c * m + r + 1
+                            for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0), *(((1, 1), (1, -1), (-1, 1), (-1, -1)) if connectivity == 8 else ())):
+                                q = (p[0] + a, p[1] + b)
+                                if 0 <= q[0] < m and 0 <= q[1] < n and on[q] and (same is None or kind[q] == kind[p]):
+                                    todo.append(q)
+            got = {(x.r, x.c): x.root for x in labels.components(df, connectivity=connectivity, same=same).collect()}
+            assert got == want
