@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from talus.llm import common
 
-SHARDS, VNODES, SUBS = 24, 64, 8
+SHARDS, VNODES, SUBS = 24, 64, 16
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
