@@ -100,9 +100,10 @@ def _heads(shape: Shape, ids: np.ndarray, classes: np.ndarray):
 
 
 def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x (overwritten) less a shift, its exponentials and their sums a row; the shift is one for all rows where that loses none of them."""
+    """x (overwritten) less a shift, its exponentials and their sums a row; there is no shift, or one for all rows, where that loses none of them."""
     ones = np.ones(x.shape[1], x.dtype)
-    x -= x.max(initial=-np.inf)
+    if (most := x.max(initial=-np.inf)) > 60:
+        x -= most
     e = np.exp(x)
     total = e @ ones
     if total.min(initial=1) < 1e-20:
@@ -112,6 +113,12 @@ def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, e, total
 
 
+def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    x = states @ weights
+    x += bias
+    return x
+
+
 def _log_share(x: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Logs of the softmax of x (overwritten) at the right columns."""
     x, _, total = _exp(x)
@@ -121,9 +128,9 @@ def _log_share(x: np.ndarray, right: np.ndarray) -> np.ndarray:
 def log_probabilities(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural logs: of the class, and for head words of the word within it."""
     classes = shape.classes(ids)
-    out = _log_share(states @ p["cls"] + p["cls_b"], classes).astype(np.float64)
+    out = _log_share(_logits(states, p["cls"], p["cls_b"]), classes).astype(np.float64)
     for rows, a, b in _heads(shape, ids, classes):
-        out[rows] += _log_share(states[rows] @ p["out"][a:b].T + p["out_b"][a:b], ids[rows] - a)
+        out[rows] += _log_share(_logits(states[rows], p["out"][a:b].T, p["out_b"][a:b]), ids[rows] - a)
     return out
 
 
@@ -182,16 +189,15 @@ def gradients(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, target
         states.append(h)
     s, ids = np.concatenate(states), targets.ravel()
     classes, n = shape.classes(ids), len(ids)
-    loss, d = _loss(s @ p["cls"] + p["cls_b"], classes)
-    d /= n
+    loss, d = _loss(_logits(s, p["cls"], p["cls_b"]), classes, n)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    grads["cls"], grads["cls_b"] = s.T @ d, d.sum(0)
+    grads["cls"], grads["cls_b"] = s.T @ d, np.ones(len(d), d.dtype) @ d
     ds = d @ p["cls"].T
     for rows, a, b in _heads(shape, ids, classes):
-        more, d = _loss(s[rows] @ p["out"][a:b].T + p["out_b"][a:b], ids[rows] - a)
+        own = s[rows]
+        more, d = _loss(_logits(own, p["out"][a:b].T, p["out_b"][a:b]), ids[rows] - a, n)
         loss += more
-        d /= n
-        grads["out"][a:b], grads["out_b"][a:b] = d.T @ s[rows], d.sum(0)
+        grads["out"][a:b], grads["out_b"][a:b] = d.T @ own, np.ones(len(d), d.dtype) @ d
         ds[rows] += d @ p["out"][a:b]
     ds = ds.reshape(steps, streams, HIDDEN)
     dh = np.zeros_like(h)
@@ -213,13 +219,13 @@ def gradients(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, target
     return loss / n, grads, h
 
 
-def _loss(x: np.ndarray, right: np.ndarray):
-    """Summed loss of logits (overwritten) against the right columns, and its gradient by the logits."""
+def _loss(x: np.ndarray, right: np.ndarray, n: int):
+    """Summed loss of logits (overwritten) against the right columns, and the gradient of its n-th part by the logits."""
     at = np.arange(len(x))
     x, d, total = _exp(x)
     loss = (np.log(total) - x[at, right]).sum()
-    d /= total[:, None]
-    d[at, right] -= 1
+    d *= (1 / (n * total))[:, None]
+    d[at, right] -= 1 / n
     return loss, d
 
 
