@@ -183,8 +183,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     words = lists.select("chunk", "first", F.posexplode(F.arrays_zip("h", "n", "tail")).alias("at", "x")).select("chunk", place, "x.h", "x.n", "x.tail")
     # a word's places, one a chunk at most, stand in rows of about GROUP chunks; each row knows the whole word
     parts = -(-chunks // GROUP) or 1
-    dealt = words.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)))
-    found = dealt.repartition("h").groupBy("h", "part").agg(F.sum(F.col("n").cast("long")).alias("c"), F.min("tail").alias("tail"), F.collect_list("place").alias("places"))
+    keys = ["h", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part")] if parts > 1 else ["h"]
+    found = words.repartition("h").groupBy(*keys).agg(F.sum(F.col("n").cast("long")).alias("c"), F.min("tail").alias("tail"), F.collect_list("place").alias("places"))
     found = found.withColumns({"times": F.size("places"), "main": F.lit(True)})
     if parts > 1:
         word = Window.partitionBy("h")
