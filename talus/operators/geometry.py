@@ -36,6 +36,35 @@ def trace(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
         path.append(at)
 
 
+def traced(mask: np.ndarray) -> np.ndarray:
+    """The path of ``trace`` over the set cells of a mask, as an array of (row, column)."""
+    on = np.pad(mask, 1)
+    m, n = mask.shape
+    if not mask.any():
+        return np.zeros((0, 2), int)
+    code = np.zeros(on.shape, np.uint8)
+    for k, (a, b) in enumerate(_CLOCK):
+        code[1:-1, 1:-1] |= on[1 + a : 1 + a + m, 1 + b : 1 + b + n].astype(np.uint8) << k
+    around, move = code.tobytes(), [a * (n + 2) + b for a, b in _CLOCK]
+    c = int(mask.any(axis=0).argmax())
+    start = (int(mask[:, c].argmax()) + 1) * (n + 2) + c + 1
+    path, at, came, leave = [start], start, 0, None
+    while (step := _TURN[came][around[at]]) >= 0:
+        if at == start:
+            if leave == step:
+                path = path[:-1] if len(path) > 1 and path[-1] == start else path
+                break
+            leave = step if leave is None else leave
+        at += move[step]
+        came = (step + 4) % 8
+        path.append(at)
+    return np.stack(np.divmod(np.array(path), n + 2), axis=1) - 1
+
+
+#: The next side with a cell, clockwise from where the walk came, by the sides that have one (a bit each); -1: none.
+_TURN = [[next((d for k in range(1, 9) if bits >> (d := (came + k) % 8) & 1), -1) for bits in range(256)] for came in range(8)]
+
+
 def boundaries(labelled: DataFrame, by: str = "root") -> DataFrame:
     """(by, seq, r, c): the outer boundary of every component of (by, r, c), closed by its first cell; holes have none.
 
@@ -142,21 +171,29 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return halves[0] + halves[1]
 
 
-def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (counter-clockwise point numbers) by insertion from left to right; circles that lie behind are tested no more."""
+def delaunay(points: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
+    """Triangles (counter-clockwise point numbers) by insertion along the longer side; circles that lie behind are tested no more.
+
+    every: points whose middle and span set the outer triangle, if other than ``points``.
+    """
     n = len(points)
     if n < 3:
         return np.zeros((0, 3), int)
-    centre, span = points.mean(0), max(1e-9, float(np.ptp(points, axis=0).max()))
+    every = points if every is None else every
+    centre, span = every.mean(0), max(1e-9, float(np.ptp(every, axis=0).max()))
     p = np.vstack((points, centre + 1e4 * span * np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]])))
+    if np.ptp(points[:, 1]) > np.ptp(points[:, 0]):  # a quarter turn
+        p = np.column_stack((p[:, 1], -p[:, 0]))
     tri = np.array([[n, n + 1, n + 2]])
     circle, behind = _circles(p, tri), []
-    for i in np.argsort(points[:, 0], kind="stable").tolist():
+    for i in np.argsort(p[:n, 0], kind="stable").tolist():
         x, y = p[i]
         past = (x > circle[:, 0]) & ((x - circle[:, 0]) ** 2 >= circle[:, 2])
         if past.any():
             behind.append(tri[past])
             tri, circle = tri[~past], circle[~past]
+            if len(behind) > 4096:
+                behind = [np.vstack(behind)]
         hit = (circle[:, 0] - x) ** 2 + (circle[:, 1] - y) ** 2 < circle[:, 2] * (1 - 1e-12)
         edges = {(int(t[k]), int(t[(k + 1) % 3])) for t in tri[hit] for k in range(3)}
         rim = [(a, b) for a, b in edges if (b, a) not in edges and (p[a][0] - x) * (p[b][1] - y) - (p[a][1] - y) * (p[b][0] - x) > 0]
@@ -187,10 +224,7 @@ def alpha_boundary(points: np.ndarray, shrink: float = 0.5) -> list[int]:
     around = [numbers[tuple(p)] for p in hull([tuple(p) for p in points.tolist()])]
     if not len(tri):
         return around
-    a, b, c = (points[tri[:, k]] for k in range(3))
-    sides = [np.hypot(*(u - v).T) for u, v in ((a, b), (b, c), (c, a))]
-    twice = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (c[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1]))
-    radius = np.where(twice > 0, sides[0] * sides[1] * sides[2] / np.maximum(2 * twice, 1e-300), np.inf)
+    radius = _radii(points, tri)
     shared: dict[tuple[int, int], list[int]] = {}
     for k, t in enumerate(tri.tolist()):
         for i in range(3):
@@ -225,24 +259,152 @@ def alpha_boundary(points: np.ndarray, shrink: float = 0.5) -> list[int]:
             u, v = int(tri[k][i]), int(tri[k][(i + 1) % 3])
             if sum(keep[j] for j in shared[tuple(sorted((u, v)))]) == 1:
                 nxt.setdefault(u, []).append(v)
-    best, size = around, -1.0
+    return _longest(points, nxt) or around
+
+
+def _radii(points: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Circumradius of each triangle, infinite if its points are in line."""
+    a, b, c = (points[tri[:, k]] for k in range(3))
+    sides = [np.hypot(*(u - v).T) for u, v in ((a, b), (b, c), (c, a))]
+    twice = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (c[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1]))
+    return np.where(twice > 0, sides[0] * sides[1] * sides[2] / np.maximum(2 * twice, 1e-300), np.inf)
+
+
+def _longest(points: np.ndarray, nxt: dict[int, list[int]]) -> list[int]:
+    """The loop of the largest area; nxt: where edges lead from each point. Where several leave, the one next to the outside is taken, so that holes stay apart."""
+    best, size, starts, i = [], -1.0, sorted(nxt), 0
     while nxt:
-        loop = [min(nxt)]
-        while nxt.get(loop[-1]):
-            to = nxt[loop[-1]].pop()
-            if not nxt[loop[-1]]:
+        while starts[i] not in nxt:
+            i += 1
+        loop = [starts[i]]
+        while ways := nxt.get(loop[-1]):
+            if len(ways) > 1:
+                x, y = points[loop[-1]]
+                back = math.atan2(points[loop[-2]][1] - y, points[loop[-2]][0] - x) if len(loop) > 1 else math.pi
+                ways.sort(key=lambda q: (math.atan2(points[q][1] - y, points[q][0] - x) - back) % (2 * math.pi), reverse=True)  # noqa: B023
+            to = ways.pop()
+            if not ways:
                 del nxt[loop[-1]]
             if to == loop[0]:
                 break
             loop.append(to)
-        else:
-            nxt.pop(loop[-1], None)
         area = measures(points[loop, 0], points[loop, 1])[0]
         if area > size:
             best, size = loop, area
     return best
 
 
+def parts(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
+    """Number of each set cell's component (from 0; -1: not set), and how many there are; by stretches of rows."""
+    m, n = mask.shape
+    w, k = n + 2, int(diagonal)
+    flat = np.pad(mask, 1).ravel().astype(np.int8)
+    turn = np.flatnonzero(np.diff(flat)) + 1
+    begin, end = turn[::2], turn[1::2]  # the end is the first cell behind
+    lo, hi = np.searchsorted(end, begin + w - k, side="right"), np.searchsorted(begin, end + w - 1 + k, side="right")
+    many = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(begin)), many)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    parent = list(range(len(begin)))
+    for u, v in zip(a.tolist(), b.tolist(), strict=True):
+        while parent[u] != u:
+            parent[u] = u = parent[parent[u]]
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        if u < v:
+            parent[v] = u
+        else:
+            parent[u] = v
+    for u, v in enumerate(parent):
+        parent[u] = parent[v]  # v <= u is settled
+    roots, label = np.unique(np.array(parent, int), return_inverse=True)
+    out = np.full(len(flat), -1)
+    out[flat > 0] = np.repeat(label, end - begin)
+    return out.reshape(m + 2, w)[1:-1, 1:-1], len(roots)
+
+
+def cell_boundary(mask: np.ndarray, dx: float, dy: float, r0: int = 0, c0: int = 0, shrink: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of ``alpha_boundary`` of all set cells' middles.
+
+    A square of four set cells is made of triangles, whatever lies around it, so that only cells with another kind of
+    square beside them are triangulated; squares that share sides are one piece from the start.
+    """
+    m, n = mask.shape
+    c, r = np.nonzero(mask.T)
+    every = np.stack(((c + c0 + 1) * dx, (r + r0 + 1) * dy), axis=1).astype(float)
+    square = np.zeros((m + 1, n + 1), bool)  # at (i, j) the one between rows i - 1 and i, columns j - 1 and j
+    square[1:-1, 1:-1] = mask[:-1, :-1] & mask[1:, :-1] & mask[:-1, 1:] & mask[1:, 1:]
+    inner = square[:-1, :-1] & square[1:, :-1] & square[:-1, 1:] & square[1:, 1:]
+    on_rim = ~inner[r, c]
+    r, c, points = r[on_rim], c[on_rim], every[on_rim]
+    number = np.full((m, n), -1)
+    number[r, c] = np.arange(len(r))
+    tri = delaunay(points, every)
+    if len(tri):
+        tri = tri[~square[r[tri].sum(1) // 3 + 1, c[tri].sum(1) // 3 + 1]]
+    piece, pieces = parts(square, False)
+    around = lambda: points[[{tuple(p): i for i, p in reversed(list(enumerate(points.tolist())))}[q] for q in hull([tuple(p) for p in points.tolist()])]].T
+    if not len(tri) and not pieces:
+        return tuple(around())
+    radius, k = _radii(points, tri), len(tri)
+    # the other side of each edge: a triangle, a piece of squares (after the triangles) or nothing
+    u, v = tri.ravel(), np.roll(tri, -1, axis=1).ravel()
+    code, back = u * len(points) + v, v * len(points) + u
+    order = np.argsort(code)
+    at = np.minimum(np.searchsorted(code, back, sorter=order), max(0, 3 * k - 1))
+    other = np.where(code[order[at]] == back, order[at] // 3, -1) if k else np.zeros(0, int)
+    dr, dc = r[v] - r[u], c[v] - c[u]
+    beside = np.abs(dr) + np.abs(dc) == 1
+    facing = np.where(beside, piece[np.where(beside, r[u] + ((dc < 0) | (dr > 0)), 0), np.where(beside, c[u] + ((dr > 0) | (dc > 0)), 0)], -1)
+    other = np.where((other < 0) & (facing >= 0), facing + k, other)
+    covered = np.zeros(len(points), bool)
+    covered[(square[:-1, :-1] | square[1:, :-1] | square[:-1, 1:] | square[1:, 1:])[r, c]] = True
+    seen, missing, left = covered.tolist(), int((~covered).sum()), pieces
+    parent, on = list(range(k + pieces)), [False] * k + [True] * pieces
+    finite, unit = np.isfinite(radius), float(np.hypot(dx, dy)) / 2
+    least = unit if left == 1 and not missing else None
+    near = other.reshape(-1, 3)
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i in [] if least is not None else np.argsort(radius, kind="stable").tolist():
+        if not finite[i]:
+            break
+        on[i], left = True, left + 1
+        for p in tri[i].tolist():
+            if not seen[p]:
+                seen[p], missing = True, missing - 1
+        for j in near[i].tolist():
+            if j >= 0 and on[j] and (a := find(j)) != (b := find(i)):
+                parent[a], left = b, left - 1
+        if left == 1 and not missing:
+            least = radius[i]
+            break
+    if least is None:
+        return tuple(around())
+    most = float(np.max(np.append(radius[finite], [unit] * bool(pieces))))
+    keep = radius <= least + (1 - shrink) * (most - least) + 1e-12
+    stays = np.append(np.concatenate((keep, np.ones(pieces, bool))), False)  # last: nothing
+    mine = np.repeat(keep, 3)
+    rim = mine & ~stays[other]
+    nxt: dict[int, list[int]] = {}
+    for a, b in zip(u[rim].tolist(), v[rim].tolist(), strict=True):
+        nxt.setdefault(a, []).append(b)
+    i, j = np.nonzero(square)
+    taken = np.sort(back[mine & (other >= k)])
+    for a, b, bare in (((0, 0), (0, 1), (-1, 0)), ((0, 1), (1, 1), (0, 1)), ((1, 1), (1, 0), (1, 0)), ((1, 0), (0, 0), (0, -1))):
+        open_ = ~square[i + bare[0], j + bare[1]]
+        p, q = (number[i[open_] - 1 + x[0], j[open_] - 1 + x[1]] for x in (a, b))
+        free = ~np.isin(p * len(points) + q, taken)
+        for a_, b_ in zip(p[free].tolist(), q[free].tolist(), strict=True):
+            nxt.setdefault(a_, []).append(b_)
+    loop = _longest(points, nxt)
+    return tuple(points[loop].T) if loop else tuple(around())
+
+
 def wedges(path: np.ndarray, x: np.ndarray, y: np.ndarray, depth: np.ndarray, slide: float, centre: tuple[float, float], phi: float) -> dict[str, np.ndarray]:
     """Wedge prisms between consecutive boundary cells: direction, gradient, inner and outer width, reach, volume."""
     n = len(path)

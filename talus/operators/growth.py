@@ -8,14 +8,17 @@ the errors of earlier tries. Window cells are bounded by the box and ``max_offse
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.operators.geometry import alpha_boundary, direction, measures, trace, wedges
+from talus.operators.geometry import cell_boundary, direction, measures, parts, traced, wedges
 from talus.plans.checkpoints import cut
 
 CONVERGED, NO_CELLS, NO_GAIN, MAX_CYCLES, NO_GEOMETRY, NO_WEIGHT, WINDOW_CAP = 0, 2, 3, 4, 5, 6, 7
@@ -38,20 +41,10 @@ class Settings:
 
 def single(mask: np.ndarray) -> bool:
     """Exactly one 8-connected component."""
-    left = set(zip(*np.nonzero(mask), strict=True))
-    if not left:
-        return False
-    todo = [left.pop()]
-    while todo:
-        r, c = todo.pop()
-        for p in [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
-            if p in left:
-                left.remove(p)
-                todo.append(p)
-    return not left
-
-
-def spur(cells: list[tuple[int, int]]) -> int:
+    return parts(mask)[1] == 1
+
+
+def spur(cells: np.ndarray | list[tuple[int, int]]) -> int:
     """0 to 6: one column, one row, and row and column steps all 1 or all -1, in the order of cells."""
     if len(cells) <= 1:
         return 6 * len(cells)
@@ -60,22 +53,26 @@ def spur(cells: list[tuple[int, int]]) -> int:
     return sum(int(x.all()) for x in (c == c[0], r == r[0], dr == 1, dr == -1, dc == 1, dc == -1))
 
 
-def ordered(mask: np.ndarray) -> list[tuple[int, int]]:
-    """Set cells in column-major order."""
+def ordered(mask: np.ndarray) -> np.ndarray:
+    """Set cells (row, column) in column-major order."""
     c, r = np.nonzero(mask.T)
-    return list(zip(r.tolist(), c.tolist(), strict=True))
+    return np.stack((r, c), axis=1)
 
 
 def _lowest_around(values: np.ndarray) -> np.ndarray:
     p = np.pad(np.where(np.isnan(values), np.inf, values), 1, constant_values=np.inf)
     m, n = values.shape
-    return np.min([p[i : i + m, j : j + n] for i in range(3) for j in range(3) if (i, j) != (1, 1)], axis=0)
+    out = p[:m, :n].copy()
+    for i, j in ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2)):
+        np.minimum(out, p[i : i + m, j : j + n], out=out)
+    return out
 
 
 def _spread(mask: np.ndarray) -> np.ndarray:
     p = np.pad(mask, 1)
     m, n = mask.shape
-    return np.any([p[i : i + m, j : j + n] for i in range(3) for j in range(3)], axis=0)
+    across = p[:, :n] | p[:, 1 : n + 1] | p[:, 2:]
+    return across[:m] | across[1 : m + 1] | across[2:]
 
 
 def eroded(mask: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -87,19 +84,26 @@ def eroded(mask: np.ndarray, z: np.ndarray) -> np.ndarray:
 def downhill(mask: np.ndarray, z: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
     """Cells of the surrounding ring below all cluster cells around them, and whether the ring meets the window's edge."""
     around = _spread(mask) & ~mask
-    if around[[0, -1]].any() or around[:, [0, -1]].any():
+    if any(met(around)):
         return [], True
-    return ordered(around & (z < _lowest_around(np.where(mask, z, np.nan)))), False
+    return list(map(tuple, ordered(around & (z < _lowest_around(np.where(mask, z, np.nan)))).tolist())), False
+
+
+def met(ring: np.ndarray) -> tuple[bool, bool, bool, bool]:
+    """Whether the ring has cells on the top, bottom, left and right edge of the window."""
+    return tuple(bool(x.any()) for x in (ring[0], ring[-1], ring[:, 0], ring[:, -1]))
 
 
-def greedy(ex: float, ey: float, first: float, weight: float, qx: list[float], qy: list[float], w: list[float]) -> list[int]:
+def greedy(ex: float, ey: float, first: float, weight: float, qx: np.ndarray, qy: np.ndarray, w: np.ndarray) -> list[int]:
     """Candidates to add, in order: each time the one nearest to the error, up to the least error by weight (that of none taken is ``first``)."""
-    left, taken, percent = list(range(len(qx))), [], [first / weight * 100]
-    while left:
-        k = min(left, key=lambda i: (np.hypot(ex - qx[i], ey - qy[i]), i))
+    qx, qy, left, taken, percent = np.array(qx, float), np.array(qy, float), np.arange(len(qx)), [], [first / weight * 100]
+    while len(left):
+        away = np.hypot(ex - qx[left], ey - qy[left])
+        at = 0 if np.isnan(away[0]) else int(np.nanargmin(away))
+        k = int(left[at])
         ex, ey, weight = ex + qx[k], ey + qy[k], weight + w[k]
         percent.append(np.hypot(ex, ey) / weight * 100)
-        left.remove(k)
+        left = np.delete(left, at)
         taken.append(k)
     return taken[: int(np.argmin(percent))]
 
@@ -108,22 +112,19 @@ class _Cluster:
     def __init__(self, g: dict[str, np.ndarray], r0: int, c0: int, phi: float, coh: float, s: Settings):
         self.g, self.r0, self.c0, self.phi, self.coh, self.s = g, r0, c0, phi, coh, s
 
-    def at(self, name: str, cells: list[tuple[int, int]]) -> np.ndarray:
-        r, c = np.array(cells, int).reshape(-1, 2).T
+    def at(self, name: str, cells: np.ndarray | list[tuple[int, int]]) -> np.ndarray:
+        r, c = np.asarray(cells, int).reshape(-1, 2).T
         return self.g[name][..., r, c]
 
-    def geometry(self, mask: np.ndarray, cells: list[tuple[int, int]], gamma: float) -> None:
+    def geometry(self, mask: np.ndarray, cells: np.ndarray | list[tuple[int, int]], gamma: float) -> None:
         """Wedges around the cluster, their forces, and the force of roots along its boundary."""
         s = self.s
-        path = trace(set(cells))
-        at = np.array(path)
+        path = at = traced(mask)
         x, y = (at[:, 1] + self.c0 + 1) * s.dx, (at[:, 0] + self.r0 + 1) * s.dy
-        every = np.array(cells)
-        points = np.stack(((every[:, 1] + self.c0 + 1) * s.dx, (every[:, 0] + self.r0 + 1) * s.dy), axis=1).astype(float)
-        ring = alpha_boundary(points)
-        if len(ring) < 3 or len(path) < 3:
+        ring = cell_boundary(mask, s.dx, s.dy, self.r0, self.c0)
+        if len(ring[0]) < 3 or len(path) < 3:
             raise ValueError("no outline")
-        _, cx, cy, _ = measures(points[ring, 0], points[ring, 1])
+        _, cx, cy, _ = measures(*ring)
         slide = direction(self.at("qy0", cells).sum(), self.at("qx0", cells).sum())
         depth = self.at("depth", path)
         k = wedges(at, x, y, depth, slide, (cx, cy), self.phi)
@@ -145,30 +146,33 @@ class _Cluster:
         self.roots = float(np.nansum(s.s_roots * holds * (depth + np.roll(depth, -1)) / 2 * k["width"] * np.abs(np.cos(np.radians(wall)))))
         self.rx, self.ry = self.roots * np.cos(np.radians(slide)), self.roots * np.sin(np.radians(slide))
 
-    def closure(self, cells: list[tuple[int, int]]) -> None:
+    def closure(self, cells: np.ndarray | list[tuple[int, int]]) -> None:
         """Force sums by rotation."""
-        self.ex = (np.nansum(self.at("qx", cells), axis=1) if cells else 0.0) + self.wx + np.zeros(len(self.g["qx"]))
-        self.ey = (np.nansum(self.at("qy", cells), axis=1) if cells else 0.0) + self.wy + np.zeros(len(self.g["qx"]))
+        self.ex = (np.nansum(self.at("qx", cells), axis=1) if len(cells) else 0.0) + self.wx + np.zeros(len(self.g["qx"]))
+        self.ey = (np.nansum(self.at("qy", cells), axis=1) if len(cells) else 0.0) + self.wy + np.zeros(len(self.g["qx"]))
         self.err = np.hypot(self.ex, self.ey)
 
     def hold(self) -> None:
         """Roots taken off the errors; the signs differ by axis."""
         self.ex, self.ey, self.err = self.ex - self.rx, self.ey + self.ry, self.err - self.roots
 
-    def gamma(self, cells: list[tuple[int, int]]) -> float:
+    def gamma(self, cells: np.ndarray | list[tuple[int, int]]) -> float:
         volume = float(np.nansum(self.at("depth", cells))) * self.s.dx * self.s.dy
         return float(np.nansum(self.at("w", cells))) / volume if volume > 0 else 0.0
 
 
-def grow(full: dict[str, np.ndarray], initial: np.ndarray, reach: int, phi: float, coh: float, s: Settings, origin: tuple[int, int] = (0, 0), whole: tuple[bool, bool, bool, bool] = (True,) * 4) -> tuple[int, int, list, list]:
+def grow(full: dict[str, np.ndarray], initial: np.ndarray, reach: int, phi: float, coh: float, s: Settings, origin: tuple[int, int] = (0, 0), whole: tuple[bool, bool, bool, bool] = (True,) * 4) -> tuple[int, int, np.ndarray, np.ndarray]:
     """(code, cycles, eroded cells, final cells) in places of ``full``; code -1: skipped, -2: a wider window is needed.
 
     full: arrays of the box and ``reach`` cells around it (z, w, depth, pga, sigma_w, q0, qx0, qy0, nogrow, and qx, qy by
     rotation first); whole: sides (top, bottom, left, right) where it ends at the grid's edge.
+
+    Each try begins with the same cells and adds the same ones until it ends, so that the number of cells names a state:
+    its geometry is computed once, and what is stored of a cycle is that number.
     """
     rows, columns = np.nonzero(initial)
     box = rows.min(), rows.max(), columns.min(), columns.max()
-    errors, store = np.full(s.cycles + 2, np.nan), [None] * (s.cycles + 2)
+    errors, store, longest, known = np.full(s.cycles + 2, np.nan), [None] * (s.cycles + 2), np.zeros((0, 2), int), {}
     offset = 0
     while True:
         offset += s.step
@@ -178,63 +182,65 @@ def grow(full: dict[str, np.ndarray], initial: np.ndarray, reach: int, phi: floa
         c0, c1 = max(0, box[2] - offset), min(initial.shape[1] - 1, box[3] + offset)
         g = {k: v[..., r0 : r1 + 1, c0 : c1 + 1] for k, v in full.items()}
         k = _Cluster(g, origin[0] + r0, origin[1] + c0, phi, coh, s)
-        back = lambda cells, r0=r0, c0=c0: [(r + r0, c + c0) for r, c in cells]
+        corner = np.array((r0, c0))
         first = initial[r0 : r1 + 1, c0 : c1 + 1]
         cells = ordered(first)
         if spur(cells) > 0 or not single(first):
-            return _SKIPPED, 0, back(cells), back(cells)
+            return _SKIPPED, 0, cells + corner, cells + corner
         mask = first
         for _ in range(s.erosions):
             mask = eroded(mask, g["z"])
         cells = ordered(mask)
         if len(cells) <= s.least or spur(cells) > 0 or not single(mask):
             mask, cells = first, ordered(first)
-        was = back(cells)
+        was = cells + corner
         try:
-            k.geometry(mask, cells, k.gamma(cells))
+            _known(known, k, mask, cells)
         except (ValueError, ZeroDivisionError, IndexError):
-            return _SKIPPED, 0, back(ordered(first)), back(ordered(first))
+            return _SKIPPED, 0, ordered(first) + corner, ordered(first) + corner
         weight = float(np.nansum(k.at("w", cells)))
         k.closure(cells)
         emptied = bool(k.roots > k.err.max())
         if emptied:
-            cells = []
+            cells = cells[:0]
         else:
             k.hold()
-        store[0] = cells
+        store[0] = len(cells)
         if weight + k.wedge_weight <= 0:
-            return _SKIPPED, 0, back(ordered(first)), back(ordered(first))
+            return _SKIPPED, 0, ordered(first) + corner, ordered(first) + corner
         errors[0] = k.err.min() / (weight + k.wedge_weight) * 100
+        before = errors.copy()
         allowed, code, done, cycle, slot, expand = s.tolerance / 100 * weight, CONVERGED, False, 0, 0, False
+        best = lambda: max(longest, cells + corner, key=len)[: store[int(np.nanargmin(errors))]] - corner  # noqa: B023, E731
         while s.grow and k.err.min() > allowed and not emptied and not done:
             found, expand = downhill(mask, g["z"])
             if expand:
                 break
-            found = [p for p in found if not g["nogrow"][p] and not np.isnan(g["q0"][p])]
-            if not found:
+            found = np.array(found, int).reshape(-1, 2)
+            found = found[~g["nogrow"][*found.T] & ~np.isnan(g["q0"][*found.T])]
+            if not len(found):
                 done, code = True, NO_CELLS
-                best = store[int(np.nanargmin(errors))]
-                cells = list(best) if best is not None else cells
+                cells = best()
             else:
                 slot, cycle = slot + 1, cycle + 1
                 rot = int(np.argmin(k.err))
-                taken = greedy(k.ex[rot], k.ey[rot], k.err.min(), weight + k.wedge_weight, *(k.at(n, found)[rot].tolist() for n in ("qx", "qy")), k.at("w", found).tolist())
+                taken = greedy(k.ex[rot], k.ey[rot], k.err.min(), weight + k.wedge_weight, *(k.at(n, found)[rot] for n in ("qx", "qy")), k.at("w", found))
                 if not taken or errors[slot - 1] < errors[slot]:
                     done, code = True, NO_GAIN
-                cells = cells + [found[i] for i in taken]
+                cells = np.concatenate((cells, found[taken]))
             mask = np.zeros(first.shape, bool)
-            mask[tuple(np.array(cells, int).reshape(-1, 2).T)] = True
+            mask[*cells.T] = True
             weight = float(np.nansum(k.at("w", cells)))
             if code != NO_CELLS:
                 try:
-                    k.geometry(mask, ordered(mask), k.gamma(cells))
+                    _known(known, k, mask, cells)
                 except (ValueError, ZeroDivisionError, IndexError):
                     code = NO_GEOMETRY
                     break
             k.closure(cells)
             k.hold()
             if slot <= s.cycles:
-                store[slot] = cells
+                store[slot] = len(cells)
                 if weight + k.wedge_weight <= 0:
                     done, code = True, NO_WEIGHT
                 else:
@@ -242,15 +248,23 @@ def grow(full: dict[str, np.ndarray], initial: np.ndarray, reach: int, phi: floa
             allowed = s.tolerance / 100 * weight
             if cycle >= s.cycles:
                 done, code = True, MAX_CYCLES
-                best = store[int(np.nanargmin(errors))]
-                cells = list(best) if best is not None else cells
+                cells = best()
         if expand and offset < s.max_offset:
-            continue_from = offset + s.step
-            n0, m0 = max(0, box[0] - continue_from), max(0, box[2] - continue_from)
-            shift = (r0 - n0, c0 - m0)
-            store = [None if x is None else [(r + shift[0], c + shift[1]) for r, c in x] for x in store]
-            continue
-        return (WINDOW_CAP if expand else code), cycle, was, back(cells)
+            longest = max(longest, cells + corner, key=len)
+            # at an edge of the grid a wider window ends the same way, unless this try has left other errors to compare with
+            edges = (r0 == 0, r1 == initial.shape[0] - 1, c0 == 0, c1 == initial.shape[1] - 1)
+            fixed = any(a and b and c for a, b, c in zip(met(_spread(mask) & ~mask), edges, whole, strict=True))
+            if not fixed or not np.array_equal(before, errors, equal_nan=True):
+                continue
+        return (WINDOW_CAP if expand else code), cycle, was, cells + corner
+
+
+def _known(known: dict, k: _Cluster, mask: np.ndarray, cells: np.ndarray) -> None:
+    """The geometry of a cluster's state, computed when it is first met."""
+    if (n := len(cells)) not in known:
+        k.geometry(mask, ordered(mask), k.gamma(cells))
+        known[n] = k.wx, k.wy, k.wedge_weight, k.roots, k.rx, k.ry
+    k.wx, k.wy, k.wedge_weight, k.roots, k.rx, k.ry = known[n]
 
 
 _FIELDS = ("z", "w", "depth", "pga", "sigma_w", "q0", "qx0", "qy0", "nogrow")
@@ -270,10 +284,11 @@ def windows(boxes: DataFrame, rasters: DataFrame, reach: int, tile: int = 64) ->
     return wanted.join(tiled, ["run", "_tr", "_tc"]).where(near).drop("_tr", "_tc")
 
 
-def grow_clusters(clusters: DataFrame, rasters: DataFrame, settings: Settings | None = None, tile: int = 64, reach: int = 40) -> DataFrame:
+def grow_clusters(clusters: DataFrame, rasters: DataFrame, settings: Settings | None = None, tile: int = 64, reach: int = 40, made: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(run, cluster, r, c, kind, code, cycles): kind initial, eroded or final; painted where code >= 0.
 
     clusters: run, cluster, r, c, phi, coh. rasters: run, r, c, the fields above, and qx_rot, qy_rot (an array each, by rotation).
+    made: adds those of these columns that rasters lack; clusters that are sent again get it on the tiles of their windows only.
     """
     s = settings or Settings()
     m, n = rasters.agg(F.max("r") + 1, F.max("c") + 1).first()
@@ -281,50 +296,76 @@ def grow_clusters(clusters: DataFrame, rasters: DataFrame, settings: Settings |
         return clusters.select("run", "cluster", "r", "c", F.lit("initial").alias("kind"), F.lit(0).alias("code"), F.lit(0).alias("cycles")).limit(0)
     strength = F.first("phi").alias("phi"), F.first("coh").alias("coh")
     boxes = cut(bounds(clusters, *strength))
-    fields = rasters.select("run", "r", "c", *_FIELDS, "qx_rot", "qy_rot")
-    done, todo = [], boxes
+    own = clusters.select("run", "cluster", "r", "c", F.lit(True).alias("_in"))
+    done, todo, near = [], boxes, rasters
     while True:
-        own = clusters.select("run", "cluster", "r", "c").withColumn("_in", F.lit(True))
-        rows = windows(todo, fields, reach, tile).join(own, ["run", "cluster", "r", "c"], "left")
+        fields = made(near).select("run", "r", "c", *_FIELDS, "qx_rot", "qy_rot")
+        rows = windows(todo, fields, reach, tile).unionByName(own, allowMissingColumns=True)
         got = cut(rows.groupBy("run", "cluster").applyInArrow(_group(s, reach, m, n), "run int, cluster long, r int, c int, kind string, code int, cycles int"))
         done.append(got.where(F.col("code") != _WIDER))
         again = got.where(F.col("code") == _WIDER).select("run", "cluster").distinct()
         if not again.limit(1).count():
             break
         todo, reach = cut(todo.join(again, ["run", "cluster"], "left_semi")), reach * 2
+        own = own.join(again, ["run", "cluster"], "left_semi")
+        near = windows(todo.select("run", "b0", "b1", "b2", "b3"), rasters, reach, tile).select(*rasters.columns).dropDuplicates(["run", "r", "c"])
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)
     return out
 
 
+#: Rows handed back at once.
+_ROWS = 1 << 16
+
+
 def _group(s: Settings, reach: int, m: int, n: int):
-    def run(key, t):
-        r, c = t.column("r").to_numpy(), t.column("c").to_numpy()
-        r0, c0 = int(r.min()), int(c.min())
-        at, shape = (r - r0, c - c0), (int(r.max()) - r0 + 1, int(c.max()) - c0 + 1)
-        full = {}
-        for k in _FIELDS:
-            full[k] = np.full(shape, np.nan)
-            full[k][at] = t.column(k).to_numpy(zero_copy_only=False).astype(float)
-        full["nogrow"] = np.nan_to_num(full["nogrow"]) > 0
-        for k in ("qx", "qy"):
-            each = t.column(f"{k}_rot").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(r), -1)
-            full[k] = np.full((each.shape[1], *shape), np.nan)
-            full[k][:, at[0], at[1]] = each.T
+    def run(key: tuple[Any, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full: dict[str, np.ndarray] = {}
+        ends, own = [m, -1, n, -1], []
+        for t in batches:
+            mine = t.column("_in").is_valid()
+            if mine.true_count:
+                at = t.filter(mine)
+                own.append((at.column("r").to_numpy(), at.column("c").to_numpy()))
+                t = t.filter(pc.invert(mine))
+            if not t.num_rows:
+                continue
+            if not full:
+                box = [t.column(k)[0].as_py() for k in ("b0", "b1", "b2", "b3")]
+                phi, coh = t.column("phi")[0].as_py(), t.column("coh")[0].as_py()
+                r0, c0 = max(0, box[0] - reach), max(0, box[2] - reach)
+                shape = min(m - 1, box[1] + reach) - r0 + 1, min(n - 1, box[3] + reach) - c0 + 1
+                turns = len(t.column("qx_rot")[0])
+                full = {k: np.full(shape, np.nan) for k in _FIELDS if k != "nogrow"} | {k: np.full((turns, *shape), np.nan) for k in ("qx", "qy")}
+                full["nogrow"] = np.zeros(shape, bool)
+            r, c = t.column("r").to_numpy(), t.column("c").to_numpy()
+            ends = [min(ends[0], r.min()), max(ends[1], r.max()), min(ends[2], c.min()), max(ends[3], c.max())]
+            at = r - r0, c - c0
+            for k in _FIELDS:
+                v = t.column(k).to_numpy(zero_copy_only=False).astype(float)
+                full[k][at] = np.nan_to_num(v) > 0 if k == "nogrow" else v
+            for k in ("qx", "qy"):
+                full[k][:, at[0], at[1]] = t.column(f"{k}_rot").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(r), -1).T
+        if not full:
+            return
         initial = np.zeros(shape, bool)
-        initial[at] = t.column("_in").is_valid().to_numpy()
-        box = [t.column(k)[0].as_py() for k in ("b0", "b1", "b2", "b3")]
+        for r, c in own:
+            initial[r - r0, c - c0] = True
+        have = slice(ends[0] - r0, ends[1] - r0 + 1), slice(ends[2] - c0, ends[3] - c0 + 1)
+        full, initial, r0, c0 = {k: v[..., *have] for k, v in full.items()}, initial[have], ends[0], ends[2]
         whole = (box[0] - reach <= 0, box[1] + reach >= m - 1, box[2] - reach <= 0, box[3] + reach >= n - 1)
-        code, cycles, was, final = grow(full, initial, reach, t.column("phi")[0].as_py(), t.column("coh")[0].as_py(), s, (r0, c0), whole)
-        sets = {"initial": ordered(initial)} if code == _WIDER else {"initial": ordered(initial), "eroded": was, "final": final}
-        rows = [(r0 + i, c0 + j, kind) for kind, cells in sets.items() for i, j in cells] or [(None, None, "initial")]
-        k = len(rows)
-        return pa.table(
-            {
-                "run": pa.array([key[0].as_py()] * k, pa.int32()), "cluster": pa.array([key[1].as_py()] * k, pa.int64()), "r": pa.array([x[0] for x in rows], pa.int32()), "c": pa.array([x[1] for x in rows], pa.int32()),
-                "kind": pa.array([x[2] for x in rows]), "code": pa.array([code] * k, pa.int32()), "cycles": pa.array([cycles] * k, pa.int32()),
-            }
-        )
+        code, cycles, was, final = grow(full, initial, reach, phi, coh, s, (r0, c0), whole)
+        full.clear()
+        for kind, cells in {"initial": ordered(initial), **({} if code == _WIDER else {"eroded": was, "final": final})}.items():
+            for i in range(0, len(cells), _ROWS):
+                part = cells[i : i + _ROWS]
+                k = len(part)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "run": pa.array([key[0].as_py()] * k, pa.int32()), "cluster": pa.array([key[1].as_py()] * k, pa.int64()), "r": pa.array(part[:, 0] + r0, pa.int32()), "c": pa.array(part[:, 1] + c0, pa.int32()),
+                        "kind": pa.array([kind] * k), "code": pa.array([code] * k, pa.int32()), "cycles": pa.array([cycles] * k, pa.int32()),
+                    }
+                )
 
     return run

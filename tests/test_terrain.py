@@ -498,3 +498,42 @@ def test_components_over_tiles(spark, connectivity, monkeypatch):
                                     todo.append(q)
             got = {(x.r, x.c): x.root for x in labels.components(df, connectivity=connectivity, same=same).collect()}
             assert got == want
+
+
+def _ragged(seed):
+    """The largest component of a random mask with holes and arms."""
+    rng = np.random.default_rng(seed)
+    mask = rng.random(rng.integers(2, 30, 2)) < rng.choice([0.4, 0.6, 0.8, 0.9, 0.97])
+    label, k = geometry.parts(mask)
+    return label == np.bincount(label[mask]).argmax() if k else None
+
+
+def test_outline_of_cells_as_of_all_points():
+    """Cells inside full squares left out of the triangulation; boundary walk and components on arrays."""
+    for mask in filter(lambda x: x is not None, map(_ragged, range(150))):
+        cells = [tuple(map(int, p)) for p in np.argwhere(mask)]
+        assert list(map(tuple, geometry.traced(mask))) == geometry.trace(set(cells)) and growth.single(mask)
+        c, r = np.nonzero(mask.T)
+        points = np.stack(((c + 6) * 10.0, (r + 4) * 10.0), axis=1)
+        loop = geometry.alpha_boundary(points)
+        x, y = geometry.cell_boundary(mask, 10.0, 10.0, 3, 5)
+        assert len(x) == len(loop)
+        if len(loop) > 2:
+            assert geometry.measures(x, y) == pytest.approx(geometry.measures(points[loop, 0], points[loop, 1]))
+    assert not growth.single(np.eye(3, dtype=bool)[:, [0, 2, 1]] & ~np.eye(3, dtype=bool)[::-1]) and not growth.single(np.zeros((2, 2), bool))
+
+
+def test_growth_of_a_large_cluster(monkeypatch):
+    """A cluster at the grid's edge, whose windows all end alike, is tried once, and only its rim is triangulated."""
+    rng = np.random.default_rng(5)
+    m, n = 90, 40
+    g = {k: rng.uniform(1, 3, (m, n)) for k in ("w", "depth", "sigma_w")} | {"pga": np.zeros((m, n)), "nogrow": np.zeros((m, n), bool), "z": rng.random((m, n)) * 20 + 4.0 * np.arange(m)[:, None]}
+    g["q0"] = g["qx0"] = g["qy0"] = np.full((m, n), 500.0)
+    g["qx"] = g["qy"] = np.full((8, m, n), 500.0)
+    initial = np.zeros((m, n), bool)
+    initial[20:70, 1:39] = True
+    seen, sizes, known, triangles = [], [], growth._Cluster.geometry, geometry.delaunay
+    monkeypatch.setattr(growth._Cluster, "geometry", lambda self, mask, *a: seen.append(int(mask.sum())) or known(self, mask, *a))
+    monkeypatch.setattr(geometry, "delaunay", lambda points, *a: sizes.append(len(points)) or triangles(points, *a))
+    code, cycles, _, final = growth.grow(g, initial, 100, 34.0, 4.0, growth.Settings())
+    assert (code, cycles, len(seen)) == (growth.WINDOW_CAP, 0, 1) and len(final) == seen[0] > 1500 and sizes[0] < 500
