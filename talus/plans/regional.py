@@ -87,13 +87,13 @@ def regional(df: DataFrame, runs: DataFrame, nogrow: DataFrame | None = None, se
     s = settings or growth.Settings()
     cells, forces, clusters, summary = begun(df, runs, nogrow, s, cleanup, **options).values()
     some = F.broadcast(clusters.select("run").distinct())
-    rasters = rotated(forces.join(some, "run", "left_semi"), s.dx, s.dy).withColumns({"q0": F.col("q"), "qx0": F.col("qx"), "qy0": F.col("qy")})
+    rasters = forces.join(some, "run", "left_semi").withColumns({"q0": F.col("q"), "qx0": F.col("qx"), "qy0": F.col("qy")})
     if nogrow is not None:
         rasters = rasters.join(nogrow.select("r", "c").distinct().withColumn("nogrow", F.lit(True)), ["r", "c"], "left").withColumn("nogrow", F.coalesce("nogrow", F.lit(False)))
     else:
         rasters = rasters.withColumn("nogrow", F.lit(False))
     # beyond data nothing has a force: null there, so that growth leaves those cells out
     rasters = rasters.withColumn("q0", F.when(F.col("z").isNotNull(), F.col("q0")))
-    grown = cut(growth.grow_clusters(clusters, rasters, s))
+    grown = growth.grow_clusters(clusters, rasters, s, made=lambda rows: rotated(rows, s.dx, s.dy))
     slides = grown.where("kind = 'final' and code >= 0 and r is not null").select("run", "r", "c").distinct()
     return {"sus": scenarios.susceptibility(slides, summary, cells.select("r", "c", "z")), "summary": summary, "clusters": grown}
