@@ -537,3 +537,20 @@ def test_growth_of_a_large_cluster(monkeypatch):
     monkeypatch.setattr(geometry, "delaunay", lambda points, *a: sizes.append(len(points)) or triangles(points, *a))
     code, cycles, _, final = growth.grow(g, initial, 100, 34.0, 4.0, growth.Settings())
     assert (code, cycles, len(seen)) == (growth.WINDOW_CAP, 0, 1) and len(final) == seen[0] > 1500 and sizes[0] < 500
+
+
+def test_soil_depth_in_stretches():
+    """Many steps in one go, on flat, steep and holed ground, as step by step; halo rows give up two a step."""
+    for seed, (m, n) in enumerate([(9, 7), (40, 64), (300, 70)]):
+        rng = np.random.default_rng(seed)
+        z = rng.random((m, n)) * (4, 12, 30)[seed] + np.arange(m)[:, None]
+        z[rng.random((m, n)) < 0.02] = np.nan
+        rim = np.ones(z.shape, bool)
+        rim[1:-1, 1:-1] = False
+        s, rock = z, z - 1
+        for _ in range(4):
+            s, rock = hillslope.step(s, rock, rim, 10.0)
+        for top, bottom in ((0, 0), (8, 0), (0, 8)) if m > 30 else ((0, 0),):
+            a, b = hillslope.advance(z, z - 1, rim, 10.0, 4, top, bottom)
+            core = slice(top, m - bottom)
+            assert np.allclose(a[core], s[core], equal_nan=True, rtol=1e-12, atol=1e-9) and np.allclose(b[core], rock[core], equal_nan=True, rtol=1e-12, atol=1e-9)
