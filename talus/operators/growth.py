@@ -4,11 +4,14 @@ A cluster depends on rasters only, so each (run, cluster) is one group. Its wind
 an equi-join on tiles that the cluster's box plus ``reach`` covers; a cluster that needs a wider
 window is sent again with twice the reach. Within a group windows widen by 20 cells from 20, keeping
 the errors of earlier tries. Window cells are bounded by the box and ``max_offset``.
+
+Tiles travel as one row each, with a value instead of an array where a field is the same all over. They hold what
+all strengths share: a group computes the forces of its strength and their rotations where it needs them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators.geometry import cell_boundary, direction, measures, parts, traced, wedges
+from talus.operators.physics import rotations
 from talus.plans.checkpoints import cut
 
 CONVERGED, NO_CELLS, NO_GAIN, MAX_CYCLES, NO_GEOMETRY, NO_WEIGHT, WINDOW_CAP = 0, 2, 3, 4, 5, 6, 7
@@ -108,9 +112,39 @@ def greedy(ex: float, ey: float, first: float, weight: float, qx: np.ndarray, qy
     return taken[: int(np.argmin(percent))]
 
 
+def forces(g: dict[str, np.ndarray], phi: float, coh: float, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, qx, qy) as ``physics.column_forces`` has them, of arrays z, w, pga, sigma_s, subdx, subdy: 0 without z, NaN in flat cells (qx, qy)."""
+    sx, sy, turn = g["subdx"], g["subdy"], np.radians
+    with np.errstate(invalid="ignore", divide="ignore"):
+        m = np.sqrt(sx * sx + sy * sy)
+        a, ax, ay = (turn(np.degrees(np.arctan(x))) for x in (m, sx, sy))
+        area = s.dx * s.dy * np.sqrt(1 - np.sin(ax) * np.sin(ax) * np.sin(ay) * np.sin(ay)) / (np.cos(ax) * np.cos(ay))
+        up, sin, cos, friction = g["sigma_s"] * area, np.sin(a), np.cos(a), np.tan(turn(phi))
+        under = cos + sin * friction
+        normal = (g["w"] + up * sin * friction - coh * area * sin) / np.where(under == 0, np.nan, under)
+        q = normal * sin - (coh * area + (normal - up) * friction) * cos + g["pga"] * g["w"]
+        m[m == 0] = np.nan
+        off = np.isnan(g["z"])
+        return tuple(np.where(off, 0.0, x) for x in (q, -sx / m * q, -sy / m * q))
+
+
+def turned(g: dict[str, np.ndarray], phi: float, coh: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """qx and qy of cells by rotation of their gradients (``physics.project_slope``), rotations first."""
+    length, turn, out = np.sqrt(g["subdx"] * g["subdx"] + g["subdy"] * g["subdy"]), np.degrees(np.arctan2(g["subdy"], g["subdx"])), []
+    for rot in rotations():
+        far, to = length * np.cos(np.radians(rot)), np.radians(turn + rot)
+        out.append(forces(g | {"subdx": far * np.cos(to), "subdy": far * np.sin(to)}, phi, coh, s)[1:])
+    return np.stack([x for x, _ in out]), np.stack([y for _, y in out])
+
+
+#: Cells whose rotated forces are computed at once.
+_CHUNK = 1 << 15
+
+
 class _Cluster:
-    def __init__(self, g: dict[str, np.ndarray], r0: int, c0: int, phi: float, coh: float, s: Settings):
+    def __init__(self, g: dict[str, np.ndarray], r0: int, c0: int, phi: float, coh: float, s: Settings, sums: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
         self.g, self.r0, self.c0, self.phi, self.coh, self.s = g, r0, c0, phi, coh, s
+        self.sums = {} if sums is None else sums
 
     def at(self, name: str, cells: np.ndarray | list[tuple[int, int]]) -> np.ndarray:
         r, c = np.asarray(cells, int).reshape(-1, 2).T
@@ -146,10 +180,24 @@ class _Cluster:
         self.roots = float(np.nansum(s.s_roots * holds * (depth + np.roll(depth, -1)) / 2 * k["width"] * np.abs(np.cos(np.radians(wall)))))
         self.rx, self.ry = self.roots * np.cos(np.radians(slide)), self.roots * np.sin(np.radians(slide))
 
+    def turns(self, cells: np.ndarray | list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """qx and qy by rotation: given, or computed for these cells."""
+        if "qx" in self.g:
+            return self.at("qx", cells), self.at("qy", cells)
+        return turned({k: self.at(k, cells) for k in _LOADS}, self.phi, self.coh, self.s)
+
     def closure(self, cells: np.ndarray | list[tuple[int, int]]) -> None:
-        """Force sums by rotation."""
-        self.ex = (np.nansum(self.at("qx", cells), axis=1) if len(cells) else 0.0) + self.wx + np.zeros(len(self.g["qx"]))
-        self.ey = (np.nansum(self.at("qy", cells), axis=1) if len(cells) else 0.0) + self.wy + np.zeros(len(self.g["qx"]))
+        """Force sums by rotation; those of a state go on from the state it grew from, whose cells come first."""
+        n = len(cells)
+        if n not in self.sums:
+            done = max((k for k in self.sums if k < n), default=0)
+            x, y = self.sums.get(done, (0.0, 0.0))
+            for i in range(done, max(n, 1), _CHUNK):
+                qx, qy = self.turns(cells[i : min(n, i + _CHUNK)])
+                x, y = x + np.nansum(qx, axis=1), y + np.nansum(qy, axis=1)
+            self.sums[n] = x, y
+        x, y = self.sums[n]
+        self.ex, self.ey = x + self.wx, y + self.wy
         self.err = np.hypot(self.ex, self.ey)
 
     def hold(self) -> None:
@@ -165,14 +213,15 @@ def grow(full: dict[str, np.ndarray], initial: np.ndarray, reach: int, phi: floa
     """(code, cycles, eroded cells, final cells) in places of ``full``; code -1: skipped, -2: a wider window is needed.
 
     full: arrays of the box and ``reach`` cells around it (z, w, depth, pga, sigma_w, q0, qx0, qy0, nogrow, and qx, qy by
-    rotation first); whole: sides (top, bottom, left, right) where it ends at the grid's edge.
+    rotation first, or sigma_s, subdx, subdy, of which they are computed); whole: sides (top, bottom, left, right) where it ends at the grid's edge.
 
     Each try begins with the same cells and adds the same ones until it ends, so that the number of cells names a state:
-    its geometry is computed once, and what is stored of a cycle is that number.
+    its geometry and force sums are computed once, and what is stored of a cycle is that number.
     """
     rows, columns = np.nonzero(initial)
     box = rows.min(), rows.max(), columns.min(), columns.max()
     errors, store, longest, known = np.full(s.cycles + 2, np.nan), [None] * (s.cycles + 2), np.zeros((0, 2), int), {}
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     offset = 0
     while True:
         offset += s.step
@@ -181,7 +230,7 @@ def grow(full: dict[str, np.ndarray], initial: np.ndarray, reach: int, phi: floa
         r0, r1 = max(0, box[0] - offset), min(initial.shape[0] - 1, box[1] + offset)
         c0, c1 = max(0, box[2] - offset), min(initial.shape[1] - 1, box[3] + offset)
         g = {k: v[..., r0 : r1 + 1, c0 : c1 + 1] for k, v in full.items()}
-        k = _Cluster(g, origin[0] + r0, origin[1] + c0, phi, coh, s)
+        k = _Cluster(g, origin[0] + r0, origin[1] + c0, phi, coh, s, sums)
         corner = np.array((r0, c0))
         first = initial[r0 : r1 + 1, c0 : c1 + 1]
         cells = ordered(first)
@@ -224,7 +273,7 @@ def grow(full: dict[str, np.ndarray], initial: np.ndarray, reach: int, phi: floa
             else:
                 slot, cycle = slot + 1, cycle + 1
                 rot = int(np.argmin(k.err))
-                taken = greedy(k.ex[rot], k.ey[rot], k.err.min(), weight + k.wedge_weight, *(k.at(n, found)[rot] for n in ("qx", "qy")), k.at("w", found))
+                taken = greedy(k.ex[rot], k.ey[rot], k.err.min(), weight + k.wedge_weight, *(q[rot] for q in k.turns(found)), k.at("w", found))
                 if not taken or errors[slot - 1] < errors[slot]:
                     done, code = True, NO_GAIN
                 cells = np.concatenate((cells, found[taken]))
@@ -267,7 +316,9 @@ def _known(known: dict, k: _Cluster, mask: np.ndarray, cells: np.ndarray) -> Non
     k.wx, k.wy, k.wedge_weight, k.roots, k.rx, k.ry = known[n]
 
 
-_FIELDS = ("z", "w", "depth", "pga", "sigma_w", "q0", "qx0", "qy0", "nogrow")
+#: What forces are computed of, and what tiles hold.
+_LOADS = ("z", "w", "pga", "sigma_s", "subdx", "subdy")
+_FIELDS = (*_LOADS, "depth", "sigma_w", "nogrow")
 
 
 def bounds(clusters: DataFrame, *more) -> DataFrame:
@@ -284,50 +335,86 @@ def windows(boxes: DataFrame, rasters: DataFrame, reach: int, tile: int = 64) ->
     return wanted.join(tiled, ["run", "_tr", "_tc"]).where(near).drop("_tr", "_tc")
 
 
-def grow_clusters(clusters: DataFrame, rasters: DataFrame, settings: Settings | None = None, tile: int = 64, reach: int = 40, made: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def in_tiles(df: DataFrame, tile: int) -> DataFrame:
+    """df (r, c) with the tile of each cell (_tr, _tc) and its place there (_at)."""
+    at = (F.col("r") % tile) * tile + F.col("c") % tile
+    return df.withColumns({"_tr": F.floor(F.col("r") / tile).cast("int"), "_tc": F.floor(F.col("c") / tile).cast("int"), "_at": at.cast("int")})
+
+
+def packed(clusters: DataFrame, tile: int = 32) -> DataFrame:
+    """Clusters (run, cluster, r, c, phi, coh) as a row for each tile that they have cells in, with the places in it."""
+    return in_tiles(clusters, tile).groupBy("run", "cluster", "phi", "coh", "_tr", "_tc").agg(F.collect_list("_at").alias("_own"))
+
+
+def unpacked(rows: DataFrame, tile: int = 32) -> DataFrame:
+    """The cells of packed clusters again."""
+    each = rows.select("run", "cluster", "phi", "coh", "_tr", "_tc", F.explode("_own").alias("_at"))
+    place = lambda t, x: (F.col(t) * tile + x).cast("int")
+    return each.select("run", "cluster", place("_tr", F.floor(F.col("_at") / tile)).alias("r"), place("_tc", F.col("_at") % tile).alias("c"), "phi", "coh")
+
+
+def _pack(tile: int):
+    def run(key, table):  # no type hints: they would choose another form of call
+        at = table.column("_at").to_numpy()
+        order = np.argsort(at)
+        fields = []
+        for k in _FIELDS:
+            v = table.column(k).to_numpy().astype(float)[order]
+            same = (v == v[0]).all() or np.isnan(v).all()
+            fields.append((v[:1] if same else v).tobytes())
+        cells = b"" if len(at) == tile * tile else at[order].astype(np.int32).tobytes()
+        return pa.table({"_tr": pa.array([key[0].as_py()], pa.int32()), "_tc": pa.array([key[1].as_py()], pa.int32()), "_cells": pa.array([cells], pa.binary()), "_fields": pa.array([fields], pa.list_(pa.binary()))})
+
+    return run
+
+
+def grow_clusters(clusters: DataFrame, rasters: DataFrame, settings: Settings | None = None, tile: int = 32, reach: int = 40, own: DataFrame | None = None) -> DataFrame:
     """(run, cluster, r, c, kind, code, cycles): kind initial, eroded or final; painted where code >= 0.
 
-    clusters: run, cluster, r, c, phi, coh. rasters: run, r, c, the fields above, and qx_rot, qy_rot (an array each, by rotation).
-    made: adds those of these columns that rasters lack; clusters that are sent again get it on the tiles of their windows only.
+    clusters: run, cluster, r, c, phi, coh. rasters: r, c (a row for each cell at most), z, w, depth, pga, sigma_s, sigma_w, subdx, subdy, nogrow.
+    own: the clusters packed in tiles of this size, if they are there already.
     """
     s = settings or Settings()
     m, n = rasters.agg(F.max("r") + 1, F.max("c") + 1).first()
     if m is None:
         return clusters.select("run", "cluster", "r", "c", F.lit("initial").alias("kind"), F.lit(0).alias("code"), F.lit(0).alias("cycles")).limit(0)
-    strength = F.first("phi").alias("phi"), F.first("coh").alias("coh")
-    boxes = cut(bounds(clusters, *strength))
-    own = clusters.select("run", "cluster", "r", "c", F.lit(True).alias("_in"))
-    done, todo, near = [], boxes, rasters
+    values = in_tiles(rasters, tile).select("_tr", "_tc", "_at", *(F.col(k).cast("double").alias(k) for k in _FIELDS))
+    tiles = cut(values.groupBy("_tr", "_tc").applyInArrow(_pack(tile), "_tr int, _tc int, _cells binary, _fields array<binary>"))
+    todo = cut(bounds(clusters, F.first("phi").alias("phi"), F.first("coh").alias("coh")))
+    own = (packed(clusters, tile) if own is None else own).drop("phi", "coh")
+    covered = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(lo) - reach) / tile).cast("int"), F.floor((F.col(hi) + reach) / tile).cast("int")))
+    done = []
     while True:
-        fields = made(near).select("run", "r", "c", *_FIELDS, "qx_rot", "qy_rot")
-        rows = windows(todo, fields, reach, tile).unionByName(own, allowMissingColumns=True)
-        got = cut(rows.groupBy("run", "cluster").applyInArrow(_group(s, reach, m, n), "run int, cluster long, r int, c int, kind string, code int, cycles int"))
+        wanted = todo.withColumn("_tr", covered("b0", "b1")).withColumn("_tc", covered("b2", "b3"))
+        rows = wanted.join(tiles, ["_tr", "_tc"]).unionByName(own, allowMissingColumns=True)
+        got = cut(rows.groupBy("run", "cluster").applyInArrow(_group(s, reach, m, n, tile), "run int, cluster long, r array<int>, c array<int>, kind string, code int, cycles int"))
         done.append(got.where(F.col("code") != _WIDER))
         again = got.where(F.col("code") == _WIDER).select("run", "cluster").distinct()
         if not again.limit(1).count():
             break
         todo, reach = cut(todo.join(again, ["run", "cluster"], "left_semi")), reach * 2
         own = own.join(again, ["run", "cluster"], "left_semi")
-        near = windows(todo.select("run", "b0", "b1", "b2", "b3"), rasters, reach, tile).select(*rasters.columns).dropDuplicates(["run", "r", "c"])
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)
-    return out
+    return out.withColumn("_x", F.explode(F.arrays_zip("r", "c"))).select("run", "cluster", "_x.r", "_x.c", "kind", "code", "cycles")
 
 
-#: Rows handed back at once.
-_ROWS = 1 << 16
+#: Cells handed back in a row.
+_ROWS = 1 << 14
 
 
-def _group(s: Settings, reach: int, m: int, n: int):
+def _group(s: Settings, reach: int, m: int, n: int, tile: int):
     def run(key: tuple[Any, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full: dict[str, np.ndarray] = {}
         ends, own = [m, -1, n, -1], []
+        every = np.arange(tile * tile, dtype=np.int32)
         for t in batches:
-            mine = t.column("_in").is_valid()
+            mine = t.column("_own").is_valid()
             if mine.true_count:
-                at = t.filter(mine)
-                own.append((at.column("r").to_numpy(), at.column("c").to_numpy()))
+                some = t.filter(mine)
+                count, places = some.column("_own").value_lengths().to_numpy(), some.column("_own").flatten().to_numpy()
+                own.append([np.repeat(some.column(k).to_numpy(), count) * tile + x for k, x in (("_tr", places // tile), ("_tc", places % tile))])
                 t = t.filter(pc.invert(mine))
             if not t.num_rows:
                 continue
@@ -336,35 +423,47 @@ def _group(s: Settings, reach: int, m: int, n: int):
                 phi, coh = t.column("phi")[0].as_py(), t.column("coh")[0].as_py()
                 r0, c0 = max(0, box[0] - reach), max(0, box[2] - reach)
                 shape = min(m - 1, box[1] + reach) - r0 + 1, min(n - 1, box[3] + reach) - c0 + 1
-                turns = len(t.column("qx_rot")[0])
-                full = {k: np.full(shape, np.nan) for k in _FIELDS if k != "nogrow"} | {k: np.full((turns, *shape), np.nan) for k in ("qx", "qy")}
+                full = {k: np.full(shape, np.nan) for k in _FIELDS if k != "nogrow"}
                 full["nogrow"] = np.zeros(shape, bool)
-            r, c = t.column("r").to_numpy(), t.column("c").to_numpy()
-            ends = [min(ends[0], r.min()), max(ends[1], r.max()), min(ends[2], c.min()), max(ends[3], c.max())]
-            at = r - r0, c - c0
-            for k in _FIELDS:
-                v = t.column(k).to_numpy(zero_copy_only=False).astype(float)
-                full[k][at] = np.nan_to_num(v) > 0 if k == "nogrow" else v
-            for k in ("qx", "qy"):
-                full[k][:, at[0], at[1]] = t.column(f"{k}_rot").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(r), -1).T
+            for i in range(t.num_rows):
+                cells = t.column("_cells")[i].as_py()
+                at = np.frombuffer(cells, np.int32) if cells else every
+                r, c = at // tile + (t.column("_tr")[i].as_py() * tile - r0), at % tile + (t.column("_tc")[i].as_py() * tile - c0)
+                near = (r >= 0) & (r < shape[0]) & (c >= 0) & (c < shape[1])
+                if not near.any():
+                    continue
+                r, c = r[near], c[near]
+                ends = [min(ends[0], r.min()), max(ends[1], r.max()), min(ends[2], c.min()), max(ends[3], c.max())]
+                for k, x in zip(_FIELDS, t.column("_fields")[i].as_py(), strict=True):
+                    v = np.frombuffer(x)
+                    v = v[near] if len(v) > 1 else v
+                    full[k][r, c] = np.nan_to_num(v) > 0 if k == "nogrow" else v
         if not full:
             return
         initial = np.zeros(shape, bool)
         for r, c in own:
             initial[r - r0, c - c0] = True
-        have = slice(ends[0] - r0, ends[1] - r0 + 1), slice(ends[2] - c0, ends[3] - c0 + 1)
-        full, initial, r0, c0 = {k: v[..., *have] for k, v in full.items()}, initial[have], ends[0], ends[2]
+        have = slice(ends[0], ends[1] + 1), slice(ends[2], ends[3] + 1)
+        full, initial, r0, c0 = {k: v[have] for k, v in full.items()}, initial[have], r0 + int(ends[0]), c0 + int(ends[2])
+        made = [np.empty(initial.shape) for _ in range(3)]
+        lines = max(1, _CHUNK // initial.shape[1])
+        for i in range(0, len(initial), lines):
+            for x, v in zip(made, forces({k: full[k][i : i + lines] for k in _LOADS}, phi, coh, s), strict=True):
+                x[i : i + lines] = v
+        full |= dict(zip(("q0", "qx0", "qy0"), made, strict=True))
+        # beyond data nothing has a force: NaN there, so that growth leaves those cells out
+        full["q0"][np.isnan(full["z"])] = np.nan
         whole = (box[0] - reach <= 0, box[1] + reach >= m - 1, box[2] - reach <= 0, box[3] + reach >= n - 1)
         code, cycles, was, final = grow(full, initial, reach, phi, coh, s, (r0, c0), whole)
         full.clear()
         for kind, cells in {"initial": ordered(initial), **({} if code == _WIDER else {"eroded": was, "final": final})}.items():
             for i in range(0, len(cells), _ROWS):
                 part = cells[i : i + _ROWS]
-                k = len(part)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "run": pa.array([key[0].as_py()] * k, pa.int32()), "cluster": pa.array([key[1].as_py()] * k, pa.int64()), "r": pa.array(part[:, 0] + r0, pa.int32()), "c": pa.array(part[:, 1] + c0, pa.int32()),
-                        "kind": pa.array([kind] * k), "code": pa.array([code] * k, pa.int32()), "cycles": pa.array([cycles] * k, pa.int32()),
+                        "run": pa.array([key[0].as_py()], pa.int32()), "cluster": pa.array([key[1].as_py()], pa.int64()),
+                        "r": pa.array([(part[:, 0] + r0).astype(np.int32)], pa.list_(pa.int32())), "c": pa.array([(part[:, 1] + c0).astype(np.int32)], pa.list_(pa.int32())),
+                        "kind": pa.array([kind]), "code": pa.array([code], pa.int32()), "cycles": pa.array([cycles], pa.int32()),
                     }
                 )
 

@@ -44,13 +44,14 @@ def _in_tile(diagonal: bool, same: bool):
     return run
 
 
-def components(df: DataFrame, mask: str = "mask", connectivity: int = 8, same: str | None = None) -> DataFrame:
+def components(df: DataFrame, mask: str = "mask", connectivity: int = 8, same: str | None = None, m: int | None = None) -> DataFrame:
     """(r, c, idx, root) of the set cells; root is the component's first cell in column-major order.
 
     same: a column that linked cells must share (components within equal labels). Tiles label their own cells; only
-    components that touch along the rims of tiles are linked over the whole grid.
+    components that touch along the rims of tiles are linked over the whole grid. m: the number of rows, if it is known
+    (or more, for the same order); else df is read for it.
     """
-    m, _ = extent(df)
+    m = extent(df)[0] if m is None else m
     on = df.where(F.coalesce(F.col(mask), F.lit(False))).select("r", "c", idx(m).alias("idx"), *([F.col(same).cast("string").alias("same")] if same else []))
     tiles = on.withColumns({"_tr": F.floor(F.col("r") / TILE), "_tc": F.floor(F.col("c") / TILE)})
     own = "r int, c int, idx long, " + ("same string, " if same else "")

@@ -116,11 +116,16 @@ def cleanup(df: DataFrame, rounds: int = 5, least: int = 7, nogrow: DataFrame |
     """Initial clean-up of unstable cells: the chain, no-grow cells cleared, small components dropped. Not masked by validity."""
     from talus.operators.labels import area_open
 
+    return area_open(passed(df, rounds, nogrow, mask), least, mask)
+
+
+def passed(df: DataFrame, rounds: int = 5, nogrow: DataFrame | None = None, mask: str = "mask") -> DataFrame:
+    """The clean-up without the size of components."""
     order = ("spur", "bridge", "fill", "majority", "spur", "clean", "spur")
     out = chain(df, [(op, rounds) for op in order], mask)
     if nogrow is not None:
         out = out.join(nogrow.select("r", "c").distinct().withColumn("_no", F.lit(True)), ["r", "c"], "left").withColumn(mask, F.col(mask) & F.col("_no").isNull()).drop("_no")
-    return area_open(out, least, mask)
+    return out
 
 
 def thinned(df: DataFrame, mask: str = "mask") -> DataFrame:

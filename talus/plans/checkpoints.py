@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +33,9 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote in the shared one, through the file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints that no frame refers to any longer, which else wait for the driver's garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

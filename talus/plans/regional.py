@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.operators import grid, growth, labels, morphology, physics, scenarios
 from talus.operators.focal import horn
-from talus.plans.checkpoints import cut
+from talus.plans.checkpoints import cut, release
 
 
 def prepared(df: DataFrame, depth: DataFrame | float = 2.0, mode: int = 1, mw: float = 0.5, pga: DataFrame | float | None = None, scaling: float = 1.0, dx: float = 10.0, dy: float = 10.0, wedge: str = "matlab_local") -> DataFrame:
@@ -40,16 +40,6 @@ def forces_by_run(cells: DataFrame, runs: DataFrame, dx: float = 10.0, dy: float
     return physics.column_forces(by_run(cells, runs), F.col("phi"), F.col("coh"), dx, dy)
 
 
-def rotated(forces: DataFrame, dx: float = 10.0, dy: float = 10.0) -> DataFrame:
-    """forces with qx_rot, qy_rot: arrays of the forces by rotation of the gradient."""
-    keys = ["run", "r", "c"]
-    turned = physics.project_slope(physics.with_rotations(forces.select(*keys, "z", "w", "sigma_s", "pga", "subdx", "subdy", "phi", "coh")))
-    turned = turned.drop("subdx", "subdy").withColumnsRenamed({"dx1": "subdx", "dy1": "subdy"})
-    each = physics.column_forces(turned, F.col("phi"), F.col("coh"), dx, dy)
-    arrays = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rot_id", "qx", "qy"))).alias("_rot"))
-    return forces.join(arrays, keys).withColumns({"qx_rot": F.transform("_rot", lambda x: x["qx"]), "qy_rot": F.transform("_rot", lambda x: x["qy"])}).drop("_rot")
-
-
 def candidates(forces: DataFrame, runs: DataFrame, m: int, cleanup: int = 5, least: int = 7, nogrow: DataFrame | None = None) -> DataFrame:
     """(run, cluster, r, c, phi, coh): clusters of unstable cells after the clean-up, numbered 1..K in each run.
 
@@ -59,11 +49,14 @@ def candidates(forces: DataFrame, runs: DataFrame, m: int, cleanup: int = 5, lea
     every = F.col("run") * (m + 1)
     stack = forces.select((F.col("r") + every).alias("r"), "c", (F.col("z").isNotNull() & (F.col("q") > 0)).alias("mask"))
     no = None if nogrow is None else by_run(nogrow.select("r", "c").distinct(), runs).select((F.col("r") + every).alias("r"), "c")
-    found = cut(labels.components(morphology.cleanup(stack, cleanup, least, no)))
+    live = runs.where("prob <> 0")
+    top = live.agg(F.max("run")).first()[0] or 0
+    found = labels.components(morphology.passed(stack, cleanup, no), m=(top + 1) * (m + 1))
+    found = found.join(found.groupBy("root").count().where(F.col("count") >= least), "root", "left_semi")
     own = found.select(F.floor(F.col("r") / (m + 1)).cast("int").alias("run"), (F.col("r") % (m + 1)).cast("int").alias("r"), "c", "root")
     named = labels.numbered(own.withColumn("_first", F.struct("run", "root")), "_first", "_place")  # by run, then by first cell
     lowest = named.groupBy("run").agg(F.min("_place").alias("_low"))
-    dims = forces.select("run", "phi", "coh").distinct()
+    dims = live.select("run", "phi", "coh")
     stop = dims.join(lowest, "run", "left_anti").agg(F.min("run").alias("_stop"))
     return (
         named.join(F.broadcast(lowest), "run")
@@ -74,26 +67,24 @@ def candidates(forces: DataFrame, runs: DataFrame, m: int, cleanup: int = 5, lea
 
 
 def begun(df: DataFrame, runs: DataFrame, nogrow: DataFrame | None = None, settings: growth.Settings | None = None, cleanup: int = 5, **options) -> dict[str, DataFrame]:
-    """What comes before growth: cells, forces, candidate clusters, and summary (run, phi, coh, prob, n_clusters)."""
+    """What comes before growth: cells, forces, candidate clusters (packed: by tile), and summary (run, phi, coh, prob, n_clusters)."""
     s = settings or growth.Settings()
     cells = cut(prepared(df, dx=s.dx, dy=s.dy, **options))
-    forces = cut(forces_by_run(cells, runs, s.dx, s.dy))
-    clusters = cut(candidates(forces, runs, grid.extent(cells)[0], cleanup, s.least, nogrow))
-    return {"cells": cells, "forces": forces, "clusters": clusters, "summary": scenarios.run_summary(clusters, runs.where("prob <> 0"))}
+    forces = forces_by_run(cells, runs, s.dx, s.dy)
+    packed = cut(growth.packed(candidates(forces, runs, grid.extent(cells)[0], cleanup, s.least, nogrow)))
+    clusters = growth.unpacked(packed)
+    release(df.sparkSession)
+    return {"cells": cells, "forces": forces, "clusters": clusters, "summary": scenarios.run_summary(clusters, runs.where("prob <> 0")), "packed": packed}
 
 
 def regional(df: DataFrame, runs: DataFrame, nogrow: DataFrame | None = None, settings: growth.Settings | None = None, cleanup: int = 5, **options) -> dict[str, DataFrame]:
     """sus (r, c, z, sus), summary (run, phi, coh, prob, n_clusters) and clusters (run, cluster, r, c, kind, code, cycles)."""
     s = settings or growth.Settings()
-    cells, forces, clusters, summary = begun(df, runs, nogrow, s, cleanup, **options).values()
-    some = F.broadcast(clusters.select("run").distinct())
-    rasters = forces.join(some, "run", "left_semi").withColumns({"q0": F.col("q"), "qx0": F.col("qx"), "qy0": F.col("qy")})
+    cells, _, clusters, summary, packed = begun(df, runs, nogrow, s, cleanup, **options).values()
     if nogrow is not None:
-        rasters = rasters.join(nogrow.select("r", "c").distinct().withColumn("nogrow", F.lit(True)), ["r", "c"], "left").withColumn("nogrow", F.coalesce("nogrow", F.lit(False)))
+        rasters = cells.join(nogrow.select("r", "c").distinct().withColumn("nogrow", F.lit(True)), ["r", "c"], "left").withColumn("nogrow", F.coalesce("nogrow", F.lit(False)))
     else:
-        rasters = rasters.withColumn("nogrow", F.lit(False))
-    # beyond data nothing has a force: null there, so that growth leaves those cells out
-    rasters = rasters.withColumn("q0", F.when(F.col("z").isNotNull(), F.col("q0")))
-    grown = growth.grow_clusters(clusters, rasters, s, made=lambda rows: rotated(rows, s.dx, s.dy))
+        rasters = cells.withColumn("nogrow", F.lit(False))
+    grown = growth.grow_clusters(clusters, rasters, s, own=packed)
     slides = grown.where("kind = 'final' and code >= 0 and r is not null").select("run", "r", "c").distinct()
     return {"sus": scenarios.susceptibility(slides, summary, cells.select("r", "c", "z")), "summary": summary, "clusters": grown}

@@ -554,3 +554,50 @@ def test_soil_depth_in_stretches():
             a, b = hillslope.advance(z, z - 1, rim, 10.0, 4, top, bottom)
             core = slice(top, m - bottom)
             assert np.allclose(a[core], s[core], equal_nan=True, rtol=1e-12, atol=1e-9) and np.allclose(b[core], rock[core], equal_nan=True, rtol=1e-12, atol=1e-9)
+
+
+def test_growth_from_packed_tiles(spark):
+    """Windows of packed tiles (with holes, no-grow cells, fields that are the same all over) grow as whole arrays with Spark's rotated forces do."""
+    from talus.operators import physics
+    from talus.plans import regional
+
+    rng = np.random.default_rng(11)
+    m, n = 30, 21
+    z = 300 - 9.0 * np.arange(m)[:, None] + 2.0 * np.abs(np.arange(n) - 10) + rng.normal(0, 1.5, (m, n))
+    z[(np.arange(m)[:, None] * 7 + np.arange(n) * 13) % 41 == 0] = np.nan
+    rows = [(r, c, None if np.isnan(z[r, c]) else float(z[r, c])) for r in range(m) for c in range(n) if (r, c) != (29, 20)]
+    cells = regional.prepared(spark.createDataFrame(rows, "r int, c int, z double")).withColumn("nogrow", (F.col("r") * 5 + F.col("c") * 3) % 19 == 0)
+    runs = scenarios.strength(spark, [(1, 36.0, 4.0, 0.5), (2, 30.0, 2.0, 0.0), (3, 33.0, 3.0, 0.5)])
+    boxes = {(1, 1): (12, 6, 3, 4), (1, 2): (9, 14, 4, 4), (3, 1): (11, 7, 4, 5)}
+    strong = {1: (36.0, 4.0), 3: (33.0, 3.0)}
+    own = [(run, k, r, c, *strong[run]) for (run, k), (r0, c0, h, w) in boxes.items() for r in range(r0, r0 + h) for c in range(c0, c0 + w)]
+    clusters = spark.createDataFrame(own, "run int, cluster long, r int, c int, phi double, coh double")
+    assert sorted(map(tuple, growth.unpacked(growth.packed(clusters, 4), 4).collect())) == sorted(own)
+    s = growth.Settings(cycles=12, step=2, max_offset=12)
+    got = {}
+    for x in growth.grow_clusters(clusters, cells, s, tile=4, reach=2).collect():
+        got.setdefault((x.run, x.cluster), {"ends": (x.code, x.cycles), "initial": set(), "eroded": set(), "final": set()})[x.kind].add((x.r, x.c))
+
+    keys, fields = ["run", "r", "c"], {}
+    base = regional.forces_by_run(cells, runs)
+    turned = physics.project_slope(physics.with_rotations(base.select(*keys, "z", "w", "sigma_s", "pga", "subdx", "subdy", "phi", "coh")))
+    turned = turned.drop("subdx", "subdy").withColumnsRenamed({"dx1": "subdx", "dy1": "subdy"})
+    for x in physics.column_forces(turned, F.col("phi"), F.col("coh")).select(*keys, "rot_id", "qx", "qy").collect():
+        for k in ("qx", "qy"):
+            fields.setdefault((x.run, k), np.full((8, m, n), np.nan))[x.rot_id, x.r, x.c] = np.nan if x[k] is None else x[k]
+    for x in base.collect():
+        for k, v in {"z": x.z, "w": x.w, "depth": x.depth, "pga": x.pga, "sigma_w": x.sigma_w, "sigma_s": x.sigma_s, "subdx": x.subdx, "subdy": x.subdy, "q0": None if x.z is None else x.q, "qx0": x.qx, "qy0": x.qy}.items():
+            fields.setdefault((x.run, k), np.full((m, n), np.nan))[x.r, x.c] = np.nan if v is None else v
+        fields.setdefault((x.run, "nogrow"), np.zeros((m, n), bool))[x.r, x.c] = x.nogrow
+    for (run, k), (r0, c0, h, w) in boxes.items():
+        g = {name: v for (r, name), v in fields.items() if r == run}
+        x, y = growth.turned({f: g[f].ravel() for f in growth._LOADS}, *strong[run], s)
+        for mine, theirs in ((x, g["qx"]), (y, g["qy"])):
+            there = ~np.isnan(theirs.reshape(8, -1)) & ~np.isnan(g["w"].ravel())
+            np.testing.assert_allclose(mine[there], theirs.reshape(8, -1)[there], rtol=1e-9, atol=1e-7)
+        initial = np.zeros((m, n), bool)
+        initial[r0 : r0 + h, c0 : c0 + w] = True
+        code, cycles, was, final = growth.grow(g, initial, 100, *strong[run], s)
+        want = {"ends": (code, cycles), "initial": set(map(tuple, np.argwhere(initial).tolist())), "eroded": set(map(tuple, np.asarray(was).tolist())), "final": set(map(tuple, np.asarray(final).tolist()))}
+        assert got[run, k] == want, (run, k)
+    assert max(x["ends"][1] for x in got.values()) > 0
