@@ -323,11 +323,144 @@ def parts(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
     return out.reshape(m + 2, w)[1:-1, 1:-1], len(roots)
 
 
+#: Cells across a gap up to which triangles are kept by its shape: no circle through three of its cells reaches an outer triangle.
+_SHAPE = 100
+
+
+def gap_triangles(mask: np.ndarray, dx: float, dy: float) -> np.ndarray | None:
+    """Triangles (of cells: row, column) of the triangulation of all set cells outside the squares of four; None if the set cells are not one component.
+
+    Links between set cells side by side or corner to corner are edges of the triangulation (but across squares of four),
+    so that what they enclose is triangulated by itself: a square of three is one triangle, and the others lie in holes,
+    or in bays between the outer boundary and the hull. Gaps of the same shape are triangulated once.
+    """
+    if parts(mask)[1] != 1:
+        return None
+    scale = np.array((dy, dx))
+    r, c = np.nonzero(mask)
+    # two points with the middle and the span of all
+    reach = max(np.ptp(r) * dy, np.ptp(c) * dx) / 2 / scale
+    middle = np.array((r.mean(), c.mean())) + np.stack((-reach, reach))
+    found = [_halves(mask)]
+    label, k = parts(np.pad(~mask, 1, constant_values=True), False)
+    r, c = np.nonzero((label >= 0) & (label != label[0, 0]))
+    at = label[r, c]
+    order = np.argsort(at, kind="stable")
+    cells, at = np.stack((r, c), axis=1)[order] - 1, at[order]
+    begin = np.flatnonzero(np.append(True, np.diff(at) != 0)) if len(at) else np.zeros(0, int)
+    found += _by_shape(cells, begin, np.append(begin[1:], len(at)), lambda x: _in_hole(x, scale, middle))
+    path = traced(mask)
+    _, again, times = np.unique(path[:, 0] * mask.shape[1] + path[:, 1], return_inverse=True, return_counts=True)
+    ends = np.flatnonzero(_on_hull(path) & (times[again] == 1))
+    if len(ends):
+        path, ends = np.roll(path, -ends[0], axis=0), ends - ends[0]
+    else:
+        ends = np.zeros(1, int)
+    path = np.concatenate((path, path[:1]))
+    begin, end = ends, np.append(ends[1:], len(path) - 1) + 1
+    some = end - begin > 2
+    found += _by_shape(path, begin[some], end[some], lambda x: _in_bay(x, scale, middle))
+    return np.concatenate(found)
+
+
+def _halves(mask: np.ndarray) -> np.ndarray:
+    """The triangles of the squares that have three set cells, counter-clockwise by column and row."""
+    corners = ((0, 0), (0, 1), (1, 1), (1, 0))
+    m, n = mask.shape
+    on = [mask[a : m - 1 + a, b : n - 1 + b] for a, b in corners]
+    out = [np.zeros((0, 3, 2), int)]
+    for k in range(4):
+        r, c = np.nonzero(~on[k] & on[k - 1] & on[k - 2] & on[k - 3])
+        out.append(np.stack([np.stack((r + a, c + b), axis=1) for a, b in (corners[(k + j) % 4] for j in (1, 2, 3))], axis=1))
+    return np.concatenate(out)
+
+
+def _by_shape(cells: np.ndarray, begin: np.ndarray, end: np.ndarray, make) -> list[np.ndarray]:
+    """make(cells) for each stretch of cells, moved to where it lies; once for all stretches that are alike."""
+    if not len(begin):
+        return []
+    cells = cells.astype(np.int32)
+    corner = cells[begin]
+    places: dict[bytes, list[int]] = {}
+    for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+        own = cells[a:b]
+        wide = b - a > _SHAPE - 2 and np.ptp(own, axis=0).max() > _SHAPE - 2
+        places.setdefault(i if wide else (own - corner[i]).tobytes(), []).append(i)
+    out = []
+    for same in places.values():
+        i = same[0]
+        made = make(cells[begin[i] : end[i]].astype(int)) - corner[i]
+        out.append((made[None] + corner[same][:, None, None]).reshape(-1, 3, 2))
+    return out
+
+
+def _around(cells: np.ndarray, scale: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """``delaunay`` of cells (row, column), as triangles of cells; middle: what sets the outer triangle (row, column) if they reach far."""
+    every = None if np.ptp(cells, axis=0).max() <= _SHAPE else (middle * scale)[:, ::-1]
+    return cells[delaunay((cells * scale)[:, ::-1], every)]
+
+
+def _in_hole(hole: np.ndarray, scale: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Triangles within a hole (unset cells that are connected by sides) and the links around it."""
+    low = hole.min(0) - 1
+    own = np.zeros(np.ptp(hole, axis=0) + 4, bool)
+    own[*(hole - low).T] = True
+    beside = np.zeros(own.shape, bool)
+    beside[1:] |= own[:-1]
+    beside[:-1] |= own[1:]
+    beside[:, 1:] |= own[:, :-1]
+    beside[:, :-1] |= own[:, 1:]
+    tri = _around(np.argwhere(beside & ~own) + low, scale, middle)
+    # a hole has all of a square but, where three corners are set, the half at its own corner
+    (i, j), (y, x) = (k.T for k in np.divmod((tri - low).sum(1), 3))
+    sides = ((0, 0), (0, 1), (1, 0), (1, 1))
+    corners = [own[i + a, j + b] for a, b in sides]
+    half = [on & (np.abs(y - 3 * a) + np.abs(x - 3 * b) < 3) for on, (a, b) in zip(corners, sides, strict=True)]
+    return tri[(np.sum(corners, axis=0) > 1) | np.any(half, axis=0)]
+
+
+def _in_bay(path: np.ndarray, scale: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Triangles on the outer side of a stretch of the outer boundary (clockwise) that begins and ends at the hull."""
+    cells, at = np.unique(path, axis=0, return_inverse=True)
+    made = _around(cells, scale, middle)
+    if not len(made):
+        return made
+    tri = np.searchsorted(cells[:, 0] * (1 << 31) + cells[:, 1], made[..., 0] * (1 << 31) + made[..., 1]).tolist()
+    edge = {(t[i - 1], t[i]): k for k, t in enumerate(tri) for i in range(3)}
+    steps = list(zip(at.ravel()[1:].tolist(), at.ravel()[:-1].tolist(), strict=True))
+    walls = {*steps, *((b, a) for a, b in steps)}
+    todo, inside = [edge[x] for x in steps if x in edge], np.zeros(len(tri), bool)
+    while todo:
+        if not inside[k := todo.pop()]:
+            inside[k], t = True, tri[k]
+            todo += [edge[t[i], t[i - 1]] for i in range(3) if (t[i - 1], t[i]) not in walls and (t[i], t[i - 1]) in edge]
+    return made[inside]
+
+
+def _on_hull(path: np.ndarray) -> np.ndarray:
+    """Whether cells of an outer boundary lie on the rim of the convex hull, between its corners too."""
+    r, c = path[:, 0] - path[:, 0].min(), path[:, 1]
+    out = (r == 0) | (r == r.max())
+    for x in (c, -c):
+        first = np.full(r.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, r, x)
+        v, ends = first.tolist(), []
+        for i, y in enumerate(v):
+            while len(ends) > 1 and (v[ends[-1]] - v[ends[-2]]) * (i - ends[-2]) >= (y - v[ends[-2]]) * (ends[-1] - ends[-2]):
+                ends.pop()
+            ends.append(i)
+        ends = np.array(ends)
+        b = ends[np.searchsorted(ends, r)]
+        a = ends[np.maximum(np.searchsorted(ends, r) - 1, 0)]
+        out |= (x == first[r]) & ((first[b] - first[a]) * (r - a) == (x - first[a]) * (b - a))
+    return out
+
+
 def cell_boundary(mask: np.ndarray, dx: float, dy: float, r0: int = 0, c0: int = 0, shrink: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """x and y of ``alpha_boundary`` of all set cells' middles.
 
-    A square of four set cells is made of triangles, whatever lies around it, so that only cells with another kind of
-    square beside them are triangulated; squares that share sides are one piece from the start.
+    A square of four set cells is made of triangles, whatever lies around it, so that only what lies between squares is
+    triangulated, gap by gap; squares that share sides are one piece from the start.
     """
     m, n = mask.shape
     c, r = np.nonzero(mask.T)
@@ -339,9 +472,13 @@ def cell_boundary(mask: np.ndarray, dx: float, dy: float, r0: int = 0, c0: int =
     r, c, points = r[on_rim], c[on_rim], every[on_rim]
     number = np.full((m, n), -1)
     number[r, c] = np.arange(len(r))
-    tri = delaunay(points, every)
-    if len(tri):
-        tri = tri[~square[r[tri].sum(1) // 3 + 1, c[tri].sum(1) // 3 + 1]]
+    tri = gap_triangles(mask, dx, dy)
+    if tri is None:
+        tri = delaunay(points, every)
+        if len(tri):
+            tri = tri[~square[r[tri].sum(1) // 3 + 1, c[tri].sum(1) // 3 + 1]]
+    else:
+        tri = number[tri[..., 0], tri[..., 1]]
     piece, pieces = parts(square, False)
     around = lambda: points[[{tuple(p): i for i, p in reversed(list(enumerate(points.tolist())))}[q] for q in hull([tuple(p) for p in points.tolist()])]].T
     if not len(tri) and not pieces:

@@ -601,3 +601,35 @@ def test_growth_from_packed_tiles(spark):
         want = {"ends": (code, cycles), "initial": set(map(tuple, np.argwhere(initial).tolist())), "eroded": set(map(tuple, np.asarray(was).tolist())), "final": set(map(tuple, np.asarray(final).tolist()))}
         assert got[run, k] == want, (run, k)
     assert max(x["ends"][1] for x in got.values()) > 0
+
+
+def test_gaps_are_triangulated_apart(monkeypatch):
+    """Triangles of gaps and squares cover the hull, and no circle holds a cell, on ragged masks and cells that are not square."""
+    for seed in (*range(60), 597, 1863):
+        rng = np.random.default_rng(seed)
+        mask = rng.random(rng.integers(2, 45, 2)) < rng.choice([0.4, 0.6, 0.8, 0.95])
+        label, k = geometry.parts(mask)
+        if not k:
+            continue
+        mask = label == np.bincount(label[mask]).argmax()
+        scale = np.array((10.0, 7.0 if seed % 2 else 10.0))  # of rows and columns
+        tri = geometry.gap_triangles(mask, scale[1], scale[0])
+        points = (np.argwhere(mask) * scale)[:, ::-1]
+        a, b, c = ((tri[:, i] * scale)[:, ::-1] for i in range(3))
+        area = ((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) / 2
+        squares = (mask[1:, 1:] & mask[:-1, 1:] & mask[1:, :-1] & mask[:-1, :-1]).sum()
+        hull = np.array(geometry.hull(list(map(tuple, points.tolist()))))
+        assert (area > 0).all() and area.sum() + squares * scale.prod() == pytest.approx(geometry.measures(*hull.T)[0])
+        flat = np.vstack((a, b, c))
+        circle = geometry._circles(flat, np.arange(len(flat)).reshape(3, -1).T)
+        assert not ((points[:, 0] - circle[:, :1]) ** 2 + (points[:, 1] - circle[:, 1:2]) ** 2 < circle[:, 2:] * (1 - 1e-9)).any()
+    assert geometry.gap_triangles(np.eye(3, dtype=bool) & (np.arange(3) != 1), 10.0, 10.0) is None
+    # a long cluster with bites in its sides and holes: what is triangulated does not grow with its length
+    taken, triangles = [], geometry.delaunay
+    monkeypatch.setattr(geometry, "delaunay", lambda points, *x: taken.append(len(points)) or triangles(points, *x))
+    for m in (800, 3200):
+        mask = np.ones((m, 20), bool)
+        mask[::4, 0] = mask[2::8, -2:] = mask[3::5, 9] = mask[3::5, 11:13] = False
+        loop = geometry.cell_boundary(mask, 10.0, 10.0)
+        assert geometry.measures(*loop)[1] == pytest.approx(104, abs=2)
+    assert max(taken) < 40 and sum(taken) < 1000
