@@ -185,6 +185,8 @@ def delaunay(points: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
     if np.ptp(points[:, 1]) > np.ptp(points[:, 0]):  # a quarter turn
         p = np.column_stack((p[:, 1], -p[:, 0]))
     tri = np.array([[n, n + 1, n + 2]])
+    if n <= _FEW:
+        return _swept(p, tri)
     circle, behind = _circles(p, tri), []
     for i in np.argsort(p[:n, 0], kind="stable").tolist():
         x, y = p[i]
@@ -203,6 +205,41 @@ def delaunay(points: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
     return tri[(tri < n).all(axis=1)]
 
 
+#: Points that ``delaunay`` inserts without arrays, whose calls would take longer than the few triangles in play.
+_FEW = 1000
+
+
+def _swept(p: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """The triangles of ``delaunay`` for few points p, by the same arithmetic over lists; outer: the triangle of the last three of p."""
+    n, at, behind = len(p) - 3, p.tolist(), []
+    live = [(*_circles(p, outer)[0].tolist(), *outer[0].tolist())]
+    for i in np.argsort(p[:n, 0], kind="stable").tolist():
+        x, y = at[i]
+        stay, edges = [], set()
+        for t in live:
+            away = (x - t[0]) * (x - t[0])
+            if x > t[0] and away >= t[2]:
+                behind.append(t[3:])
+            elif away + (t[1] - y) * (t[1] - y) < t[2] * (1 - 1e-12):
+                edges.update(((t[3], t[4]), (t[4], t[5]), (t[5], t[3])))
+            else:
+                stay.append(t)
+        for a, b in sorted(edges):
+            (ax, ay), (bx, by) = at[a], at[b]
+            if (b, a) in edges or not (ax - x) * (by - y) - (ay - y) * (bx - x) > 0:
+                continue
+            bx, by, cx, cy = bx - ax, by - ay, x - ax, y - ay
+            if (twice := 2 * (bx * cy - by * cx)) == 0:
+                stay.append((*_circles(p, np.array([[a, b, i]]))[0].tolist(), a, b, i))
+                continue
+            b2, c2 = bx * bx + by * by, cx * cx + cy * cy
+            u, v = (cy * b2 - by * c2) / twice, (bx * c2 - cx * b2) / twice
+            stay.append((u + ax, v + ay, u * u + v * v, a, b, i))
+        live = stay
+    tri = np.array([*behind, *(t[3:] for t in live)], int).reshape(-1, 3)
+    return tri[(tri < n).all(axis=1)]
+
+
 def _circles(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
     """Centre and squared radius of the circle through each triangle's points."""
     a = p[tri[:, 0]]

@@ -633,3 +633,19 @@ def test_gaps_are_triangulated_apart(monkeypatch):
         loop = geometry.cell_boundary(mask, 10.0, 10.0)
         assert geometry.measures(*loop)[1] == pytest.approx(104, abs=2)
     assert max(taken) < 40 and sum(taken) < 1000
+
+
+def test_few_points_are_triangulated_without_arrays(monkeypatch):
+    """The same triangles in the same order as over arrays, for lattice points with many in line, and points at large."""
+    arrays = []
+    monkeypatch.setattr(geometry, "_circles", lambda p, tri, known=geometry._circles: arrays.append(len(tri)) or known(p, tri))
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        points = np.unique(rng.integers(0, (30, 9), (rng.integers(3, 150), 2)), axis=0) * np.array((7.0, 10.0)) if seed % 2 else rng.random((80, 2))
+        few = geometry.delaunay(points)
+        calls, arrays[:] = len(arrays), []
+        with monkeypatch.context() as other:
+            other.setattr(geometry, "_FEW", 0)
+            assert np.array_equal(few, geometry.delaunay(points))
+        assert calls < 5 and (len(points) < 10 or len(arrays) > len(points))
+        arrays.clear()
